@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .langid import learn_dictionaries, predict_language
+from .pii import pii_digest
+from .shared import in_fold, read
 from .simhash import hex_fingerprint, simhash_components
 
 
@@ -16,8 +18,23 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = in_fold("doc_id", 4, 2)
+    dictionaries = learn_dictionaries(docs.where(F.col("doc_id").isNotNull() & ~held_out))
+    out = predict_language(docs.select("doc_id", "text"), dictionaries)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_digest(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_language_id": op3_language_id,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
