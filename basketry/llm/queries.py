@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fm, quality_rules
 from .langid import learn_dictionaries, predict_language
 from .pii import pii_digest
 from .shared import in_fold, read
@@ -26,6 +27,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = in_fold("doc_id", 5, 0)
+    out = fm.score(docs.select("doc_id", "text", "n_chars"), fm.learn(docs.where(~held_out), labels.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    ratios = quality_rules.log_ratios(docs, read(spark, sf_dir, "labels").where("quality = 1"))
+    return quality_rules.judge(docs, ratios).drop("text")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii_digest(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.drop("text")
@@ -34,6 +48,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_language_id": op3_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_quality_rules": op8_quality_rules,
     "op10_pii": op10_pii,
 }
 
