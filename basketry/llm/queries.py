@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm, quality_rules, urlfilter, warc
+from . import decontaminate, fm, htmltext, mixing, quality_rules, urlfilter, warc
 from .langid import learn_dictionaries, predict_language
 from .pii import pii_digest
 from .shared import in_fold, read
@@ -19,6 +19,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select(F.col("key").try_cast("long").alias("doc_id"), "item_id", "words", "covered", "windows", "reworded")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = in_fold("doc_id", 4, 2)
@@ -38,6 +43,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    shares = [F.get("posterior", F.lit(i)).alias(f"p_{name}") for i, name in enumerate(sorted(mixing.TARGETS))]
+    return out.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
 _OP4_SQL = f"""
 WITH split AS (
   SELECT page_id,
@@ -93,6 +104,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, ratios).drop("text")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii_digest(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.drop("text")
@@ -100,11 +115,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
+    "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
+    "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
 }
 
