@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,57 +40,99 @@ _MEASURE = re.compile(r"([+-]?[$€£]?[0-9][0-9.,:/]*)([a-zA-Z%°]+)")
 _EDGE = "\"'`.,;:!?()[]{}<>«»“”‘’*#$%&|_~-"
 
 
-@lru_cache(maxsize=1 << 18)
-def _word(raw: str) -> tuple[tuple[str, str, int], ...]:
-    """(template word or '' for a name unless it begins a sentence, value, hash of the template word) of the tokens in a raw word."""
+def _hash(word: str) -> int:
+    return crc32(word.encode("utf-8", "surrogatepass"))
+
+
+_NUMBER_HASH, _UNIT_HASH, _NAME_HASH = _hash(NUMBER), _hash(UNIT), _hash(NAME)
+
+
+def _word(raw: str) -> list[tuple[str, str]]:
+    """(template word, value) of the tokens in a raw word; the template of a capitalised word is '' as yet."""
     bare = raw.strip(_EDGE)
     if not bare:
-        return ()
+        return []
     low = bare.lower()
     if _NUMBER.fullmatch(bare) or low in NUMBER_WORDS:
-        found = [(NUMBER, low.rstrip(".,"))]
-        if raw.rstrip("\"'.,;:!?)").endswith("%"):
-            found.append((UNIT, "%"))
-    elif m := _MEASURE.fullmatch(bare):
-        found = [(NUMBER, m[1]), (UNIT, m[2].lower())] if m[2].lower() in UNIT_WORDS else [(low, "")]
-    elif bare[0].isupper() and not (len(bare) > 1 and bare.isupper()):
-        found = [("", low)]
-    else:
-        found = [(low, "")]
-    return tuple((t, v, xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 1)) for t, v in found)
+        percent = [(UNIT, "%")] if raw.rstrip("\"'.,;:!?)").endswith("%") else []
+        return [(NUMBER, low.rstrip(".,")), *percent]
+    if (m := _MEASURE.fullmatch(bare)) and m[2].lower() in UNIT_WORDS:
+        return [(NUMBER, m[1]), (UNIT, m[2].lower())]
+    if bare[0].isupper() and not (len(bare) > 1 and bare.isupper()):
+        return [("", low)]
+    return [(low, "")]
 
 
-_NAME_HASH = xxhash.xxh64_intdigest(NAME.encode(), 1)
+def _ends(raw: str) -> bool:
+    """Whether a sentence ends with a raw word."""
+    return raw.rstrip("\"'”’)*#$%&|")[-1:] in (".", "!", "?", ":")
 
 
-@lru_cache(maxsize=1 << 18)
-def _plain_hash(low: str) -> int:
-    return xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 1)
-
-
-def canonical(text: str | None) -> tuple[list[str], list[str], np.ndarray]:
-    """(template words, the value of each slot or '', hashes) of a whole text; empty for a null one.
+def canonical(text: str | None) -> tuple[list[str], list[str]]:
+    """(template words, the value of each slot or '') of a whole text; empty for a null one.
 
     A capitalised word is a name unless it begins a sentence; a unit word is a unit only after a number.
     """
     words: list[str] = []
     values: list[str] = []
-    hashes: list[int] = []
     first = True
     for raw in (text or "").split():
-        for template, value, digest in _word(raw):
+        for template, value in _word(raw):
             if not template:
-                if first:
-                    template, value, digest = value, "", _plain_hash(value)
-                else:
-                    template, digest = NAME, _NAME_HASH
+                template, value = (value, "") if first else (NAME, value)
             elif template in UNIT_WORDS and words and words[-1] == NUMBER:
-                template, value, digest = UNIT, template, _word("5%")[1][2]
+                template, value = UNIT, template
             words.append(template)
             values.append(value)
-            hashes.append(digest)
-        first = raw[-1] in ".!?:" or raw.rstrip("\"'”’)!*#$%&|") [-1:] in (".", "!", "?", ":")
-    return words, values, np.array(hashes, dtype=np.uint64)
+        first = _ends(raw)
+    return words, values
+
+
+#: How a raw word is hashed: as itself, as a name within a sentence, as a unit after a number, or as several tokens.
+_SELF, _NAMED, _MEASURED, _SEVERAL = range(4)
+
+
+def _entry(raw: str) -> tuple[int, int | list[int], bool]:
+    tokens = _word(raw)
+    if len(tokens) != 1 or tokens[0][0] in (NUMBER, UNIT):
+        return _SEVERAL, [_hash(t) for t, _ in tokens], _ends(raw)
+    template, value = tokens[0]
+    kind = _NAMED if not template else _MEASURED if template in UNIT_WORDS else _SELF
+    return kind, _hash(template or value), _ends(raw)
+
+
+_SEEN: dict[str, tuple[int, int | list[int], bool]] = {}
+_SEEN_MOST = 300_000
+
+
+def hashes(text: str | None) -> np.ndarray:
+    """Hashes of the template words of ``canonical``, without making them; raw words already seen are remembered."""
+    out: list[int] = []
+    add, seen, first, number = out.append, _SEEN.get, True, False
+    for raw in (text or "").split():
+        found = seen(raw)
+        if found is None:
+            if len(_SEEN) >= _SEEN_MOST:
+                _SEEN.clear()
+            found = _SEEN[raw] = _entry(raw)
+        kind, own, ends = found
+        if kind == _SELF:
+            add(own)
+            number = False
+        elif kind == _NAMED:
+            add(own if first else _NAME_HASH)
+            number = False
+        elif kind == _MEASURED:
+            add(_UNIT_HASH if number else own)
+            number = False
+        elif own:
+            out.extend(own)
+            number = own[-1] == _NUMBER_HASH
+        first = ends
+    return np.array(out, dtype=np.uint64)
+
+
+_PLACES, _HALF = np.uint64(FILTER_BITS - 1), np.uint64(32)
 
 
 def _window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -107,8 +148,7 @@ def _window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
     """Two bit places of the filter for each window hash."""
-    mask = np.uint64(FILTER_BITS - 1)
-    return np.stack([hashes & mask, (hashes >> np.uint64(32)) & mask])
+    return np.stack([hashes & _PLACES, (hashes >> _HALF) & _PLACES])
 
 
 def _slots(words: list[str], values: list[str], at: int, size: int) -> list[str]:
@@ -126,11 +166,11 @@ def benchmark_windows(benchmark: DataFrame, text: str = "text", item_id: str = "
         for batch in batches:
             rows = []
             for item, body in zip(batch["item_id"], batch["text"]):
-                words, values, hashes = canonical(body)
+                words, values = canonical(body)
                 size = min(WINDOW, len(words))
                 if size < SHORTEST:
                     continue
-                found = _window_hashes(hashes, size)
+                found = _window_hashes(hashes(body), size)
                 for at in range(len(found)):
                     if _telling(words, at, size):
                         rows.append((item, len(words), at, size, " ".join(words[at : at + size]), _slots(words, values, at, size), _bits(found[at : at + 1])[:, 0].astype(np.int64).tolist()))
@@ -170,11 +210,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
         for batch in batches:
             rows = []
             for key, body in zip(batch["key"], batch["text"]):
-                words, values, hashes = canonical(body)
+                own, words = hashes(body), None
                 for size in sizes:
-                    found = _window_hashes(hashes, size)
-                    one, two = _bits(found)
-                    for at in np.flatnonzero(mask[one] & mask[two]).tolist():
+                    found = _window_hashes(own, size)
+                    one = np.flatnonzero(mask[found & _PLACES])
+                    for at in one[mask[(found[one] >> _HALF) & _PLACES]].tolist():
+                        if words is None:
+                            words, values = canonical(body)
                         rows.append((key, at, " ".join(words[at : at + size]), _slots(words, values, at, size)))
             yield pd.DataFrame(rows, columns=["key", "place", "template", "own"])
 
