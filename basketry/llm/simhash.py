@@ -181,14 +181,13 @@ def hex_fingerprint(fp: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
     """docs without near copies: of each component, one row with the smallest doc_id stays, with all its columns.
 
     Rows that repeat the kept id are dropped too. Rows with a null id cannot be told apart and stay.
     """
-    of = simhash_components(docs, **settings)
-    kept = of.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    kept = settle(kept)
-    single = docs.join(kept.where("_copies = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("_copies > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    of = simhash_components(docs, text, doc_id, **settings)
+    kept = settle(of.where("doc_id = component_id").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count("*").alias("_n")))
+    single = docs.join(kept.where("_n = 1").select(doc_id), doc_id, "left_semi")
+    repeated = docs.join(kept.where("_n > 1").select(doc_id), doc_id, "left_semi").dropDuplicates([doc_id])
+    return single.unionByName(repeated).unionByName(docs.where(F.col(doc_id).isNull())).select(*docs.columns)
