@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 from math import log1p
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -28,29 +28,23 @@ SAMPLE_ROWS = 6000
 FACTORS, PASSES, STEP_ROWS, RATE, DECAY = 4, 12, 64, 0.05, 1e-4
 
 _STRUCTURE = 13
-
-
-@lru_cache(maxsize=1 << 18)
-def _slot(word: str) -> int:
-    return crc32(word.encode("utf-8", "surrogatepass")) % WORDS
+_BUILD = np.arange(WORDS, WORDS + _STRUCTURE)
 
 
 def features(text: str | None, n_chars: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(indices, values) of one document: words to length 1, then statistics of its build, each about 0 to 1.
 
+    Words that share a hash are listed one by one.
+
     n_chars is the document's own metadata; where it is null, the text's length stands in. A null text is an empty one.
     """
     text = text or ""
     words = text.split()
-    counts = Counter(words)
-    slots: dict[int, float] = {}
-    for word, n in counts.items():
-        slot = _slot(word.lower())
-        slots[slot] = slots.get(slot, 0.0) + 1.0 + log1p(n - 1)
+    counts = Counter(text.lower().split())
     n, size = max(len(words), 1), max(len(text), 1)
     lines = text.split("\n")
     top = max(counts.values(), default=0)
-    run = sum(a == b for a, b in zip(words, words[1:]))
+    run = sum(map(eq, words, words[1:]))
     build = (
         min(log1p(len(words)) / 10, 1.5),
         sum(map(len, words)) / n / 20,
@@ -66,9 +60,15 @@ def features(text: str | None, n_chars: float | None = None) -> tuple[np.ndarray
         1.0 if len(words) < 50 else 0.0,
         min(log1p(max(n_chars if n_chars is not None and n_chars == n_chars else len(text), 0)) / 12, 1.5),
     )
-    index = np.fromiter((*slots, *range(WORDS, WORDS + _STRUCTURE)), dtype=np.int32, count=len(slots) + _STRUCTURE)
-    own = np.fromiter(slots.values(), dtype=np.float64, count=len(slots))
-    return index, np.concatenate([own / (np.sqrt((own * own).sum()) or 1.0), np.minimum(build, 2.0)])
+    m = len(counts)
+    index = np.empty(m + _STRUCTURE, dtype=np.int32)
+    index[:m] = [crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in counts]
+    index[m:] = _BUILD
+    value = np.empty(m + _STRUCTURE)
+    value[:m] = 1.0 + np.log(np.fromiter(counts.values(), dtype=np.float64, count=m))
+    value[:m] /= np.sqrt((value[:m] * value[:m]).sum()) or 1.0
+    value[m:] = np.minimum(build, 2.0)
+    return index, value
 
 
 @dataclass
