@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate, fm, htmltext, mixing, quality_rules, urlfilter, warc
 from .langid import learn_dictionaries, predict_language
 from .pii import pii_digest
-from .shared import in_fold, read
+from .shared import in_fold, read, settle
 from .simhash import hex_fingerprint, simhash_components
 
 
@@ -44,7 +44,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    docs, targets = read(spark, sf_dir, "documents").select("doc_id", "text"), mixing.TARGETS
+    model = mixing.learn_domains(docs, read(spark, sf_dir, "labels"), list(targets))
+    members = settle(mixing.with_posteriors(docs, model).drop("text"))  # texts are read once
+    out = mixing.with_rates(members, mixing.fit_rates(members, targets), text=None)
     shares = [F.get("posterior", F.lit(i)).alias(f"p_{name}") for i, name in enumerate(sorted(mixing.TARGETS))]
     return out.select("doc_id", "tokens", *shares, "rate", "copies")
 
