@@ -1,7 +1,7 @@
 """Mixing sources to target weights by soft membership.
 
 A classifier that is learned from the label table gives each document a posterior over domains. Nonnegative rates of the
-documents, how often each is to be used, are fitted by projected gradient steps so that the expected tokens of each
+documents, how often each is to be used, are fitted by projected gradient steps with momentum so that the expected tokens of each
 domain meet their targets while rates stay near one. In the metric of a document's own tokens a step hangs on the
 posterior and on the domains' residuals alone. So no rate is stored between steps: a pass works each rate out of the residuals so
 far, a few numbers, and adds up the next ones.
@@ -23,10 +23,10 @@ from .shared import settle, small_batches
 #: Labelled rows that the classifier is fitted on, at most: those first by a hash of the id.
 SAMPLE_ROWS = 6000
 PASSES, STEP_ROWS, RATE, DECAY = 15, 64, 0.1, 1e-4
-#: Share of the tokens that each domain (quality, toxic) is to get.
-TARGETS = {"q1t0": 0.82, "q1t1": 0.05, "q0t0": 0.11, "q0t1": 0.02}
+#: Tokens that each domain (quality, toxic) is to get, in shares of all tokens there are; over one in all, so good text repeats.
+TARGETS = {"q1t0": 0.95, "q1t1": 0.10, "q0t0": 0.06, "q0t1": 0.01}
 #: Pull of the rates towards one, steps at most, and the largest miss of a target, in shares of all tokens, at which steps end.
-PULL, STEPS, NEAR = 0.002, 60, 0.001
+PULL, STEPS, NEAR = 0.002, 40, 0.001
 
 _SIZE = WORDS + _STRUCTURE
 
@@ -117,7 +117,7 @@ def with_posteriors(docs: DataFrame, model: Domains, text: str = "text") -> Data
 
 @dataclass
 class Rates:
-    """What a rate is worked out of: the targets' weights, the step and the residuals of all steps (in shares of all tokens)."""
+    """What a rate is worked out of: the targets, the step and the residuals of all steps (in shares of all tokens)."""
 
     names: list[str]
     targets: np.ndarray
@@ -125,12 +125,13 @@ class Rates:
     pull: float
     residuals: list[np.ndarray] = field(default_factory=list)
 
-    def of(self, posterior: np.ndarray) -> np.ndarray:
-        """Rates of rows of posteriors: the projected steps in turn, from one."""
-        rate = np.ones(len(posterior))
-        for residual in self.residuals:
-            rate = np.maximum(0.0, rate - self.step * (posterior @ (residual / self.targets) + self.pull * (rate - 1.0)))
-        return rate
+    def of(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates of rows of posteriors, from one by the projected steps in turn, and where momentum takes them next."""
+        rate = ahead = np.ones(len(posterior))
+        for k, residual in enumerate(self.residuals):
+            new = np.maximum(0.0, ahead - self.step * (posterior @ (residual / self.targets) + self.pull * (ahead - 1.0)))
+            rate, ahead = new, new + k / (k + 3) * (new - rate)
+        return rate, ahead
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], pull: float = PULL, steps: int = STEPS, near: float = NEAR) -> Rates:
@@ -150,23 +151,24 @@ def fit_rates(members: DataFrame, targets: dict[str, float], pull: float = PULL,
         return Rates(names, wanted, 1.0, pull)
     # a bound of the curvature of half the sum of squared residuals, each over its target
     found = Rates(names, wanted, 1.0 / (pull + float((shares[1:] / total / wanted).max())), pull)
-    now = shares[1:]
+    size = len(names)
+    now = np.concatenate([shares[1:], shares[1:]])
     for _ in range(steps):
-        residual = np.round(now / total - wanted, 12)
-        if np.abs(residual).max() <= near:
+        missed, residual = np.round(now / total - np.concatenate([wanted, wanted]), 12).reshape(2, size)
+        if np.abs(missed).max() <= near:
             break
         found.residuals.append(residual)
         current = Rates(names, wanted, found.step, pull, list(found.residuals))
 
         def add(batches: Iterator[pd.DataFrame], current: Rates = current) -> Iterator[pd.DataFrame]:
-            out = np.zeros(len(names))
+            out = np.zeros(2 * size)
             for batch in batches:
-                posterior = np.stack(batch["posterior"].to_numpy()) if len(batch) else np.zeros((0, len(names)))
-                out += posterior.T @ (current.of(posterior) * batch["tokens"].to_numpy())
-            yield pd.DataFrame([out], columns=[f"d{d}" for d in range(len(names))])
+                posterior = np.stack(batch["posterior"].to_numpy()) if len(batch) else np.zeros((0, size))
+                out += np.concatenate([posterior.T @ (r * batch["tokens"].to_numpy()) for r in current.of(posterior)])
+            yield pd.DataFrame([out], columns=[f"d{d}" for d in range(2 * size)])
 
-        each = members.select("tokens", "posterior").mapInPandas(add, ", ".join(f"d{d} double" for d in range(len(names))))
-        now = sums(each.agg(*(F.sum(f"d{d}") for d in range(len(names)))))
+        each = members.select("tokens", "posterior").mapInPandas(add, ", ".join(f"d{d} double" for d in range(2 * size)))
+        now = sums(each.agg(*(F.sum(f"d{d}") for d in range(2 * size))))
     return found
 
 
@@ -178,7 +180,7 @@ def with_rates(members: DataFrame, rates: Rates, doc_id: str = "doc_id", text: s
 
     @F.pandas_udf("double")
     def of(posterior: pd.Series) -> pd.Series:
-        return pd.Series(rates.of(np.stack(posterior.to_numpy())) if len(posterior) else np.zeros(0))
+        return pd.Series(rates.of(np.stack(posterior.to_numpy()))[0] if len(posterior) else np.zeros(0))
 
     keyed = [F.col(doc_id)] + ([F.col(text)] if text else [])
     chance = F.pmod(F.xxhash64(F.lit(17), *keyed), F.lit(1 << 30)) / (1 << 30)

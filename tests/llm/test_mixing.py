@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 def brute_rates(posterior, tokens, wanted, pull, steps, near):
     """Projected gradient with every rate kept."""
-    total, rate = tokens.sum(), np.ones(len(tokens))
+    total, rate, ahead = tokens.sum(), np.ones(len(tokens)), np.ones(len(tokens))
     step = 1 / (pull + (posterior.T @ tokens / total / wanted).max())
-    for _ in range(steps):
-        residual = posterior.T @ (rate * tokens) / total - wanted
-        if np.abs(residual).max() <= near:
+    for k in range(steps):
+        if np.abs(posterior.T @ (rate * tokens) / total - wanted).max() <= near:
             break
-        rate = np.maximum(0, rate - step * (posterior @ (residual / wanted) + pull * (rate - 1)))
+        residual = posterior.T @ (ahead * tokens) / total - wanted
+        new = np.maximum(0, ahead - step * (posterior @ (residual / wanted) + pull * (ahead - 1)))
+        rate, ahead = new, new + k / (k + 3) * (new - rate)
     return rate
 
 
