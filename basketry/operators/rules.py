@@ -43,6 +43,17 @@ FACT_RULES = [
     Rule("week_no_within_seed_window", "fact", "week_no BETWEEN 1 AND 102", "warn"),
 ]
 
+# The invariants of the dimensions.
+DIMENSION_RULES = [
+    Rule("product_id_present", "dim_product", "product_id IS NOT NULL"),
+    Rule("department_never_null", "dim_product", "department IS NOT NULL"),
+    Rule("brand_tier_is_binary", "dim_product", "brand_tier IN ('National', 'Private')"),
+    Rule("household_key_present", "dim_household", "household_key IS NOT NULL"),
+    Rule("demographics_flag_matches_payload", "dim_household", "has_demographics = (age_band IS NOT NULL)"),
+    Rule("store_id_present", "dim_store", "store_id IS NOT NULL"),
+    Rule("store_activity_is_positive", "dim_store", "transaction_lines > 0"),
+]
+
 
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([astuple(r) for r in rules], ", ".join(f"{f.name} string" for f in fields(Rule)))
@@ -81,6 +92,12 @@ def gate(df: DataFrame, rules: list[Rule], version: str = "1", now: Column | Non
     return judged.where(F.size("_broken") == 0).drop("_broken"), rejected.drop("_broken")
 
 
+def rule_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(dataset, rule_name, passed, failed) of each rule over all rows, in one pass; rules that nothing breaks too."""
+    each = (F.struct(F.lit(r.dataset).alias("dataset"), F.lit(r.name).alias("rule_name"), F.count(F.when(~broken(r), 1)).alias("passed"), F.count(F.when(broken(r), 1)).alias("failed")) for r in rules)
+    return df.agg(F.array(*each).alias("r")).select(F.inline("r"))
+
+
 def rule_impact(df: DataFrame, rules: list[Rule], amount: str, key: str) -> DataFrame:
     """(rule_name, severity, rows_hit, amount_hit, keys_hit) of each rule over all rows, in one pass."""
     named = [F.when(broken(r), F.struct(F.lit(r.name).alias("n"), F.lit(r.severity).alias("s"))) for r in rules]

@@ -28,6 +28,12 @@ def build_scd2(changes: DataFrame, keys: list[str], sequence: str, tracked: list
     return kept.select(*keys, *(F.col(f"_v.{c}").alias(c) for c in tracked), F.col(sequence).alias(START), END, F.col(END).isNull().alias("is_current"))
 
 
+def snapshot_versions(snapshot: DataFrame, keys: list[str], versions: list[Column]) -> DataFrame:
+    """A change feed from a snapshot: a row for each of the version structs that is not null, which a row has one to n of."""
+    rows = snapshot.select(*keys, F.explode(F.array_compact(F.array(*versions))).alias("_v"))
+    return rows.select(*keys, "_v.*")
+
+
 def as_of_join(facts: DataFrame, dim: DataFrame, keys: list[str], at: str, how: str = "left", select: list[str] | None = None) -> DataFrame:
     """Facts with the chosen columns of the version in force at ``at``: an equi join with the window as residual.
 

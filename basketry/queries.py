@@ -233,6 +233,20 @@ def candidate_rules(spark, root):
     return rules.candidate_rules(conformed(spark, root), _PROFILED).select("column_name", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
+@query("fact", """SELECT 'dim_product' AS dataset, unnest(['product_id_present', 'department_never_null', 'brand_tier_is_binary']) AS rule_name, unnest([count(product_id), count(product_id), count(*) FILTER (brand_tier NOT LIKE 'Brand#1%' OR product_id % 2 = 0)]) AS passed, unnest([0, 0, count(*) FILTER (brand_tier LIKE 'Brand#1%' AND product_id % 2 = 1)]) AS failed FROM dim_product
+UNION ALL SELECT 'dim_household', unnest(['household_key_present', 'demographics_flag_matches_payload']), unnest([count(*), count(*)]), unnest([0, 0]) FROM dim_household
+UNION ALL SELECT 'dim_store', unnest(['store_id_present', 'store_activity_is_positive']), unnest([count(*), count(*)]), unnest([0, 0]) FROM (SELECT DISTINCT store_id FROM valid WHERE store_id IS NOT NULL)""")
+def dimension_invariants(spark, root):
+    of = lambda name: [r for r in rules.DIMENSION_RULES if r.dataset == name]
+    house = F.col("brand_tier").startswith("Brand#1")
+    product = dim_product(spark, root).withColumn("brand_tier", F.when(house & (F.col("product_id") % 2 == 1), "House").when(house, "Private").otherwise("National"))
+    known = F.col("segment") != "UNKNOWN"
+    household = dim_household(spark, root).withColumns({"has_demographics": known, "age_band": F.when(known, F.col("segment"))})
+    store = stores(spark, root).withColumn("transaction_lines", F.col("lines"))
+    out = rules.rule_counts(product, of("dim_product")).unionByName(rules.rule_counts(household, of("dim_household")))
+    return out.unionByName(rules.rule_counts(store, of("dim_store")))
+
+
 @query("gate", "SELECT 'fact' AS dataset, count(*) FILTER (len(failed) = 0) / count(*) AS pass_rate, 0.995::DOUBLE AS baseline_rate, count(*) FILTER (len(failed) = 0) / count(*) < 0.995 - 0.01 AS regressed FROM judged")
 def pass_rate_regression(spark, root):
     broken = F.size(rules.violations([r for r in rules.FACT_RULES if r.severity == "error"]))
@@ -676,12 +690,26 @@ def stream_scd2(spark, root):
 
 @query(None, f"SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n, {sum_of('value')} AS total FROM events GROUP BY ALL")
 def stream_window(spark, root):
+    return _windowed(spark, root, "1 day", ["event_type"], "value")
+
+
+def _windowed(spark: SparkSession, root: str, *args, **settings) -> DataFrame:
     path = rank.stage_dir(spark)
-    rows = flows.windowed(_event_stream(spark, root), "ts", "1 day", ["event_type"], "value")
+    rows = flows.windowed(_event_stream(spark, root), "ts", *args, **settings)
     rows.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/out")).outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 
+@query(None, f"WITH s AS (SELECT *, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS w FROM events) SELECT w AS window_start, w + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n, {sum_of('value')} AS total FROM s GROUP BY ALL")
+def stream_sliding(spark, root):
+    return _windowed(spark, root, "1 day", ["event_type"], "value", slide="12 hours")
+
+
+@query(None, f"WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, user_id, count(*) AS n, {sum_of('value')} AS total FROM s GROUP BY user_id, k")
+def stream_session(spark, root):
+    return _windowed(spark, root, "6 hours", ["user_id"], "value", session=True)
+
+
 @query(None, "SELECT user_id % 500 AS k FROM events GROUP BY 1")
 def stream_dedup(spark, root):
     path = rank.stage_dir(spark)

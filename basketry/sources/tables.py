@@ -61,9 +61,11 @@ def product_changes(spark: SparkSession, root: str) -> DataFrame:
 
 def household_changes(spark: SparkSession, root: str) -> DataFrame:
     """A change feed of households: all from the start, some enrol, some of those are updated."""
+    from ..operators.scd2 import snapshot_versions
+
+    at = lambda segment, day: F.struct(segment.alias("segment"), F.lit(day).cast("timestamp").alias("changed_at"))
     base = table(spark, root, "customer").select(F.col("c_custkey").alias("household_key"), F.col("c_mktsegment").alias("segment"))
-    at = lambda frame, segment, day: frame.withColumns({"segment": segment, "changed_at": F.lit(day).cast("timestamp")})
-    first = at(base, F.lit("UNKNOWN"), "1990-01-01")
-    enrolled = at(base.where("household_key % 3 = 0"), F.col("segment"), "1997-07-01")
-    updated = at(base.where("household_key % 3 = 0 and household_key % 20 = 3"), F.concat(F.lit("UPD-"), "segment"), "1999-03-01")
-    return first.unionByName(enrolled).unionByName(updated)
+    enrolled = F.col("household_key") % 3 == 0
+    updated = enrolled & (F.col("household_key") % 20 == 3)
+    versions = [at(F.lit("UNKNOWN"), "1990-01-01"), F.when(enrolled, at(F.col("segment"), "1997-07-01")), F.when(updated, at(F.concat(F.lit("UPD-"), "segment"), "1999-03-01"))]
+    return snapshot_versions(base, ["household_key"], versions)
