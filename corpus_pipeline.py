@@ -11,11 +11,16 @@ from basketry.llm import decontaminate, langid, mixing, pii, simhash
 from basketry.llm.shared import gone_at_exit, read, shared_dir
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row as ``_row``, whose columns no operator's own can replace."""
+    return docs.select("doc_id", "text", F.struct("*").alias("_row"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin; dictionaries are learned from the labelled ones given."""
     dictionaries = langid.learn_dictionaries(docs)
-    judged = langid.predict_language(docs.withColumn("_text", F.col("text")), dictionaries, "_text")
-    return judged.where(~F.col("rejected")).select(*docs.columns)
+    judged = langid.predict_language(_carried(docs), dictionaries)
+    return judged.where(~F.col("rejected")).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +41,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mixture uses, with rate and the copies to make of each."""
-    mixed = mixing.mix(docs, read(spark, sf_dir, "labels"))
-    return mixed.where("copies > 0").select(*docs.columns, "rate", "copies")
+    mixed = mixing.mix(_carried(docs), read(spark, sf_dir, "labels"))
+    kept = [F.col(f"_row.{c}") for c in docs.columns if c not in ("rate", "copies")]
+    return mixed.where("copies > 0").select(*kept, "rate", "copies")
 
 
 STAGES = [

@@ -73,3 +73,23 @@ def test_mixture_follows_its_rates(spark, stages):
     got = {r.doc_id: r for r in stages[5].collect()}
     assert all(abs(r.rate - want[d]) < 1e-6 and r.copies in (int(r.rate), int(r.rate) + 1) and r.copies > 0 for d, r in got.items())
     assert all(x < 1 for d, x in want.items() if d not in got)
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Every stage takes nulls, repeats, long texts, empty tables and columns named like its own; all but the last keep the columns."""
+    text = "The quick brown fox jumps over the lazy dog near the river bank today. "
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, None, None, None, None), (None, text * 2, None, None, None), (3, "", "en", "s", 0), (4, text * 3000, "en", "s", 5), (5, "mail a@b.co now please, thank you very much indeed", "en", "s", 5)]
+    extra = "doc_id long, text string, lang string, source string, n_chars long, score string, rejected int, tokens string, posterior int, rate string, fp int, pii string, _n int"
+    docs = spark.createDataFrame([(*r, "x", 1, "x", 1, "x", 1, "x", 1) for r in rows], extra)
+    for frame in (docs, docs.limit(0)):
+        own = frame
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = f"{tmp_path}/{n}-{frame is docs}"
+            stage(spark, own, ROOT).write.parquet(path)
+            out = spark.read.parquet(path)
+            assert sorted(out.columns) == sorted([*docs.columns, *(["copies"] if n == 4 else [])])
+            own = out
+            if frame is docs and n == 2:
+                assert sorted((r.doc_id or 0) for r in own.collect()) in ([0, 1, 4, 5], [1, 4, 5], [0, 1, 5], [0, 1])
+            if frame is docs and n == 3:
+                assert all("a@b.co" not in r.text and r.score == "x" for r in own.collect())
