@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,11 @@ def stage_dir(spark: SparkSession) -> str:
     return path
 
 
+def padded_key(column: str, width: int) -> Column:
+    """A number as a text key of twelve digits and ``width`` bytes more: the same order at a wider sort key."""
+    return F.concat(F.lpad(F.col(column).cast("string"), 12, "0"), F.repeat(F.lit("x"), width))
+
+
 def distributed_row_number(df: DataFrame, order_cols: list, name: str = "row_number", partitions: int | None = None) -> DataFrame:
     """df with its 1-based place in the order, which should be total.
 

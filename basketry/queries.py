@@ -501,6 +501,13 @@ def rank_filtered(spark, root):
     return rank.distributed_row_number(tables.table(spark, root, "lineitem").where("l_shipdate >= timestamp'1998-01-01'").select(*_ORDER), _ORDER)
 
 
+@query(None, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_number FROM lineitem")
+def rank_wide(spark, root):
+    """The same ranking with 512 bytes more in the sort key."""
+    lines = tables.table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumn("wide", rank.padded_key("l_orderkey", 512))
+    return rank.distributed_row_number(lines, ["wide", "l_linenumber", "l_partkey", "l_suppkey"]).drop("wide")
+
+
 @query(None, "SELECT event_id, ts, user_id FROM events ORDER BY ts DESC, event_id LIMIT 50")
 def recent_top(spark, root):
     return tables.table(spark, root, "events").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "ts", "user_id")
