@@ -102,7 +102,7 @@ def _entry(raw: str) -> tuple[int, int | list[int], bool]:
 
 
 _SEEN: dict[str, tuple[int, int | list[int], bool]] = {}
-_SEEN_MOST = 300_000
+_SEEN_MOST = 100_000
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -151,6 +151,12 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
     return np.stack([hashes & _PLACES, (hashes >> _HALF) & _PLACES])
 
 
+def _set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether each place of the filter is set."""
+    places = places.astype(np.int64)
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _slots(words: list[str], values: list[str], at: int, size: int) -> list[str]:
     return [values[i] for i in range(at, at + size) if words[i] in (NUMBER, UNIT, NAME)]
 
@@ -181,13 +187,13 @@ def benchmark_windows(benchmark: DataFrame, text: str = "text", item_id: str = "
 
 
 def _filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The filter's bytes, and the window sizes in use (at most WINDOW - SHORTEST + 1)."""
+    """The filter's bytes, lowest bit first, and the window sizes in use (at most WINDOW - SHORTEST + 1)."""
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
     bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     words = windows.select(F.explode("bits").alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("w"))
     for row in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
         bits[row["word"]] = row["w"]
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool), sizes
+    return bits.view(np.uint8), sizes
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -199,26 +205,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     """
     small_batches(docs.sparkSession)
     windows = settle(benchmark_windows(benchmark))
-    mask, sizes = _filter(windows)
-    held = docs.sparkSession.sparkContext.broadcast((np.packbits(mask, bitorder="little"), sizes))  # of fixed size
-    kept: dict[str, np.ndarray] = {}
+    held = docs.sparkSession.sparkContext.broadcast(_filter(windows))  # of fixed size
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if "mask" not in kept:
-            kept["mask"] = np.unpackbits(held.value[0], bitorder="little").view(bool)
-        mask, sizes = kept["mask"], held.value[1]
+        bits, sizes = held.value
         for batch in batches:
             rows = []
             for key, body in zip(batch["key"], batch["text"]):
                 own, words = hashes(body), None
                 for size in sizes:
                     found = _window_hashes(own, size)
-                    one = np.flatnonzero(mask[found & _PLACES])
-                    for at in one[mask[(found[one] >> _HALF) & _PLACES]].tolist():
+                    one = np.flatnonzero(_set(bits, found & _PLACES))
+                    for at in one[_set(bits, (found[one] >> _HALF) & _PLACES)].tolist():
                         if words is None:
                             words, values = canonical(body)
                         rows.append((key, at, " ".join(words[at : at + size]), _slots(words, values, at, size)))
             yield pd.DataFrame(rows, columns=["key", "place", "template", "own"])
+        _SEEN.clear()  # a worker lives on
 
     own = docs.select(document_key(text, doc_id).alias("key"), F.col(text).alias("text"))
     found = own.mapInPandas(cut, "key string, place int, template string, own array<string>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from zlib import crc32
 
 import pandas as pd
 import zstandard
@@ -90,6 +91,18 @@ def letters_only(text: str) -> bytes:
     return _NOT_LETTERS.sub(" ", f" {text.lower()} ").encode("utf-8", "replace")
 
 
+_JUDGES: dict[tuple, Judge] = {}
+
+
+def _judge(dictionaries: dict[str, bytes]) -> Judge:
+    """The worker's one judge, kept between tasks: encoders are large, and not to be made for each."""
+    key = tuple(sorted((name, crc32(content)) for name, content in dictionaries.items()))
+    if key not in _JUDGES:
+        _JUDGES.clear()
+        _JUDGES[key] = Judge(dictionaries)
+    return _JUDGES[key]
+
+
 def has_letter(text: str) -> bool:
     return any(unicodedata.category(c)[0] == "L" for c in text)
 
@@ -102,13 +115,9 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str
     three replace the old ones.
     """
     small_batches(docs.sparkSession)
-    kept: dict[str, Judge] = {}
-
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        if "judge" not in kept:
-            kept["judge"] = Judge(dictionaries)
-        predict = kept["judge"].predict
+        predict = _judge(dictionaries).predict
         return pd.DataFrame([predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
     out = docs.select("*", judge(F.col(text)).alias("_judged"))
