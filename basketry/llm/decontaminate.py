@@ -135,6 +135,11 @@ def hashes(text: str | None) -> np.ndarray:
 _PLACES, _HALF = np.uint64(FILTER_BITS - 1), np.uint64(32)
 
 
+def forget() -> None:
+    """Lets go of the raw words seen; a worker lives on after its task."""
+    _SEEN.clear()
+
+
 def _window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
@@ -221,7 +226,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
                             words, values = canonical(body)
                         rows.append((key, at, " ".join(words[at : at + size]), _slots(words, values, at, size)))
             yield pd.DataFrame(rows, columns=["key", "place", "template", "own"])
-        _SEEN.clear()  # a worker lives on
+        forget()
 
     own = docs.select(document_key(text, doc_id).alias("key"), F.col(text).alias("text"))
     found = own.mapInPandas(cut, "key string, place int, template string, own array<string>")
