@@ -182,10 +182,13 @@ def with_rates(members: DataFrame, rates: Rates, doc_id: str = "doc_id", text: s
     def of(posterior: pd.Series) -> pd.Series:
         return pd.Series(rates.of(np.stack(posterior.to_numpy()))[0] if len(posterior) else np.zeros(0))
 
-    keyed = [F.col(doc_id)] + ([F.col(text)] if text else [])
+    return members.withColumn("rate", of("posterior")).withColumn("copies", _copies([doc_id, text] if text else [doc_id]))
+
+
+def _copies(keyed: list[str]) -> Column:
     chance = F.pmod(F.xxhash64(F.lit(17), *keyed), F.lit(1 << 30)) / (1 << 30)
     whole = F.floor("rate")
-    return members.withColumn("rate", of("posterior")).withColumn("copies", (whole + (chance < F.col("rate") - whole).cast("long")).cast("long"))
+    return (whole + (chance < F.col("rate") - whole).cast("long")).cast("long")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -193,4 +196,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     targets = targets or TARGETS
     model = learn_domains(docs, labels, list(targets), text, doc_id)
     rates = fit_rates(settle(with_posteriors(docs.select(text), model, text).select("tokens", "posterior")), targets)
-    return with_rates(with_posteriors(docs, model, text), rates, doc_id, text)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+
+    @F.pandas_udf("tokens long, posterior array<double>, rate double")
+    def of(texts: pd.Series) -> pd.DataFrame:  # one worker a task, not one for the posterior and one for the rate
+        each = [held.value.posteriors([features(t) for t in texts[i : i + 200]]) for i in range(0, len(texts), 200)]
+        posterior = np.concatenate(each) if each else np.zeros((0, len(rates.names)))
+        return pd.DataFrame({"tokens": [len((t or "").split()) for t in texts], "posterior": posterior.tolist(), "rate": rates.of(posterior)[0]})
+
+    rows = docs.select("*", of(F.col(text)).alias("_of"))
+    rows = rows.withColumns({n: F.col(f"_of.{n}") for n in ("tokens", "posterior", "rate")}).drop("_of")
+    return rows.withColumn("copies", _copies([doc_id, text]))

@@ -45,9 +45,15 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Allocator settings of Python workers: what a batch took goes back to the system, as workers live on from stage to stage.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144"}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once."""
+    """Bound what a Python worker holds at once, and between its tasks."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 def fold(doc_id: Column | str, modulus: int) -> Column:
