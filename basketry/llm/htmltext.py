@@ -3,8 +3,9 @@
 A page is read into text blocks, each with the region that its elements give it: of the article, of furniture (menus,
 headers, footers, sidebars, notices, adverts, forms, comments), or of neither. Pages of a host are put in the order
 of their paths, each is paired with the one of its neighbours whose path is nearest, and the lines that both
-have, by longest common subsequence, are deleted as template. Lines that an article element holds are the page's own
-whatever a copy elsewhere says, so there differencing deletes nothing.
+have, by longest common subsequence, are deleted as template. A neighbour with the very same texts shows no template: the
+nearest is the nearest whose texts differ. Lines that an article element holds are the page's own whatever a copy elsewhere
+says, so there differencing deletes nothing.
 """
 
 from __future__ import annotations
@@ -15,16 +16,16 @@ from collections.abc import Iterator
 from os.path import commonprefix
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .shared import small_batches
+from .shared import ARROW_ROWS, settle, small_batches
 from .urlfilter import url_host, url_path
 
-#: Pages of a host that are compared in one run of rows; a host with more is dealt into several by a hash of the path.
-RUN_PAGES = 4096
-#: Hosts with more pages than that whose counts are broadcast, at most; beyond, they are joined by a shuffle.
-BROADCAST_HOSTS = 200_000
+#: Pages of a range, about, where the session's number of shuffle partitions gives larger ones.
+RANGE_PAGES = 1 << 15
 
 OWN, FURNITURE, OTHER = 0, 1, 2
 
@@ -185,47 +186,117 @@ def _nearest(path: str, before: str | None, after: str | None) -> int:
     return 1 if len(commonprefix([path, after])) > len(commonprefix([path, before])) else -1
 
 
+def _seal(text: Column) -> Column:
+    """64-bit hash of the texts of a page's blocks, as a column; equal for pages that differ in markup only."""
+
+    @F.pandas_udf("long")
+    def of(sources: pd.Series) -> pd.Series:
+        return pd.Series([xxhash.xxh64_intdigest("\n".join(t for t, _ in blocks(x)).encode("utf-8", "surrogatepass")) - (1 << 63) for x in sources], dtype="int64")
+
+    return of(text)
+
+
+_KEY = ("host", "path", "page_id", "seal")
+
+
+def _edges(keys: DataFrame, ranges: int) -> tuple[list[Row], list[tuple[Row, int]]]:
+    """(the first key of each range of pages, (key, range) of pages that a range needs to see besides its own).
+
+    ``keys``: _KEY and ``said``, the hash of the texts. A range needs, of its first host, the last page before it whose
+    texts are not its first page's, and of its last host, the first page after it whose texts are not its last page's.
+    At most four rows of a range come to the driver, whatever the number of pages.
+    """
+    key = F.struct(*_KEY)
+    dealt = keys.repartitionByRange(ranges, *_KEY).withColumn("range", F.spark_partition_id())
+    texts = settle(dealt.groupBy("range", "host", "said").agg(F.min(key).alias("low"), F.max(key).alias("high")))
+    first, last = Window.partitionBy("range").orderBy("low", "said"), Window.partitionBy("range").orderBy(F.desc("high"), "said")
+    low = texts.withColumn("n", F.row_number().over(first)).where("n <= 2").select("range", "n", "said", F.col("low").alias("key"), F.lit(True).alias("begins"))
+    high = texts.withColumn("n", F.row_number().over(last)).where("n <= 2").select("range", "n", "said", F.col("high").alias("key"), F.lit(False).alias("begins"))
+    begin: dict[int, list[Row]] = {}
+    end: dict[int, list[Row]] = {}
+    for row in low.unionByName(high).orderBy("range", "n").collect():
+        (begin if row["begins"] else end).setdefault(row["range"], []).append(row)
+    order = sorted(begin)
+    needs: list[tuple[Row, int]] = []
+    for edges, line in ((end, order), (begin, order[::-1])):
+        facing = begin if edges is end else end
+        for i, own in enumerate(line):
+            host, said = facing[own][0]["key"]["host"], facing[own][0]["said"]
+            for other in reversed(line[:i]):
+                one = next((x for x in edges[other] if (x["key"]["host"], x["said"]) != (host, said)), None)
+                if one and one["key"]["host"] == host:
+                    needs.append((one["key"], i if edges is end else len(line) - 1 - i))
+                if one:
+                    break
+    return [begin[r][0]["key"] for r in order], needs
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """pages -> (page_id, url, text, n_chars), a row for each row; text is empty where there is none.
 
-    Null html is an empty page. Pages without a host are paired among themselves. Ties in path go by id and then html.
-    Only neighbouring pages are held at once, whatever the size of a host.
+    Null html is an empty page. Pages without a host are paired among themselves. Ties in path go by id and then by a
+    hash of the html. Pages are dealt by ranges of that order, and each range is given the pages beyond its ends that it
+    needs, so the nearest page is the same at any number of ranges; a host of any size is spread over its tasks.
     """
     spark = pages.sparkSession
     small_batches(spark)
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    own = own.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
-    large = own.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > RUN_PAGES).select("host", F.ceil(F.col("n") / RUN_PAGES).cast("int").alias("runs"))
-    large = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
-    dealt = own.join(large, "host", "left").withColumn("run", F.pmod(F.xxhash64("path"), F.coalesce("runs", F.lit(1))).cast("int"))
-    dealt = dealt.select("host", "run", "path", "page_id", "url", "html").repartition("host", "run")
-    dealt = dealt.sortWithinPartitions("host", "run", "path", "page_id", "html")
+    own = own.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url")), "seal": F.xxhash64("html")})
+    keys = settle(own.select(*_KEY, _seal(F.col("html")).alias("said")))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // RANGE_PAGES))
+    begins, needs = _edges(keys, ranges)
+    form = own.select(*_KEY).schema
+    asked: dict[Row, list[int]] = {}
+    for one, to in needs:
+        asked.setdefault(one, []).append(to)
+    bounds = spark.createDataFrame([(begins,)], StructType([StructField("begins", ArrayType(form))]))
+    beyond = spark.createDataFrame([(*one, to) for one, to in asked.items()], StructType([*(StructField(f"_{f.name}", f.dataType) for f in form), StructField("also", ArrayType(IntegerType()))]))
+    met = F.lit(True)
+    for name in _KEY:
+        met &= F.col(name).eqNullSafe(F.col(f"_{name}"))
+    placed = own.crossJoin(F.broadcast(bounds)).withColumn("range", F.size(F.filter("begins", lambda b: b <= F.struct(*_KEY))) - 1)
+    placed = placed.join(F.broadcast(beyond), met, "left")
+    to = F.concat(F.array("range"), F.coalesce("also", F.array().cast("array<int>")))
+    dealt = placed.select(*_KEY, "url", "html", F.posexplode(to).alias("guest", "range"))
+    dealt = dealt.repartition(ranges, "range").sortWithinPartitions("range", *_KEY)
 
     def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before, page, rows = None, None, []  # a page: (run, path, id, url, blocks)
+        # a run is of neighbours with the same texts: (path, id, url, blocks, whether a guest) of each page
+        key, run, said, before, rows = None, [], None, None, []
 
-        def done(page: tuple, before: tuple | None, after: tuple | None) -> tuple:
-            before = before if before and before[0] == page[0] else None
-            after = after if after and after[0] == page[0] else None
-            side = _nearest(page[1], before and before[1], after and after[1])
-            near = before if side < 0 else after if side > 0 else None
-            text = main_text(page[4], near[4] if near else None)
-            return page[2], page[3], text, len(text)
+        def done(after: tuple | None) -> None:
+            known: dict[tuple[int, int], str] = {}
+            for path, own_id, address, own, guest in run:
+                if guest:
+                    continue
+                side = _nearest(path, before and before[0], after and after[0])
+                if (id(own), side) not in known:
+                    near = before if side < 0 else after if side > 0 else None
+                    known[id(own), side] = main_text(own, near[3] if near else None)
+                text = known[id(own), side]
+                rows.append((own_id, address, text, len(text)))
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
             return pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
 
         for batch in batches:
             ids = (None if x != x else int(x) for x in batch["page_id"])
-            for host, run, path, own_id, address, source in zip(batch["host"], batch["run"], batch["path"], ids, batch["url"], batch["html"]):
-                after = ((host, run), path, own_id, address, blocks(source))
-                if page:
-                    rows.append(done(page, before, after))
-                before, page = page, after
-            if rows:
-                yield frame(rows)
-                rows = []
-        if page:
-            yield frame([done(page, before, None)])
+            for host, part, path, own_id, address, source, guest in zip(batch["host"], batch["range"], batch["path"], ids, batch["url"], batch["html"], batch["guest"]):
+                own = blocks(source)
+                texts = [t for t, _ in own]
+                page = (path, own_id, address, own, guest > 0)
+                if run and (key != (part, host) or texts != said):
+                    done(page if key == (part, host) else None)
+                    before, run = run[-1] if key == (part, host) else None, []
+                elif run and own == run[0][3]:
+                    page = (*page[:3], run[0][3], page[4])  # copies hold one list
+                key, said = (part, host), texts
+                run.append(page)
+                if len(rows) >= ARROW_ROWS:
+                    yield frame(rows)
+                    rows.clear()
+        done(None)
+        if rows:
+            yield frame(rows)
 
     return dealt.mapInPandas(differ, "page_id long, url string, text string, n_chars long")

@@ -2,7 +2,7 @@ import html
 import random
 import re
 
-from basketry.llm.htmltext import OWN, blocks, common_lines, extract, main_text
+from basketry.llm.htmltext import OWN, _nearest, blocks, common_lines, extract, main_text
 
 
 def lcs(a, b):
@@ -57,3 +57,42 @@ def test_template_of_pages_without_landmarks_is_deleted(spark):
     ]
     assert extract(pages.limit(0)).count() == 0
     assert sorted((r.page_id, r.text) for r in extract(pages.repartition(7)).collect()) == got
+
+
+def test_copies_show_no_template_and_the_nearest_page_that_differs_does(spark):
+    shell = "<div>Site name</div><div>Home Shop About</div><p>{}</p><div>All rights kept</div>"
+    rows = [(i, f"http://h/a/{i:03}", shell.format("copied story")) for i in range(40)] + [(99, "http://h/b", shell.format("other"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in extract(pages.where("page_id < 99")).collect()} == {"Site name\n\nHome Shop About\n\ncopied story\n\nAll rights kept"}
+    for ranges in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        try:
+            got = {r.page_id: r.text for r in extract(pages).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == {**{i: "copied story" for i in range(40)}, 99: "other"}
+
+
+def test_large_hosts_are_paired_like_small_ones(spark):
+    """A host of 6,000 pages in sections of 1 to 5, some of copies, at several numbers of ranges, against brute force."""
+    draw, rows = random.Random(4), []
+    for section in range(2000):
+        for i in range(draw.choice((1, 2, 5))):
+            line = draw.choice(("same", f"story {section} {i}"))
+            rows.append((len(rows), f"http://h/s{section:04}/{i}", f"<div>Menu</div><div>Section {section}</div><p>{line}</p><div>End</div>"))
+    rows.append((len(rows), "http://g/x", "<p>x"))
+    assert len(rows) > 4096 + 1
+    keyed = sorted((u.split("/", 3)[2], "/" + u.split("/", 3)[3], i, blocks(h)) for i, u, h in rows)
+    want = {}
+    for at, (host, path, i, own) in enumerate(keyed):
+        before, after = (next((k for k in way if k[0] == host and k[3] != own), None) for way in (keyed[:at][::-1][:99], keyed[at + 1 :][:99]))
+        near = (before, after)[_nearest(path, before and before[1], after and after[1]) > 0]
+        want[i] = main_text(own, near and near[3])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for ranges in ("1", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        try:
+            got = {r.page_id: r.text for r in extract(pages).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == want
