@@ -3,7 +3,8 @@
 Numbers, the units after them, and names become typed placeholders, so a question asked again with other values has the
 same template. Windows of the documents that are in no way the benchmark's are left out by a bit filter of fixed size;
 the rest are joined with the benchmark's windows by their template. Along one alignment of a document with an item, each
-value of the item must stand for one value of the document, and the other way round.
+value of the item must stand for one value of the document; two values of the item may have become one. Windows that hold
+the item's own values count whatever else the alignment has.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .shared import settle, small_batches
 
 #: Words of a window, and those of them that must be plain words. An item with fewer words is one window of them all.
 WINDOW, LITERALS, SHORTEST = 8, 4, 4
+#: Items of fewer than SHORTEST words, but so many at least, must stand in a document with their own values.
+EXACT = 2
 #: Words of an item that an alignment must cover, or all of a shorter item.
 COVERED = 13
 #: Bits of the filter of benchmark windows: 2 MB whatever the benchmark's size.
@@ -170,8 +173,14 @@ def _telling(words: list[str], at: int, size: int) -> bool:
     return sum(w not in (NUMBER, UNIT, NAME) for w in words[at : at + size]) >= min(LITERALS, size)
 
 
+def _template(words: list[str], at: int, size: int, slots: list[str]) -> str:
+    """What a window is joined by: its template, with its values too where plain words are too few to tell."""
+    own = " ".join(words[at : at + size])
+    return own if size >= SHORTEST and _telling(words, at, size) else "\n".join([own, *slots])
+
+
 def benchmark_windows(benchmark: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """(item_id, words, at, size, template, slots, bits): the windows of each item. Null ids and items under SHORTEST words have none."""
+    """(item_id, words, at, size, template, slots, bits): the windows of each item. Null ids and items under EXACT words have none."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -179,12 +188,12 @@ def benchmark_windows(benchmark: DataFrame, text: str = "text", item_id: str = "
             for item, body in zip(batch["item_id"], batch["text"]):
                 words, values = canonical(body)
                 size = min(WINDOW, len(words))
-                if size < SHORTEST:
+                if size < EXACT:
                     continue
                 found = _window_hashes(hashes(body), size)
                 for at in range(len(found)):
-                    if _telling(words, at, size):
-                        rows.append((item, len(words), at, size, " ".join(words[at : at + size]), _slots(words, values, at, size), _bits(found[at : at + 1])[:, 0].astype(np.int64).tolist()))
+                    slots = _slots(words, values, at, size)
+                    rows.append((item, len(words), at, size, _template(words, at, size, slots), slots, _bits(found[at : at + 1])[:, 0].astype(np.int64).tolist()))
             yield pd.DataFrame(rows, columns=["item_id", "words", "at", "size", "template", "slots", "bits"])
 
     own = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id is not null")
@@ -192,7 +201,7 @@ def benchmark_windows(benchmark: DataFrame, text: str = "text", item_id: str = "
 
 
 def _filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The filter's bytes, lowest bit first, and the window sizes in use (at most WINDOW - SHORTEST + 1)."""
+    """The filter's bytes, lowest bit first, and the window sizes in use (at most WINDOW - EXACT + 1)."""
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
     bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     words = windows.select(F.explode("bits").alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("w"))
@@ -204,8 +213,8 @@ def _filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(key, item_id, words, covered, windows, reworded): a row for each document key and benchmark item that it holds.
 
-    An alignment counts if its windows cover COVERED words of the item (all of a shorter one) and its slots agree;
-    of several, that which covers most is given. ``reworded`` is true if any value differs from the item's. The key is
+    An alignment counts if its windows cover COVERED words of the item (all of a shorter one) and its slots agree, or if
+    those of its windows that have the item's own values cover as many; of several, that which covers most is given. ``reworded`` is true if any value differs from the item's. The key is
     ``document_key``; rows that repeat a key count as one document.
     """
     small_batches(docs.sparkSession)
@@ -224,7 +233,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
                     for at in one[_set(bits, (found[one] >> _HALF) & _PLACES)].tolist():
                         if words is None:
                             words, values = canonical(body)
-                        rows.append((key, at, " ".join(words[at : at + size]), _slots(words, values, at, size)))
+                        slots = _slots(words, values, at, size)
+                        rows.append((key, at, _template(words, at, size, slots), slots))
             yield pd.DataFrame(rows, columns=["key", "place", "template", "own"])
         forget()
 
@@ -232,12 +242,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     found = own.mapInPandas(cut, "key string, place int, template string, own array<string>")
     both = found.join(windows.drop("bits"), "template").withColumn("shift", F.col("place") - F.col("at"))
     pairs = F.collect_set(F.when(F.size("slots") > 0, F.arrays_zip("slots", "own")))
+    literal = F.collect_set(F.when(F.expr("slots <=> own"), F.col("at")))
     # one window at a place of an item in an alignment: the sets are no longer than the item
-    lined = both.groupBy("key", "item_id", "words", "size", "shift").agg(F.sort_array(F.collect_set("at")).alias("ats"), F.array_distinct(F.flatten(pairs)).alias("pairs"))
-    one_to_one = (F.size(F.array_distinct(F.col("pairs.slots"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.own"))) == F.size("pairs"))
+    lined = both.groupBy("key", "item_id", "words", "size", "shift").agg(
+        F.sort_array(F.collect_set("at")).alias("ats"), F.sort_array(literal).alias("literal"), F.array_distinct(F.flatten(pairs)).alias("pairs")
+    )
+    agree = F.size(F.array_distinct(F.col("pairs.slots"))) == F.size("pairs")
+    lined = lined.withColumns({"whole": agree, "ats": F.when(agree, F.col("ats")).otherwise(F.col("literal"))})
     covered = F.aggregate(F.transform("ats", lambda a, i: F.least(F.col("size"), F.coalesce(F.get("ats", i + 1) - a, F.col("size")))), F.lit(0), lambda x, y: x + y)
-    judged = lined.select("key", "item_id", "words", covered.alias("covered"), F.size("ats").alias("windows"), F.exists("pairs", lambda p: p["slots"] != p["own"]).alias("reworded"), one_to_one.alias("agree"))
-    judged = judged.where("agree").where(F.col("covered") >= F.least(F.lit(COVERED), F.col("words")))
+    reworded = F.col("whole") & F.exists("pairs", lambda p: p["slots"] != p["own"])
+    judged = lined.select("key", "item_id", "words", covered.alias("covered"), F.size("ats").alias("windows"), reworded.alias("reworded"))
+    judged = judged.where(F.col("covered") >= F.least(F.lit(COVERED), F.col("words")))
     best = judged.groupBy("key", "item_id").agg(F.max(F.struct("covered", "windows", "words", (~F.col("reworded")).alias("same"))).alias("best"))
     return best.select("key", "item_id", "best.words", "best.covered", "best.windows", (~F.col("best.same")).alias("reworded"))
 

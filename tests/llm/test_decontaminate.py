@@ -70,3 +70,22 @@ def test_planted_passages_are_found_and_clean_documents_left(spark, size):
     bodies = [squeezed(r.text) for r in items.collect()]
     want = {r.doc_id for r in docs.collect() if any(b in squeezed(r.text) for b in bodies)}
     assert {int(r.key) for r in dc.leaks(docs, items).collect()} == want and want
+
+
+def test_collided_values_changed_copies_and_windows_of_values(spark):
+    long = "A farmer called Anna Bell sold 12 apples and 7 pears to the old mill near the river bridge, then he bought 12 more apples there."
+    values = "we counted 3 4 5 6 7 8 9 10 11 12 13 14 15 16"
+    items = spark.createDataFrame([(1, long), (2, values), (3, "what is love"), (4, "paid 5 euros")], "item_id long, text string")
+    docs = [
+        (1, long.replace("12", "4").replace("7", "4").replace("Anna", "Carl")),  # two values become one
+        (2, long.replace("bought 12", "bought 13")),  # one of two occurrences is changed
+        (3, f"so {values} in all"),
+        (4, values.replace("10", "20")),
+        (5, "but what is love then"),
+        (6, "he paid 5 euros, she paid 6 euros"),
+        (7, "he paid 6 euros for what love is"),
+        (8, long.replace("12", "4", 1).replace("12", "5").replace("7", "9")),  # one value cannot become two
+    ]
+    got = {(int(r.key), r.item_id): r for r in dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (5, 3), (6, 4)}
+    assert got[1, 1].reworded and got[3, 2].covered == 16 and got[2, 1].covered < got[2, 1].words
