@@ -34,17 +34,17 @@ def learn_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang")
     """
     known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     known = known.where(F.col("text").rlike(r"\p{L}"))
-    usual = F.length("text").between(200, 20_000)
-    order = Window.partitionBy("lang").orderBy(F.when(usual, 0).otherwise(1), F.xxhash64("text"), "text")
-    ranked = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_TEXTS * 2)
+    known = known.withColumns({"_rare": F.when(F.length("text").between(200, 20_000), 0).otherwise(1), "_hash": F.xxhash64("text")})
+    # copies would take the places of other texts; only hashes are shuffled to leave them out
+    order = Window.partitionBy("lang").orderBy("_rare", "_hash")
+    first = known.select("lang", "_rare", "_hash").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_TEXTS)
+    ranked = known.join(first, ["lang", "_rare", "_hash"]).select("lang", "_n", "text").distinct()
     out: dict[str, bytes] = {}
-    seen: set[tuple[str, str]] = set()
     parts: dict[str, list[bytes]] = {}
-    for row in ranked.orderBy("lang", "_n").toLocalIterator():
+    for row in ranked.orderBy("lang", "_n", "text").toLocalIterator():
         own = parts.setdefault(row["lang"], [])
-        if (row["lang"], row["text"]) in seen or len(own) == SAMPLE_TEXTS or sum(map(len, own)) >= DICTIONARY_BYTES:
+        if len(own) == SAMPLE_TEXTS or sum(map(len, own)) >= DICTIONARY_BYTES:
             continue
-        seen.add((row["lang"], row["text"]))
         own.append(letters_only(row["text"]))
     for name, own in parts.items():
         out[name] = b"".join(reversed(own))[-DICTIONARY_BYTES:]

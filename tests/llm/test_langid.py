@@ -1,6 +1,7 @@
 import pytest
 from basketry.llm.langid import Judge, learn_dictionaries, predict_language
 from basketry.llm.shared import in_fold
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -32,3 +33,12 @@ def test_sample_ignores_order_ids_and_unlabelled_rows(spark):
     a = learn_dictionaries(frame)
     assert set(a) == {"xx", "yy"} and a == learn_dictionaries(frame.orderBy("doc_id", ascending=False).repartition(3))
     assert learn_dictionaries(frame.limit(0)) == {}
+
+
+def test_copies_leave_the_sample_whole(spark):
+    texts = [f"text number {i} of some length " * 9 for i in range(30)]
+    frame = spark.createDataFrame([(t, "xx") for t in texts], "text string, lang string")
+    once = learn_dictionaries(frame)
+    copied = frame.orderBy(F.xxhash64("text")).first().text
+    copies = spark.createDataFrame([(copied, "xx")] * 250, frame.schema)
+    assert learn_dictionaries(frame.unionByName(copies)) == once
