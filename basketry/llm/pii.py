@@ -32,9 +32,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOGIN = re.compile(r"([^\s/?#@:\"'<>]{1,256}:[^\s/?#@\"'<>]{1,256})@[A-Za-z0-9\[]")
-_SECRET = re.compile(r"[\"']?\s{0,4}(?:=>|:=|=|:|\bis\b)?\s{0,4}[\"'`]?([A-Za-z0-9_+/=.~-]{16,512})")
-_ACCOUNT = re.compile(r"(?:\s{0,3}(?:number|nummer|num|no|nr|id|code|#))?\.?\s{0,3}[:#=]?\s{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}|[0-9](?:[ -]?[0-9]){7,17})(?![A-Za-z0-9])")
+_LOGIN = re.compile(r"([^\s/?#@:\"'<>]++:[^\s/?#@\"'<>]++)@[A-Za-z0-9\[]")
+_SECRET = re.compile(r"[\"']?\s{0,4}(?:=>|:=|=|:|\bis\b)?\s{0,4}[\"'`]?([A-Za-z0-9_+/=.~-]{16})")
+_RUN = re.compile(r"[A-Za-z0-9_+/=.~-]*+")
+_ACCOUNT = re.compile(r"(?:\s{0,3}(?:number|nummer|num|no|nr|id|code|#))?\.?\s{0,3}[:#=]?\s{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}|[0-9](?:[ -]?[0-9]){7,})(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?:\s{0,3}(?:number|no|#))?\.?\s{0,3}[:#=]?\s{0,3}([0-9]{3}[- ][0-9]{2}[- ][0-9]{4})(?![0-9])")
 
 
@@ -78,13 +79,22 @@ def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
     return (start, domain.end()) if start < at and domain else None
 
 
-def _secret(text: str, at: int) -> tuple[int, int] | None:
+def _secret(text: str, at: int, run: list[int]) -> tuple[int, int] | None:
+    """The span of a secret after its cue, to the end of its run of characters.
+
+    ``run``: the end of the last run read and its last digit and letter; cues within a run do not read it again.
+    """
     m = _SECRET.match(text, at)
     if not m:
         return None
-    value = m[1]
-    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-    return m.span(1) if mixed and not value.startswith("//") else None
+    start = m.start(1)
+    if start >= run[0]:
+        end = _RUN.match(text, start).end()
+        digit = next((i for i in range(end - 1, start - 1, -1) if text[i].isdigit()), -1)
+        letter = next((i for i in range(end - 1, start - 1, -1) if text[i].isalpha()), -1)
+        run[:] = end, digit, letter
+    mixed = run[1] >= start and run[2] >= start
+    return (start, run[0]) if mixed and not m[1].startswith("//") else None
 
 
 def _account(text: str, at: int) -> tuple[int, int] | None:
@@ -102,6 +112,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         return []
     out: list[tuple[str, int, int]] = []
     ends = {"email": 0, "phone": 0}
+    run = [0, -1, -1]
     for last, (kind, width) in _anchors().iter(_lowered(text)):
         at, after = last - width + 1, last + 1
         if kind == "email":
@@ -118,8 +129,14 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 out.append(("login", *m.span(1)))
         elif at and text[at - 1].isalnum():
             continue  # a cue begins a word
-        elif span := {"secret": _secret, "account": _account}[kind](text, after) if kind != "ssn" else (m.span(1) if (m := _SSN.match(text, after)) else None):
-            out.append((kind, *span))
+        elif kind == "secret":
+            if span := _secret(text, after, run):
+                out.append(("secret", *span))
+        elif kind == "account":
+            if span := _account(text, after):
+                out.append(("account", *span))
+        elif m := _SSN.match(text, after):
+            out.append(("ssn", *m.span(1)))
     out += _digits(text)
     return sorted(set(out), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

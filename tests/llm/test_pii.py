@@ -74,3 +74,14 @@ def test_frames(spark):
     assert cleaned == {1: None, 2: "", 3: "é <EMAIL>, <IP> <EMAIL>", 4: "999.1.1.1"}
     assert pii_digest(docs.limit(0)).count() == 0
     assert redacted("call +1 (555) 555-0199 now") == "call <PHONE> now"
+
+
+def test_long_secrets_logins_and_accounts_go_whole():
+    token, user, digits = "eyJ0a1" * 400, "user" * 80, "1234567890" * 3
+    assert redacted(f"bearer {token}, end") == "bearer <SECRET>, end"
+    for a, b in ((user, "pw"), ("bob", user), (user, user)):
+        assert redacted(f"see https://{a}:{b}@example.com/x") == "see https://<LOGIN>/x"
+    assert ("account", 8, 38) in find(f"account {digits}.")
+    assert [s for s in find("token=ab_token=" + "x1" * 300 + " " + "y" * 20) if s[0] == "secret"] == [("secret", 6, 615), ("secret", 15, 615)]
+    for text in ("://" + "a" * 400_000, "://a:" + "b" * 400_000, "://" * 130_000, "token " + "a1" * 200_000, "token=" * 70_000, "account " + "1 " * 200_000 + "x"):
+        find(text)
