@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -167,13 +167,18 @@ def simhash_components(
     never a component's smallest unless all are null; repeated rows are all returned; other columns are left out.
     """
     small_batches(docs.sparkSession)
+    prints, groups = _grouped(docs, text, doc_id, words, radius, seed, tree_nodes)
+    return prints.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, text: str, doc_id: str, words: int, radius: int, seed: int, tree_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint; root tells components without ids apart."""
     prints = settle(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), words, seed).alias("fp")))
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(fingerprint_links(distinct.select("fp"), radius, tree_nodes)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = rooted.join(of_root, "root").select("fp", "component_id")
-    return prints.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints, rooted.join(of_root, "root").select("fp", "root", "component_id")
 
 
 def hex_fingerprint(fp: Column | str) -> Column:
@@ -181,13 +186,24 @@ def hex_fingerprint(fp: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+def keep_one(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3, seed: int = 42, tree_nodes: int = 2048, null_ids: bool = True
+) -> DataFrame:
     """docs without near copies: of each component, one row with the smallest doc_id stays, with all its columns.
 
-    Rows that repeat the kept id are dropped too. Rows with a null id cannot be told apart and stay.
+    Rows that repeat the kept id are dropped too. Rows with a null id stay with ``null_ids``; without it they go if any
+    of their component has an id, and else all but the first of it by text.
     """
-    of = simhash_components(docs, text, doc_id, **settings)
+    small_batches(docs.sparkSession)
+    prints, groups = _grouped(docs, text, doc_id, words, radius, seed, tree_nodes)
+    of = prints.join(groups, "fp", "left")
     kept = settle(of.where("doc_id = component_id").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count("*").alias("_n")))
     single = docs.join(kept.where("_n = 1").select(doc_id), doc_id, "left_semi")
     repeated = docs.join(kept.where("_n > 1").select(doc_id), doc_id, "left_semi").dropDuplicates([doc_id])
-    return single.unionByName(repeated).unionByName(docs.where(F.col(doc_id).isNull())).select(*docs.columns)
+    nulls = docs.where(F.col(doc_id).isNull())
+    if not null_ids:
+        rows = nulls.select(F.struct("*").alias("_row"), fingerprints(F.col(text), words, seed).alias("fp"))
+        alone = rows.join(groups.where("component_id is null").select("fp", "root"), "fp")
+        order = Window.partitionBy("root").orderBy(F.col("_row").getField(text), "fp")
+        nulls = alone.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row.*")
+    return single.unionByName(repeated).unionByName(nulls).select(*docs.columns)

@@ -97,3 +97,13 @@ def test_long_chain_is_one_component(spark):
     chain = spark.range(1, 400).selectExpr("id as u", "id - 1 as v")
     got = connected_components(chain.unionByName(spark.createDataFrame([(1000, 1001), (None, 4)], "u long, v long"))).collect()
     assert {r.root for r in got if r.node < 400} == {0} and len(got) == 402
+
+
+def test_rows_without_ids_are_deduplicated_in_the_pipeline(spark):
+    from corpus_pipeline import near_duplicates
+
+    rows = [(None, "one two three four five", 1), (None, "one two three four five", 1), (None, "six seven eight nine ten", 2), (4, "six seven eight nine ten", 2), (None, None, 3), (None, " ", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    kept = near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.fp) for r in kept.collect()) == [(-1, 1), (-1, 3), (4, 2)]
