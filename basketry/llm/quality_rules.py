@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 14
 #: N-gram lengths in words.
 SIZES = (1, 2)
-#: Trusted documents that the target multinomial is counted over: a bounded sample of the labelled ones, by hash.
-TRUSTED = 50_000
 #: Pseudo-counts spread over the buckets, in each multinomial.
 SMOOTHING = 0.5
 #: A document is kept from this mean log ratio on.
@@ -45,12 +43,11 @@ def _buckets(words: Column) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> list[float]:
     """ln of trusted over raw probability of each bucket.
 
-    ``trusted`` has the ids of trusted documents; of more than TRUSTED, those first by hash. The raw multinomial is
-    counted over all documents. Only the bucket totals, of fixed number, come to the driver.
+    ``trusted`` has the ids of trusted documents. Both multinomials are counted over all documents they stand for. Only the bucket totals, of fixed number, come to the driver.
     """
-    ids = trusted.select(F.col(doc_id).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(TRUSTED)
-    marked = docs.select(F.col(doc_id).alias("_id"), words_of(text).alias("_words"))
-    marked = marked.join(F.broadcast(ids.withColumn("_trusted", F.lit(1))), "_id", "left")
+    ids = trusted.select(F.col(doc_id).alias("_id"), F.lit(1).alias("_trusted")).where("_id is not null").distinct()
+    marked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(ids, "_id", "left")
+    marked = marked.select("_trusted", words_of("_text").alias("_words"))
     grams = marked.select("_trusted", F.explode(_buckets(F.col("_words"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("trusted")).collect()
     raw, target = [SMOOTHING] * BUCKETS, [SMOOTHING] * BUCKETS

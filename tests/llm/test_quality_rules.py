@@ -63,3 +63,11 @@ def test_verdict_follows_quality_labels(spark):
     rows = judged.join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     kept = {r.quality: r.kept for r in rows}
     assert kept[1] > 0.99 and kept[0] < 0.05
+
+
+def test_all_trusted_documents_are_counted(spark):
+    """Where all documents are trusted, both multinomials are one, however many there are."""
+    ids = spark.range(60_000).withColumnRenamed("id", "doc_id")
+    last = ids.orderBy(F.xxhash64("doc_id").desc()).first().doc_id
+    docs = ids.withColumn("text", F.when(F.col("doc_id") == last, "rare").otherwise("common"))
+    assert set(rules.log_ratios(docs, ids)) == {0.0}
