@@ -61,3 +61,19 @@ def hhmm_timestamp(day: Column | str, hhmm: Column | str) -> Column:
     hour, minute = F.floor(hhmm / 100).cast("int"), (hhmm % 100).cast("int")
     ok = hhmm.between(0, 2359) & (minute < 60)
     return F.when(ok, day.cast("timestamp") + F.make_interval(hours=hour, mins=minute))
+
+
+def portable_hash(*parts: Column | str, seed: int = 0) -> Column:
+    """A nonnegative 60-bit number from the MD5 of the seed and the parts as text, which any SQL engine gives alike; nulls are ``~``."""
+    texts = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("~")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *texts)), 1, 15), 16, 10).cast("bigint")
+
+
+def canonical_text(c: str, kind: str) -> Column:
+    """A column as text that other engines write alike: fractions with six digits, timestamps with microseconds; nulls are ``~``."""
+    x = F.col(c)
+    if kind in ("double", "float") or kind.startswith("decimal"):
+        x = x.cast("decimal(30,6)")
+    elif kind.startswith("timestamp"):
+        x = F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return F.coalesce(x.cast("string"), F.lit("~"))

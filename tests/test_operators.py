@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import shutil
 
 import pytest
 from basketry.functions import columns as C
@@ -178,6 +179,34 @@ def test_upsert_replay_and_late_versions(spark, tmp_path):
     assert got == [(1, "x", 5), (5, "y", 9), (9, "z", None)]
 
 
+@pytest.mark.parametrize("dies", ["before the mark", "half way", "before the mark goes"])
+def test_a_swap_cut_short_loses_no_row(spark, tmp_path, monkeypatch, dies):
+    """The overwrite dies after old files are gone, or before anything is; the batch that runs again finds all rows."""
+    path, schema = f"{tmp_path}/t", "id int, v int, seen int"
+    merge = lambda rows: flows.merge_batch(spark.createDataFrame(rows, schema), path, ["id"], ["seen"], 4)
+    merge([(i, 0, 1) for i in range(50)])
+    promote, later = flows._promote, [(i, 1, 2) for i in range(40, 60)]
+
+    def killed(staged, path):
+        if dies == "half way":
+            for folder in list((tmp_path / "t").glob("bucket=*"))[:3]:
+                shutil.rmtree(folder)
+        elif dies == "before the mark goes":
+            promote(staged, path)
+        raise RuntimeError("killed")
+
+    if dies == "before the mark":
+        monkeypatch.setattr(flows, "_replace_buckets", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    else:
+        monkeypatch.setattr(flows, "_promote", killed)
+    with pytest.raises(RuntimeError, match="killed"):
+        merge(later)
+    monkeypatch.undo()
+    merge(later)
+    got = {r.id: r.v for r in flows.read_table(spark, path).collect()}
+    assert got == {i: int(i >= 40) for i in range(60)} and flows.read_table(spark, path).count() == 60
+
+
 def test_gate_stream_loses_no_row(spark, tmp_path):
     spark.range(100).selectExpr("id", "id % 7 as v").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("id long, v long").parquet(f"{tmp_path}/in")
