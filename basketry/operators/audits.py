@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import canonical_text, portable_hash
+
 
 def row_conservation(raw: DataFrame, passed: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
     """One row: raw rows = duplicates + passed + rejected, and the keys of both halves beside the raw keys.
@@ -61,9 +63,36 @@ def failures_by_rule(run_log: DataFrame) -> DataFrame:
     return rule.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.when(F.col("failed") > 0, F.struct("name", "failed")))).alias("failures"))
 
 
-def table_checksum(df: DataFrame) -> DataFrame:
-    """(rows, checksum) that do not hang on the order of rows."""
-    return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("checksum"))
+def failures_by_run(run_log: DataFrame) -> DataFrame:
+    """(dataset, update_id, failures map<rule, count>), each batch at its largest count; rules that nothing failed are left out."""
+    batch = run_log.groupBy("dataset", "update_id", "name", "batch_id").agg(F.max("failed").alias("failed"))
+    rule = batch.groupBy("dataset", "update_id", "name").agg(F.sum("failed").alias("failed"))
+    return rule.groupBy("dataset", "update_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("failed") > 0, F.struct("name", "failed")))).alias("failures"))
+
+
+def run_quality(run_log: DataFrame) -> DataFrame:
+    """``dq_metrics`` of each run with the failures of its rules; a run without either side is left out."""
+    return dq_metrics(run_log).join(failures_by_run(run_log), ["dataset", "update_id"])
+
+
+def append_run(metrics: DataFrame, update_id: int, path: str) -> None:
+    """Adds a run's metrics to the series at ``path`` under its own folder, so that a run reported again replaces itself."""
+    metrics.where(F.col("update_id") == update_id).drop("update_id").write.mode("overwrite").parquet(f"{path}/update_id={update_id}")
+
+
+def table_checksum(df: DataFrame, portable: bool = False) -> DataFrame:
+    """(rows, checksum) that do not hang on the order of rows; ``portable`` is slower, and any SQL engine can follow it."""
+    if portable:
+        own = portable_hash(F.concat_ws("|", *(canonical_text(c, t) for c, t in df.dtypes)))
+    else:
+        own = F.xxhash64(*df.columns)
+    return df.agg(F.count("*").alias("rows"), F.sum(own.cast("decimal(38,0)")).alias("checksum"))
+
+
+def same_after_rerun(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row: rows and checksums of two outputs of one job, and whether they agree."""
+    both = table_checksum(first).crossJoin(table_checksum(second).select(F.col("rows").alias("rows_again"), F.col("checksum").alias("checksum_again")))
+    return both.select("rows", "rows_again", F.col("checksum").eqNullSafe(F.col("checksum_again")).alias("same"))
 
 
 def two_way_difference(a: DataFrame, b: DataFrame) -> DataFrame:

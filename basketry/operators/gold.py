@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import exposure_label, money_sum, ratio
+from .rank import staged
 from .scd2 import as_of_join
 
 
@@ -34,14 +35,17 @@ def dim_store(lines: DataFrame, promo: DataFrame) -> DataFrame:
 
 
 def rfm(fact: DataFrame) -> DataFrame:
-    """One row for each household: recency in days before the fact's last day, frequency, spend, breadth and shares."""
-    anchor = fact.agg(F.max(F.to_date("transaction_ts")).alias("_last"))
+    """One row for each household: recency in days before the fact's last day, frequency, spend, breadth and shares.
+
+    Households are staged once, and the last day is the largest of theirs, so the fact is worked out once.
+    """
     out = fact.groupBy("household_key").agg(
         F.max(F.to_date("transaction_ts")).alias("last_seen"), F.min(F.to_date("transaction_ts")).alias("first_seen"), F.countDistinct("basket_id").alias("baskets"),
         money_sum("sales_amt").alias("spend"), F.countDistinct("department").alias("departments"), F.count("*").alias("lines"),
         F.count(F.when(F.col("coupon_disc_amt") < 0, 1)).alias("coupon_lines"), F.count(F.when(F.col("promo_exposure").isin("both", "display", "mailer"), 1)).alias("promo_lines"),
     )
-    out = out.crossJoin(anchor)
+    out = staged(out)
+    out = out.crossJoin(F.broadcast(out.agg(F.max("last_seen").alias("_last"))))
     return out.select(
         "household_key", F.datediff("_last", "last_seen").alias("recency_days"), "baskets", "spend", ratio("spend", "baskets").alias("avg_basket"), "departments",
         ratio("coupon_lines", "lines").alias("coupon_share"), ratio("promo_lines", "lines").alias("promo_share"), "first_seen", "last_seen",

@@ -33,6 +33,16 @@ def run_summary(runs: DataFrame, warm_up: int = 1) -> DataFrame:
     return kept.groupBy("variant").agg(F.count("*").alias("runs"), mid.alias("median_ms"), F.try_divide((F.max("ms") - F.min("ms")).cast("double"), mid).alias("spread"))
 
 
+def run_ratios(runs: DataFrame, warm_up: int = 1) -> DataFrame:
+    """(variant, busy_ratio, cache_ratio) of rows (variant, run_no, ms, task_ms, cached_bytes, read_bytes), warm-up left out.
+
+    busy_ratio: median task time over median run time, the cores kept busy; cache_ratio: bytes from the cache of all bytes read.
+    """
+    kept = runs.where(F.col("run_no") > warm_up)
+    both = F.sum("cached_bytes").cast("double"), (F.sum("cached_bytes") + F.sum("read_bytes")).cast("double")
+    return kept.groupBy("variant").agg(F.try_divide(F.percentile("task_ms", 0.5), F.percentile("ms", 0.5)).alias("busy_ratio"), F.try_divide(*both).alias("cache_ratio"))
+
+
 def score_gate(scores: DataFrame, thresholds: dict[str, float], by: str | None = None) -> DataFrame:
     """(group, dimension, mean_score, threshold, passed) for each dimension column of scores."""
     group = F.col(by) if by else F.lit("all")

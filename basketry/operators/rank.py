@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,11 +11,11 @@ from pyspark.sql import functions as F
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; under a temporary one where none is set."""
+    """A new folder in the shared checkpoint folder, named in ``spark.checkpoint.dir``; under a temporary one on local Spark only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         base = tempfile.mkdtemp(prefix="spark-stage-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base}/stage-{uuid.uuid4().hex}"
@@ -27,20 +29,31 @@ def padded_key(column: str, width: int) -> Column:
     return F.concat(F.lpad(F.col(column).cast("string"), 12, "0"), F.repeat(F.lit("x"), width))
 
 
-def distributed_row_number(df: DataFrame, order_cols: list, name: str = "row_number", partitions: int | None = None) -> DataFrame:
-    """df with its 1-based place in the order, which should be total.
+def staged(df: DataFrame) -> DataFrame:
+    """df, computed once and read back from the shared folder: for frames that a query needs more than once."""
+    path = f"{stage_dir(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running_sums(df: DataFrame, order_cols: list, columns: list[str], partitions: int | None = None) -> DataFrame:
+    """df with ``before_<c>`` for each column: its sum over the rows before in the order, which should be total; 0 for the first.
 
-    Rows are dealt by range and numbered in their partition, written once so that both passes see the same partitions, and
-    moved by the number of rows in the partitions before: a list as long as there are partitions.
+    Rows are dealt by range and summed in their partition, written once so that both passes see the same partitions, and
+    moved by the sums of the partitions before: a list as long as there are partitions.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = F.spark_partition_id()
-    ranged = df.repartitionByRange(n, *order_cols).withColumn("_part", part)
-    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order_cols)))
-    path = stage_dir(spark)
-    local.write.parquet(path)
-    kept = spark.read.schema(local.schema).parquet(path)
-    counts = kept.groupBy("_part").agg(F.count("*").alias("c"))
-    start = counts.select("_part", F.coalesce(F.sum("c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return kept.join(F.broadcast(start), "_part").withColumn(name, F.col("_start") + F.col("_n")).drop("_part", "_n", "_start")
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order_cols).withColumn("_part", F.spark_partition_id())
+    before = Window.partitionBy("_part").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    kept = staged(ranged.withColumns({f"_b_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in columns}))
+    parts = kept.groupBy("_part").agg(*(F.sum(c).alias(f"_t_{c}") for c in columns))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = parts.select("_part", *(F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_s_{c}") for c in columns))
+    out = kept.join(F.broadcast(start), "_part")
+    return out.select(*df.columns, *((F.col(f"_b_{c}") + F.col(f"_s_{c}")).alias(f"before_{c}") for c in columns))
+
+
+def distributed_row_number(df: DataFrame, order_cols: list, name: str = "row_number", partitions: int | None = None) -> DataFrame:
+    """df with its 1-based place in the order, which should be total."""
+    counted = running_sums(df.withColumn("_one", F.lit(1).cast("bigint")), order_cols, ["_one"], partitions)
+    return counted.withColumn(name, F.col("before__one") + 1).drop("_one", "before__one")

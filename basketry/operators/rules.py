@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import astuple, dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -56,7 +58,18 @@ DIMENSION_RULES = [
 
 
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    return spark.createDataFrame([astuple(r) for r in rules], ", ".join(f"{f.name} string" for f in fields(Rule)))
+    """The rules as rows of a schema without nulls."""
+    return spark.createDataFrame([astuple(r) for r in rules], StructType([StructField(f.name, StringType(), False) for f in fields(Rule)]))
+
+
+def publish_rules(spark: SparkSession, rules: list[Rule], path: str) -> DataFrame:
+    """Replaces the rule table at ``path`` by these rules, and returns it as it reads. A name given twice in a dataset is an error."""
+    twice = [k for k, n in Counter((r.dataset, r.name) for r in rules).items() if n > 1]
+    if twice:
+        raise ValueError(f"rules given twice: {sorted(twice)}")
+    table = rules_table(spark, rules)
+    table.write.mode("overwrite").parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
 
 
 def load_rules(table: DataFrame, dataset: str, severity: str | None = None) -> list[Rule]:
@@ -129,6 +142,29 @@ def candidate_rules(df: DataFrame, columns: list[str], sigmas: float = 3.0) -> D
     return rows.select("column_name", F.when(F.col("whole"), F.floor(low).cast("double")).otherwise(low).alias("low"), F.when(F.col("whole"), F.ceil(high).cast("double")).otherwise(high).alias("high"))
 
 
+def proposed_rules(df: DataFrame, columns: list[str], sigmas: float = 3.0) -> DataFrame:
+    """(column_name, kind, low, high): not_null and, for text, not_blank where no row speaks against it; a range for numbers and times.
+
+    Ranges are mean plus or minus ``sigmas`` deviations within what was seen, in whole numbers for integers, in seconds of the epoch for
+    times. All columns are profiled in one aggregate. Nothing proposed is enforced without a review.
+    """
+    seen = []
+    for c, kind in ((c, dict(df.dtypes)[c]) for c in columns):
+        timed, text = kind.startswith("timestamp"), kind == "string"
+        x = (F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000 if timed else F.lit(None) if text else F.col(c)).cast("double")
+        blank = F.count(F.when(F.trim(c) == "", 1)) if text else F.lit(0).cast("bigint")
+        facts = {"column_name": F.lit(c), "nulls": F.count(F.when(F.col(c).isNull(), 1)), "blanks": blank, "lo": F.min(x), "hi": F.max(x), "mu": F.avg(x), "sd": F.stddev_samp(x)}
+        whole = F.lit(timed or kind in ("int", "bigint", "smallint", "tinyint"))
+        seen.append(F.struct(*(v.alias(k) for k, v in facts.items()), F.lit(text).alias("text"), whole.alias("whole")))
+    rows = df.agg(F.array(*seen).alias("s")).select(F.inline("s"))
+    low, high = F.greatest(F.col("lo"), F.col("mu") - sigmas * F.col("sd")), F.least(F.col("hi"), F.col("mu") + sigmas * F.col("sd"))
+    none = F.lit(None).cast("double")
+    rule = lambda when, kind, a=none, b=none: F.when(when, F.struct(F.lit(kind).alias("kind"), a.alias("low"), b.alias("high")))
+    bounds = [F.when(F.col("whole"), edge(x).cast("double")).otherwise(x) for edge, x in ((F.floor, low), (F.ceil, high))]
+    each = F.array_compact(F.array(rule(F.col("nulls") == 0, "not_null"), rule(F.col("text") & (F.col("blanks") == 0), "not_blank"), rule(F.col("lo").isNotNull(), "range", *bounds)))
+    return rows.select("column_name", F.inline(each))
+
+
 def unreviewed(candidates: DataFrame, reviews: DataFrame) -> DataFrame:
     """Names that one side has and the other lacks: candidates without a decision, decisions on nothing."""
     a = candidates.join(reviews, "name", "left_anti").select("name", F.lit("undecided").alias("problem"))

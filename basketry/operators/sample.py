@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rank import distributed_row_number
+from ..functions.columns import portable_hash
+from .rank import running_sums
+from .skew import skew_curve
 
 
 def bootstrap_groups(df: DataFrame, group: str, draws: int, seed: int, weight: str | None = None, exponent: float = 1.0) -> DataFrame:
     """``draws`` groups drawn with replacement, each with all its rows, and ``draw_id``.
 
-    Groups are numbered in order; a draw is a hash of its number and the seed, so the same seed draws the same groups. With a weight
-    (the largest of the group's), a group is as likely as weight to the exponent: draws meet running sums of whole-number weights.
+    Groups stand in order on a line, each as long as its weight to the exponent (the largest weight of its rows, 1 without one, in
+    whole units, 1 at least). A draw is a point on the line from a hash of its number and the seed, so the same seed draws the same
+    groups. Draws meet groups by blocks of the line of the mean length of a group: a group has a row for each block that it reaches
+    into, twice the number of groups in all whatever the weights are.
     """
     spark = df.sparkSession
-    groups = df.groupBy(group).agg(F.max(weight).alias("_w") if weight else F.lit(1).alias("_w")).where(F.col(group).isNotNull())
-    numbered = distributed_row_number(groups, [group], "_rank")
-    ids = spark.range(draws).withColumn("_u", F.xxhash64("id", F.lit(seed)))
-    if weight is None:
-        n = numbered.agg(F.count("*").alias("_n"))
-        drawn = ids.crossJoin(F.broadcast(n)).where("_n > 0").select(F.col("id").alias("draw_id"), (F.pmod("_u", F.col("_n")) + 1).alias("_rank"))
-        return drawn.join(numbered.select(group, "_rank"), "_rank").drop("_rank").join(df, group)
-    # copies of a rank in proportion to its weight: an equi join instead of a range join
-    scaled = numbered.withColumn("_c", F.greatest(F.lit(1), F.round(F.pow(F.col("_w").cast("double"), exponent)).cast("bigint")))
-    tickets = distributed_row_number(scaled.select(group, F.explode(F.sequence(F.lit(1).cast("bigint"), "_c")).alias("_t")), [group, "_t"], "_rank")
-    n = tickets.agg(F.count("*").alias("_n"))
-    drawn = ids.crossJoin(F.broadcast(n)).where("_n > 0").select(F.col("id").alias("draw_id"), (F.pmod("_u", F.col("_n")) + 1).alias("_rank"))
-    return drawn.join(tickets.select(group, "_rank"), "_rank").drop("_rank").join(df, group)
+    size = F.greatest(F.lit(1), F.round(F.pow(F.max(weight).cast("double"), F.lit(exponent))).cast("bigint")) if weight else F.lit(1).cast("bigint")
+    groups = df.groupBy(group).agg(size.alias("_size")).where(F.col(group).isNotNull())
+    line = running_sums(groups, [group], ["_size"])
+    whole = F.broadcast(line.agg(F.sum("_size").alias("_whole"), F.greatest(F.lit(1), F.floor(F.avg("_size"))).cast("bigint").alias("_block")))
+    points = spark.range(draws).crossJoin(whole).where("_whole > 0").select(F.col("id").alias("draw_id"), F.pmod(portable_hash("id", seed=seed), F.col("_whole")).alias("_at"), "_block")
+    points = points.withColumn("_b", F.floor(F.col("_at") / F.col("_block")))
+    ends = F.col("before__size") + F.col("_size")
+    reach = F.sequence(F.floor(F.col("before__size") / F.col("_block")), F.floor((ends - 1) / F.col("_block")))
+    spread = line.crossJoin(whole).select(group, F.col("before__size").alias("_from"), ends.alias("_to"), F.explode(reach).alias("_b"))
+    drawn = points.join(spread, "_b").where("_at >= _from and _at < _to").select("draw_id", group)
+    return drawn.join(df, group)
 
 
 def total_variation(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -45,6 +47,21 @@ def broken_groups(sample: DataFrame, source: DataFrame, group: str, draw: str, i
     return own.join(source.groupBy(group).agg(*facts), [group, "n", "h", "a"], "left_anti")
 
 
+def fidelity(sample: DataFrame, source: DataFrame, halves: Column, key: str, noise_factor: float = 1.5) -> DataFrame:
+    """One row: how far the sample's shares of ``key`` are from the source's, beside the noise floor.
+
+    The floor is the distance of the source's two ``halves`` (a boolean); the sample passes within ``noise_factor`` of it.
+    ``top_decile_share`` is what the largest tenth of the keys holds, in each frame.
+    """
+    far = total_variation(sample, source, key).select(F.col("distance"))
+    floor = total_variation(source.where(halves), source.where(~halves), key).select(F.col("distance").alias("noise_floor"))
+    top = lambda f, n: skew_curve(f, [key], [0.1]).select(F.col("share_of_rows").alias(n))
+    both = far.crossJoin(floor).crossJoin(top(sample, "sample_top_decile_share")).crossJoin(top(source, "source_top_decile_share"))
+    return both.withColumns(
+        {"within_noise": F.col("distance") <= noise_factor * F.col("noise_floor"), "decile_kept": F.abs(F.col("sample_top_decile_share") - F.col("source_top_decile_share")) <= 0.03}
+    )
+
+
 def observed_rates(df: DataFrame, flags: dict[str, str]) -> DataFrame:
     """(rate_name, observed) of each predicate, in one pass."""
     parts = [F.struct(F.lit(k).alias("rate_name"), F.try_divide(F.count(F.when(F.expr(p), 1)).cast("double"), F.count(F.lit(1)).cast("double")).alias("observed")) for k, p in flags.items()]

@@ -86,3 +86,23 @@ def salted_agg(df: DataFrame, key: str, distinct: str, amount: str, salts: int =
         F.count("*").alias("rows"), F.sum(F.col(amount).cast("decimal(18,2)")).alias("amount"), F.countDistinct(distinct).alias("distinct_values")
     )
     return first.groupBy(key).agg(F.sum("rows").alias("rows"), F.sum("amount").cast("double").alias("amount"), F.sum("distinct_values").alias("distinct_values"))
+
+
+def plain_agg(df: DataFrame, key: str, distinct: str, amount: str) -> DataFrame:
+    """What ``salted_agg`` gives, in one aggregate: the baseline it is measured against."""
+    return df.groupBy(key).agg(F.count("*").alias("rows"), F.sum(F.col(amount).cast("decimal(18,2)")).cast("double").alias("amount"), F.countDistinct(distinct).alias("distinct_values"))
+
+
+def volume_matched(df: DataFrame, even: str, skewed: str, amount: str) -> DataFrame:
+    """(key_kind, groups, rows, max_rows, amount): the same rows and bytes grouped by an even and by a skewed key of as many groups.
+
+    Both see all rows, and the even key is folded onto the number of the skewed key's values, so that only the skew differs.
+    """
+    n = df.agg(F.countDistinct(skewed).alias("_n"))
+    keyed = df.crossJoin(F.broadcast(n)).withColumn("_even", F.pmod(F.col(even), F.col("_n")))
+
+    def one(kind: str, key: str) -> DataFrame:
+        per = keyed.groupBy(key).agg(F.count("*").alias("r"), F.sum(F.col(amount).cast("decimal(18,2)")).alias("a"))
+        return per.agg(F.count("*").alias("groups"), F.sum("r").alias("rows"), F.max("r").alias("max_rows"), F.sum("a").cast("double").alias("amount")).select(F.lit(kind).alias("key_kind"), "*")
+
+    return one("even", "_even").unionByName(one("skewed", skewed))

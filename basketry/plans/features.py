@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import money_sum, ratio
+from ..functions.columns import money_sum, portable_hash, ratio
 from ..operators.audits import two_way_difference
+from ..operators.rank import running_sums
 
 
 def lapse_features(lines: DataFrame, split_day: str) -> DataFrame:
@@ -55,13 +56,15 @@ def lapse_sweep(lines: DataFrame, split_days: list[str]) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.75, seed: int = 7) -> DataFrame:
-    """df with is_train: in each label the ``share`` with the smallest hash of the key.
+    """df with is_train: in each label the ``share`` of rows (rounded up) whose key has the smallest hash.
 
-    The cut is a percentile of hashes, so no window orders a label's rows in one task.
+    Ranks come from one order over label and hash that is dealt by range, so no task orders a label's rows.
     """
-    hashed = df.withColumn("_h", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)))
-    cut = hashed.groupBy(label).agg(F.percentile_approx("_h", share, 10_000).alias("_cut"))
-    return hashed.join(F.broadcast(cut), label).withColumn("is_train", F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
+    hashed = df.withColumns({"_h": portable_hash(key, seed=seed), "_one": F.lit(1).cast("bigint")})
+    ranked = running_sums(hashed, [label, "_h", key], ["_one"])
+    per = ranked.groupBy(label).agg(F.min("before__one").alias("_first"), F.count("*").alias("_n"))
+    placed = ranked.join(F.broadcast(per), ranked[label].eqNullSafe(per[label])).drop(per[label])
+    return placed.withColumn("is_train", F.col("before__one") - F.col("_first") < F.ceil(share * F.col("_n"))).select(*df.columns, "is_train")
 
 
 def breadth_entropy(lines: DataFrame, category: str = "department") -> DataFrame:
@@ -73,10 +76,24 @@ def breadth_entropy(lines: DataFrame, category: str = "department") -> DataFrame
 
 
 def population_stability(base: DataFrame, now: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """One row: the population stability index of a column over the base's quantile bins."""
-    edges = base.agg(F.percentile(column, [i / bins for i in range(1, bins)]).alias("e"))
-    share = lambda f, n: f.crossJoin(F.broadcast(edges)).groupBy(F.size(F.filter("e", lambda x: x < F.col(column))).alias("bin")).agg(F.count("*").alias(n))
-    both = share(base.where(F.col(column).isNotNull()), "nb").join(share(now.where(F.col(column).isNotNull()), "nn"), "bin", "full").fillna(0, ["nb", "nn"])
+    """One row: the population stability index of a column over the base's quantile bins.
+
+    A bin's edge is the value at rank ceil(i n / bins) of the base's n values; values repeat in one row while they are ranked, and
+    ranks are dealt by range, so no task holds all values.
+    """
+    known = lambda f: f.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n"))
+    ranked = running_sums(known(base), ["x"], ["n"])
+    total = ranked.agg(F.sum("n").alias("t"))
+    cut = ranked.crossJoin(F.broadcast(total)).select("x", "n", "before_n", F.explode(F.array(*(F.ceil(i * F.col("t") / bins) for i in range(1, bins)))).alias("at"))
+    edges = cut.where("at > before_n and at <= before_n + n").agg(F.sort_array(F.collect_list("x")).alias("e"))  # bins - 1 values
+    bin_of = F.size(F.filter("e", lambda e: e < F.col("x")))
+    share = lambda f, n: f.crossJoin(F.broadcast(edges)).groupBy(bin_of.alias("bin")).agg(F.sum("n").alias(n))
+    both = share(ranked, "nb").join(share(known(now), "nn"), "bin", "full").fillna(0, ["nb", "nn"])
     totals = both.agg(F.sum("nb").alias("tb"), F.sum("nn").alias("tn"))
     rated = both.crossJoin(F.broadcast(totals)).select(((F.col("nb") + 0.5) / (F.col("tb") + 1)).alias("b"), ((F.col("nn") + 0.5) / (F.col("tn") + 1)).alias("n"))
     return rated.agg(F.round(F.sum((F.col("n") - F.col("b")) * F.log(F.col("n") / F.col("b"))), 4).alias("psi"))
+
+
+def only_real(df: DataFrame, synthetic: str) -> DataFrame:
+    """df without rows that are flagged as synthetic; a row whose flag is null counts as real."""
+    return df.where(~F.coalesce(F.col(synthetic), F.lit(False)))

@@ -91,9 +91,9 @@ def read_ingested(spark: SparkSession, target: str) -> DataFrame:
 
 
 def ingest_health(rows: DataFrame, exact: bool = True) -> DataFrame:
-    """(source file) -> rows, rescued rows, range of event time, distinct users; ``exact`` false for an estimate at scale."""
+    """(source file) -> rows, rescued rows, ranges of event and ingest time, distinct users; ``exact`` false for an estimate at scale."""
     users = F.countDistinct("user_id") if exact else F.approx_count_distinct("user_id")
-    return rows.groupBy("source_file").agg(F.count("*").alias("rows"), F.sum(F.col("rescued").cast("int")).alias("rescued_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), users.alias("users"))
+    return rows.groupBy("source_file").agg(F.count("*").alias("rows"), F.sum(F.col("rescued").cast("int")).alias("rescued_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("_ingest_ts").alias("first_ingest"), F.max("_ingest_ts").alias("last_ingest"), users.alias("users"))
 
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType | str) -> None:
@@ -102,17 +102,34 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.Stru
 
 
 def file_stats(spark: SparkSession, path: str) -> DataFrame:
-    """(files, bytes, median_bytes) of a Parquet folder."""
+    """(files, bytes, median_bytes) of a Parquet folder; the files' own metadata is read, one row of each."""
     files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size").distinct()
     return files.agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.percentile("file_size", 0.5).alias("median_bytes"))
 
 
-def compact(spark: SparkSession, path: str, target: str, target_bytes: int = 128 << 20) -> None:
-    """The rows of ``path`` in files of about ``target_bytes`` in a new folder, which the caller swaps in."""
+def compact(spark: SparkSession, path: str, target: str, target_bytes: int = 128 << 20, floor_bytes: int = 16 << 20) -> bool:
+    """The rows of ``path`` in files of about ``target_bytes`` in a new folder, which the caller swaps in.
+
+    Returns whether the files are large enough: a median of ``floor_bytes``, or no more files than the target size asks for.
+    """
     total = file_stats(spark, path).first()["bytes"] or 0
-    spark.read.parquet(path).repartition(max(1, -(-total // target_bytes))).write.mode("overwrite").parquet(target)
+    wanted = max(1, -(-total // target_bytes))
+    spark.read.parquet(path).repartition(wanted).write.mode("overwrite").parquet(target)
+    now = file_stats(spark, target).first()
+    return now["files"] <= wanted or now["median_bytes"] >= floor_bytes
 
 
 def write_clustered(df: DataFrame, path: str, keys: list[str], files: int) -> None:
     """Rows in ranges of the keys, sorted in each file, so that file statistics prune scans on them."""
     df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def baseline_copy(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """A table made straight from Parquet by a SQL select, in whatever files come out: what tuned layouts are measured against."""
+    spark.sql("SELECT * FROM parquet.`" + source.replace("`", "``") + "`").write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
+def file_ranges(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(file, low, high) of a key in each file of a Parquet folder: what file statistics can prune by."""
+    return spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(key).alias("low"), F.max(key).alias("high"))

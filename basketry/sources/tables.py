@@ -2,12 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+#: The session setting that names the folder of the tables where a caller gives none.
+ROOT_SETTING = "spark.basketry.root"
+
+
+def place(spark: SparkSession, root: str | None, name: str) -> str:
+    """Where a table lies: in ``root``, else in the folder that the session names."""
+    base = root or spark.conf.get(ROOT_SETTING, None)
+    if not base:
+        raise ValueError(f"no folder for {name}: give one, or set {ROOT_SETTING}")
+    return f"{base.rstrip('/')}/{name}.parquet"
+
+
+def table(spark: SparkSession, root: str | None, name: str) -> DataFrame:
+    return spark.read.parquet(place(spark, root, name))
+
+
+def table_stream(spark: SparkSession, root: str | None, name: str) -> DataFrame:
+    """The same table as a stream of what its file or folder holds."""
+    folder, file = place(spark, root, name).rsplit("/", 1)
+    return spark.readStream.schema(table(spark, root, name).schema).option("pathGlobFilter", file).parquet(folder)
+
+
+def conform(df: DataFrame, spec: list[tuple[str, str, Column | str]]) -> DataFrame:
+    """df as a table of (name, type, expression) columns, in that order and no others.
+
+    A value that does not fit its type is an error where the session's ANSI mode is on; wrap it in ``try_cast`` to have null.
+    """
+    twice = [n for n, k in Counter(name for name, _, _ in spec).items() if k > 1]
+    if twice:
+        raise ValueError(f"columns given twice: {twice}")
+    return df.select(*((F.expr(e) if isinstance(e, str) else e).cast(kind).alias(name) for name, kind, e in spec))
+
+
+def spec_ddl(spec: list[tuple[str, str, Column | str]]) -> str:
+    """The schema of a specification as DDL."""
+    return ", ".join(f"`{name}` {kind}" for name, kind, _ in spec)
 
 
 def deliveries(spark: SparkSession, root: str) -> DataFrame:
