@@ -15,16 +15,29 @@ from .simhash import hex_fingerprint, simhash_components
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its fingerprint in hex and the smallest doc_id that links reach.
+
+    Null, empty and blank texts have fingerprint zero and are linked like any others; a null doc_id keeps its row; repeated rows are
+    all given.
+    """
     found = simhash_components(read(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds, word for word or re-parameterised.
+
+    Null and empty texts hold none; a document without an id has a null doc_id here; rows that repeat an id count as one document.
+    """
     out = decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select(F.col("key").try_cast("long").alias("doc_id"), "item_id", "words", "covered", "windows", "reworded")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, from dictionaries of the documents outside the held-out fold.
+
+    Null texts and those without a letter are ``und`` with score 0; a null doc_id is never held out and teaches nothing.
+    """
     docs = read(spark, sf_dir, "documents")
     held_out = in_fold("doc_id", 4, 2)
     dictionaries = learn_dictionaries(docs.where(F.col("doc_id").isNotNull() & ~held_out))
@@ -32,18 +45,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-#: Words in the host names whose pages make up the list of bad URLs that op4 filters by.
-LISTED_WORDS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: The list of bad URLs that op4 filters by, hosts with all their subdomains. Another list is another table of URLs.
+LISTED = [f"http://{name}.example.{zone}/" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for zone in ("com", "net", "org")]
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(urlfilter.url_host(F.col("url")).rlike("|".join(LISTED_WORDS))).select("url")
-    out = urlfilter.judge(pages, listed)
+    """The verdict on each page's url; null or malformed urls have empty host and path and are allowed."""
+    listed = spark.createDataFrame([(u,) for u in LISTED], "url string")
+    out = urlfilter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), listed)
     return out.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rate and copies of each document; a null or empty text has no tokens, repeated rows the same rate each."""
     docs, targets = read(spark, sf_dir, "documents").select("doc_id", "text"), mixing.TARGETS
     model = mixing.learn_domains(docs, read(spark, sf_dir, "labels"), list(targets))
     members = settle(mixing.with_posteriors(docs, model).drop("text"))  # texts are read once
@@ -59,10 +73,10 @@ WITH split AS (
          regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
   FROM pages),
 canonical AS (
-  SELECT *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)[.]', '') || regexp_replace(path, '/+$', '') AS canon FROM split),
-bad AS (SELECT DISTINCT canon FROM canonical WHERE regexp_matches(host, '{"|".join(LISTED_WORDS)}') AND canon <> ''),
+  SELECT *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)[.]', '') AS own, own || regexp_replace(path, '/+$', '') AS canon FROM split),
+bad AS (SELECT unnest([{", ".join(f"'{u.removeprefix('http://').rstrip('/')}'" for u in LISTED)}]) AS entry),
 ruled AS (
-  SELECT c.*, c.canon IN (SELECT canon FROM bad) AS listed,
+  SELECT c.*, len([e FOR e IN (SELECT list(entry) FROM bad) IF e = canon OR ends_with('.' || own, '.' || e)]) > 0 AS listed,
          CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
               WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
               WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
@@ -75,7 +89,8 @@ FROM ruled
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.round_trip(spark, read(spark, sf_dir, "pages")).where("problem is null")
+    """Each page through an archive and back; a null html is an empty payload, repeated pages are records of their own."""
+    out = warc.round_trip(spark, read(spark, sf_dir, "pages")).where("problem is null")  # it raises if a record is missing
     return out.select(
         warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to")
     )
@@ -95,6 +110,7 @@ FROM hashed h JOIN best b ON h.hex = b.hex
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of each document; null and empty texts are scored as empty, a null doc_id is never held out."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held_out = in_fold("doc_id", 5, 0)
     out = fm.score(docs.select("doc_id", "text", "n_chars"), fm.learn(docs.where(~held_out), labels.where(~held_out)))
@@ -102,16 +118,19 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of each document; a null text has no words and fails."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     ratios = quality_rules.log_ratios(docs, read(spark, sf_dir, "labels").where("quality = 1"))
     return quality_rules.judge(docs, ratios).drop("text")
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page; null and empty html give an empty text, repeated rows are all given."""
     return htmltext.extract(read(spark, sf_dir, "pages"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data of each document; null and empty texts have none."""
     out = pii_digest(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.drop("text")
 

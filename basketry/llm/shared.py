@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``, or set on the context; without one, a temporary folder on local Spark only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         found = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -56,6 +59,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.sparkContext.environment.setdefault(name, value)
 
 
+def with_fields(docs: DataFrame, made: Column, names: list[str]) -> DataFrame:
+    """docs and the fields of a struct column; columns of docs with one of the names are replaced, whatever else they are called."""
+    own = docs.select(F.struct("*").alias("row"), made.alias("made"))
+    return own.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in names), *(F.col("made").getField(n).alias(n) for n in names))
+
+
 def fold(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the decimal text of ``doc_id``, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus

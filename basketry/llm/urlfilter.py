@@ -1,20 +1,17 @@
 """URL filters: host and path rules, and a list of canonical URLs behind a blocked Bloom filter.
 
-The filter is a table of blocks of eight 64-bit words; a URL sets or asks for eight bits of one block. Its size is fixed by a
-parameter, so it may be broadcast whatever the list's length; an overfull filter only lets more through. What it lets
-through meets the list itself in an exact hash join, so its false positives change no verdict.
+A listed URL with a path stands for itself; one without lists its host and all subdomains. So a page asks for its canonical URL
+and for each parent of its host. What the filter lets through of these meets the list in an exact hash join, so the filter's
+false positives change no verdict.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks of the filter: 2^16 blocks of 64 bytes are 4 MB at most, good for some 3 million URLs at 12 bits each.
-BLOCKS = 1 << 16
-_LANES = 8
+from .bloom import BLOCKS, marked
+from .shared import settle
 
 #: (host, path, verdict): the rules as they were given.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -46,51 +43,42 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column,
     return text, verdict
 
 
-def _probe(url: Column, blocks: int) -> tuple[Column, list[Column]]:
-    """(block, word masks): the bit of each of eight words, from 6 bits of a second hash each."""
-    bits = F.xxhash64(F.lit(1), url)
-    return F.pmod(F.xxhash64(url), F.lit(blocks)).cast("int"), [_one(bits, k) for k in range(_LANES)]
-
-
-def _one(bits: Column, lane: int) -> Column:
-    place = F.shiftright(bits, 6 * lane).bitwiseAND(F.lit(63)).cast("int")
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
-
-
-def bloom_blocks(listed: DataFrame, url: str = "url", blocks: int = BLOCKS) -> DataFrame:
-    """(block, w0..w7) of a column of canonical URLs: at most ``blocks`` rows, combined before the shuffle."""
-    block, masks = _probe(F.col(url), blocks)
-    placed = listed.where(F.col(url).isNotNull()).select(block.alias("block"), *(m.alias(f"w{k}") for k, m in enumerate(masks)))
-    return placed.groupBy("block").agg(*(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(_LANES)))
+def asked_urls(canonical: Column) -> Column:
+    """array: a canonical URL, its host and the parents of its host; null for a null."""
+    host = F.split(canonical, "/")[0]
+    parts = F.split(host, "\\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.array_distinct(F.concat(F.array(canonical), parents))
 
 
-def listed_among(rows: DataFrame, listed: DataFrame, url: str = "_url", blocks: int = BLOCKS) -> DataFrame:
-    """The distinct values of rows[url] that are in ``listed[url]``: column url.
+def listed_among(rows: DataFrame, listed: DataFrame, url: str = "url", blocks: int = BLOCKS) -> DataFrame:
+    """The distinct canonical URLs of rows[url] that ``listed[url]``, canonical too, has or lists by their host: column url.
 
     Nulls match nothing; repeats on either side do not multiply.
     """
-    block, masks = _probe(F.col(url), blocks)
-    table = F.broadcast(bloom_blocks(listed, url, blocks).withColumnRenamed("block", "_block"))
-    asked = rows.where(F.col(url).isNotNull()).select(url).distinct()
-    asked = asked.select(url, block.alias("_block"), *(m.alias(f"_m{k}") for k, m in enumerate(masks)))
-    held = reduce(lambda a, b: a & b, (F.col(f"w{k}").bitwiseAND(F.col(f"_m{k}")) != 0 for k in range(_LANES)))
-    possible = asked.join(table, "_block").where(held).select(url)
-    return possible.join(listed.select(url).distinct(), url, "left_semi")
+    asked = rows.where(F.col(url).isNotNull()).select(url).distinct().select(url, F.explode(asked_urls(F.col(url))).alias("key"))
+    bad = listed.select(F.col(url).alias("key")).distinct()
+    return marked(asked, bad, "key", blocks).where("maybe").join(bad, "key", "left_semi").select(url).distinct()
 
 
 def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: tuple = RULES, blocks: int = BLOCKS) -> DataFrame:
     """pages with host, path, rule, listed and verdict; ``listed`` has a column ``url`` of any URLs.
 
-    A fitting rule decides; else a listed canonical URL is blocked and any other allowed. A null URL, or one without
-    ``://``, has empty host and path, fits no rule, is not listed and so allowed. Repeated rows and other columns stay;
-    columns of the five names are replaced.
+    A fitting rule decides; else a listed URL is blocked and any other allowed. A null URL, or one without
+    ``://``, has empty host and path, fits no rule, is not listed and so allowed. Repeated rows and other columns stay,
+    whatever their names; columns of the five names are replaced.
     """
-    bad = listed.select(canonical_url(F.col("url")).alias("_url")).where("_url <> ''").distinct()
+    bad = listed.select(canonical_url(F.col("url")).alias("url")).where("url <> ''").distinct()
     text, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    out = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url)), "_url": F.nullif(canonical_url(F.col(url)), F.lit(""))})
-    out = out.withColumns({"rule": text, "_verdict": verdict})
-    hits = listed_among(out, bad, "_url", blocks).withColumn("_hit", F.lit(True))
-    out = out.join(hits, "_url", "left").withColumn("listed", F.coalesce("_hit", F.lit(False)))
-    out = out.withColumn("verdict", F.coalesce("_verdict", F.when(F.col("listed"), "block").otherwise("allow")))
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "listed", "verdict")]
+    own = pages.select(F.struct("*").alias("row"), F.col(url).alias("given"))
+    own = own.select("row", url_host(F.col("given")).alias("host"), url_path(F.col("given")).alias("path"), F.nullif(canonical_url(F.col("given")), F.lit("")).alias("url"))
+    own = own.withColumns({"rule": text, "ruled": verdict})
+    hits = settle(listed_among(own, bad, "url", blocks)).withColumn("listed", F.lit(True))
+    # only pages whose URL may be listed are shuffled to the hits
+    asked = marked(own, hits, "url", blocks)
+    clear = asked.where("not maybe").withColumn("listed", F.lit(False))
+    rest = asked.where("maybe").join(hits.hint("merge"), "url", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    out = clear.unionByName(rest.select(*clear.columns))
+    out = out.withColumn("verdict", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")))
+    names = [F.col("row").getField(c).alias(c) for c in pages.columns if c not in ("host", "path", "rule", "listed", "verdict")]
     return out.select(*names, "host", "path", "rule", "listed", "verdict")
