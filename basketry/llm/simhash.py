@@ -8,6 +8,9 @@ pigeonhole principle: of ``radius + 2`` blocks of bits, two at least agree in an
 a shard reach its tree by a shuffle; a shard with more than ``tree_nodes`` is split into several trees, and
 each fingerprint of the shard is sent to the trees of its own and of lower numbers, so no pair is missed and no
 task holds an unbounded tree.
+
+Fingerprints three bits apart miss many texts that share four fifths of their shingles. Where a similarity is asked for,
+texts that fingerprints have not linked meet by bands of MinHashes, and each such link is judged on the whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -21,30 +24,69 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bloom import marked, without
 from .components import connected_components
 from .shared import settle, small_batches
 
 #: Shingles hashed before their bits are added up; bounds the memory that a very long text takes.
 _CHUNK = 1 << 15
+#: MinHash bands: two texts of similarity 0.8 share one of BANDS bands of ROWS values but for 7 in 100,000 pairs.
+ROWS, BANDS = 5, 24
+#: Of one block of texts that may be near copies: texts, and shingles in all.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 4 << 20
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of a text's word shingles; 0 for a null or blank text.
-
-    A-Z are lower-cased; words are split at space and the control characters 9 to 13. Fewer words than a shingle
-    make one shingle.
-    """
+def _shingles(text: str | None, words: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's word shingles, in arrays of at most _CHUNK."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = max(1, len(found) - words + 1) if found else 0
-    ones = np.zeros(64, dtype=np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     for start in range(0, n, _CHUNK):
         stop = min(n, start + _CHUNK)
-        hashes = np.fromiter((digest(join(found[i : i + words]), seed) for i in range(start, stop)), "<u8", stop - start)
+        yield np.fromiter((digest(join(found[i : i + words]), seed) for i in range(start, stop)), "<u8", stop - start)
+
+
+def _majority(parts: list[np.ndarray]) -> int:
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in parts:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """Signed 64-bit SimHash of a text's word shingles; 0 for a null or blank text.
+
+    A-Z are lower-cased; words are split at space and the control characters 9 to 13. Fewer words than a shingle
+    make one shingle.
+    """
+    return _majority(_shingles(text, words, seed))
+
+
+_FACTORS = np.random.default_rng(3).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(parts: list[np.ndarray]) -> list[int]:
+    """A signed 64-bit hash of each band of MinHashes of shingle hashes; none without a shingle."""
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for hashes in parts:
+        for i in range(0, len(hashes), 512):
+            own = hashes[i : i + 512, None] * _FACTORS
+            np.minimum(least, (own ^ (own >> np.uint64(32))).min(axis=0), out=least)
+    if not parts:
+        return []
+    out = np.zeros(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = (out ^ (out >> np.uint64(29)) ^ row) * np.uint64(0x9E3779B97F4A7C15)
+    return out.view(np.int64).tolist()
+
+
+def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> bytes:
+    """The distinct shingle hashes of a text in order, eight bytes each."""
+    parts = list(_shingles(text, words, seed))
+    return np.unique(np.concatenate(parts)).tobytes() if parts else b""
+
+
 def fingerprints(text: Column | str, words: int = 3, seed: int = 42) -> Column:
     """``fingerprint`` as a column."""
 
@@ -157,6 +199,107 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, tree_nodes: int = 20
     return dealt.mapInPandas(search, "u long, v long").distinct()
 
 
+def similar_links(prints: DataFrame, roots: DataFrame, docs: DataFrame, text: str, doc_id: str, words: int, similarity: float, seed: int) -> DataFrame:
+    """(u, v): fingerprints of texts that share ``similarity`` of their shingles, as far as ``roots`` do not join them yet.
+
+    ``prints`` has body, key, fp, bands and shingles of each row; ``roots`` root of each fp. Stars over the bands' buckets
+    give groups of ids in which all such pairs lie. Only texts of groups with more than one root are read again, and their sets
+    go to the group once; a large group is cut in blocks, and each text also meets the blocks before its own.
+    """
+    texts = prints.groupBy("body").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.max("shingles").alias("shingles"), F.min("bands").alias("bands"))
+    texts = texts.join(roots, "fp").select("body", "key", "fp", "root", "shingles", "bands")
+    banded = texts.select("body", "root", F.posexplode("bands").alias("band", "value"))
+    buckets = banded.groupBy("band", "value").agg(F.min("body").alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
+    stars = banded.join(buckets.where("low <> high").select("band", "value", "first"), ["band", "value"])
+    groups = connected_components(stars.select(F.col("body").alias("u"), F.col("first").alias("v"))).withColumnRenamed("node", "body").withColumnRenamed("root", "meets")
+    known = texts.select("body", "key", "fp", "shingles").join(groups, "body")
+    size = known.groupBy("meets").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    known = settle(known.join(size, "meets").withColumn("own", F.pmod(F.xxhash64("body"), "blocks").cast("int")).select("meets", "own", "key", "fp"))
+
+    @F.pandas_udf("binary")
+    def sets(own: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words, seed) for t in own], dtype=object)
+
+    asked = marked(docs.select(row_key(text, doc_id).alias("key"), F.col(text).alias("text")), known, "key").where("maybe")
+    held = asked.select("key", sets("text").alias("set")).groupBy("key").agg(F.first("set").alias("set"))
+    dealt = known.hint("merge").join(held, "key").select("meets", "own", "fp", "set", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"))
+    dealt = dealt.repartition("meets", "block").sortWithinPartitions("meets", "block", "own", "fp")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, block = None, _Block(similarity)
+        for batch in batches:
+            links = []
+            for meets, number, own, fp, held in zip(batch["meets"], batch["block"], batch["own"], batch["fp"], batch["set"]):
+                if (meets, number) != key:
+                    links += block.close()
+                    key, block = (meets, number), _Block(similarity)
+                shingles = np.frombuffer(held, dtype=np.uint64)
+                if own == number:  # the block's own texts come first
+                    block.add(fp, shingles)
+                else:
+                    links += block.close()
+                    links += block.met(fp, shingles)
+            yield pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+        yield pd.DataFrame(block.close(), columns=["u", "v"], dtype="int64")
+
+    return dealt.mapInPandas(compare, "u long, v long").distinct()
+
+
+class _Block:
+    """The texts of a block, found by what they share: all at once by an index of their shingles, not one by one."""
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity = similarity
+        self.fps: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.group = np.zeros(0, dtype=np.int64)
+        self.closed = False
+
+    def add(self, fp: int, shingles: np.ndarray) -> None:
+        self.fps.append(fp)
+        self.sets.append(shingles)
+
+    def close(self) -> list[tuple[int, int]]:
+        """Once all are added: a spanning forest of the links among them."""
+        if self.closed or not self.fps:
+            return []
+        self.closed = True
+        self.sizes = np.array([len(s) for s in self.sets])
+        self.group = np.arange(len(self.fps))
+        shingles = np.concatenate(self.sets)
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, self.holder = shingles[order], np.repeat(np.arange(len(self.fps)), self.sizes)[order]
+        links = []
+        for i in range(1, len(self.fps)):
+            like = self._like(self.sets[i])
+            like = like[like < i]
+            for j in self._one_of_each(like):
+                links.append((self.fps[i], self.fps[j]))
+                self.group[self.group == self.group[j]] = self.group[i]
+        self.sets.clear()
+        return links
+
+    def met(self, fp: int, shingles: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a text of another block: to one text of each group that has any like it."""
+        return [(fp, self.fps[j]) for j in self._one_of_each(self._like(shingles))] if self.fps else []
+
+    def _one_of_each(self, texts: np.ndarray) -> list[int]:
+        return texts[np.unique(self.group[texts], return_index=True)[1]].tolist()
+
+    def _like(self, shingles: np.ndarray) -> np.ndarray:
+        """Places of the texts that share ``similarity`` of their union with a set."""
+        low, high = np.searchsorted(self.shingles, shingles, "left"), np.searchsorted(self.shingles, shingles, "right")
+        count = high - low
+        places = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        shared = np.bincount(self.holder[places], minlength=len(self.fps))
+        return np.flatnonzero(shared / np.maximum(self.sizes + len(shingles) - shared, 1) >= self.similarity)
+
+
+def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
+    """The id and a 64-bit hash of the text, as a string: what rows are told apart by."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.xxhash64(text).cast("string"))
+
+
 def simhash_components(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3, seed: int = 42, tree_nodes: int = 2048
 ) -> DataFrame:
@@ -171,14 +314,35 @@ def simhash_components(
     return prints.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def _grouped(docs: DataFrame, text: str, doc_id: str, words: int, radius: int, seed: int, tree_nodes: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint; root tells components without ids apart."""
-    prints = settle(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), words, seed).alias("fp")))
+def _grouped(docs: DataFrame, text: str, doc_id: str, words: int, radius: int, seed: int, tree_nodes: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint; root tells components without ids apart.
+
+    With a similarity, rows have key and what ``similar_links`` needs too.
+    """
+    own = [F.col(doc_id).alias("doc_id")]
+    if similarity is None:
+        prints = settle(docs.select(*own, fingerprints(F.col(text), words, seed).alias("fp")))
+    else:
+
+        @F.pandas_udf("fp long, bands array<long>, shingles long")
+        def signed(texts: pd.Series) -> pd.DataFrame:
+            parts = [list(_shingles(t, words, seed)) for t in texts]
+            return pd.DataFrame({"fp": [_majority(p) for p in parts], "bands": [bands(p) for p in parts], "shingles": [sum(map(len, p)) for p in parts]})
+
+        rows = docs.select(*own, row_key(text, doc_id).alias("key"), F.xxhash64(text).alias("body"), signed(F.col(text)).alias("of"))
+        prints = settle(rows.select("doc_id", "key", "body", "of.fp", "of.bands", "of.shingles"))
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(fingerprint_links(distinct.select("fp"), radius, tree_nodes)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints, rooted.join(of_root, "root").select("fp", "root", "component_id")
+    found = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    if similarity is not None:
+        found = settle(found)
+        of = lambda end: found.select(F.col("fp").alias(end), F.col("root").alias(f"root_{end}"))
+        more = similar_links(prints, found.select("fp", "root"), docs, text, doc_id, words, similarity, seed).join(of("u"), "u").join(of("v"), "v")
+        joined = connected_components(more.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
+        found = found.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("fp", "least", F.coalesce("top", "root").alias("root"))
+    found = settle(found)
+    of_root = settle(found.groupBy("root").agg(F.min("least").alias("component_id")))
+    return prints, found.join(of_root, "root").select("fp", "root", "component_id")
 
 
 def hex_fingerprint(fp: Column | str) -> Column:
@@ -187,23 +351,24 @@ def hex_fingerprint(fp: Column | str) -> Column:
 
 
 def keep_one(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3, seed: int = 42, tree_nodes: int = 2048, null_ids: bool = True
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, radius: int = 3, seed: int = 42, tree_nodes: int = 2048, similarity: float = 0.8, null_ids: bool = False
 ) -> DataFrame:
     """docs without near copies: of each component, one row with the smallest doc_id stays, with all its columns.
 
-    Rows that repeat the kept id are dropped too. Rows with a null id stay with ``null_ids``; without it they go if any
-    of their component has an id, and else all but the first of it by text.
+    Texts are linked if their fingerprints differ in ``radius`` bits at most or if they share ``similarity`` of their distinct
+    shingles; blank and null texts are one component. Rows that repeat the kept id and text are dropped too. Rows with a null id
+    stay with ``null_ids``; without it they go if any of their component has an id, and else all but one of it. The ids and
+    texts' hashes alone decide; a text moves only if its row may have to go.
     """
     small_batches(docs.sparkSession)
-    prints, groups = _grouped(docs, text, doc_id, words, radius, seed, tree_nodes)
-    of = prints.join(groups, "fp", "left")
-    kept = settle(of.where("doc_id = component_id").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count("*").alias("_n")))
-    single = docs.join(kept.where("_n = 1").select(doc_id), doc_id, "left_semi")
-    repeated = docs.join(kept.where("_n > 1").select(doc_id), doc_id, "left_semi").dropDuplicates([doc_id])
-    nulls = docs.where(F.col(doc_id).isNull())
-    if not null_ids:
-        rows = nulls.select(F.struct("*").alias("_row"), fingerprints(F.col(text), words, seed).alias("fp"))
-        alone = rows.join(groups.where("component_id is null").select("fp", "root"), "fp")
-        order = Window.partitionBy("root").orderBy(F.col("_row").getField(text), "fp")
-        nulls = alone.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row.*")
-    return single.unionByName(repeated).unionByName(nulls).select(*docs.columns)
+    prints, groups = _grouped(docs, text, doc_id, words, radius, seed, tree_nodes, similarity)
+    if null_ids:
+        prints = prints.where("doc_id is not null")
+    groups = settle(groups.select("fp", "root"))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    # written, so that the joins below are of two plain tables, which Spark may split where a group is hot
+    best = settle(first.join(groups, "fp").groupBy("root").agg(F.min("first").alias("best")).select("root", F.col("best.key").alias("best")))
+    rows = settle(prints.groupBy("fp", "key").agg(F.count("*").alias("n")).join(groups, "fp").join(best, "root"))
+    listed = rows.withColumn("keep", F.col("key") == F.col("best")).where("not keep or n > 1").select("key", "keep")
+    key = row_key(text, doc_id)
+    return without(docs, F.when(F.col(doc_id).isNotNull(), key) if null_ids else key, listed, once=True)

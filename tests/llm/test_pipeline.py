@@ -10,7 +10,7 @@ from basketry.llm.langid import Judge, learn_dictionaries  # noqa: E402
 
 from .test_mixing import brute_rates  # noqa: E402
 from .test_pii import brute as brute_pii  # noqa: E402
-from .test_simhash import brute_components, brute_fingerprint  # noqa: E402
+from .test_simhash import brute_components, brute_fingerprint, brute_shingles  # noqa: E402
 
 ROOT = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -44,7 +44,7 @@ def test_language_drops_what_is_rejected_and_little_else(spark, stages):
 
 def test_one_document_of_each_component_stays(stages):
     rows = stages[1].collect()
-    groups = brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in rows])
+    groups = brute_components([(r.doc_id, brute_fingerprint(r.text, 5)) for r in rows], [brute_shingles(r.text, 5) for r in rows])
     assert ids(stages[2].collect()) == sorted(set(groups))
 
 

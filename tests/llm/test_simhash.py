@@ -5,7 +5,7 @@ from basketry.llm.components import connected_components
 from basketry.llm.simhash import BKTree, fingerprint, fingerprint_links, keep_one, simhash_components
 
 
-def brute_fingerprint(text, k=3):
+def brute_shingles(text, k):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words, word = [], ""
     for c in lowered + " ":
@@ -13,14 +13,20 @@ def brute_fingerprint(text, k=3):
             words, word = (words + [word] if word else words), ""
         else:
             word += c
-    shingles = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or ([" ".join(words)] if words else [])
+    return [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or ([" ".join(words)] if words else [])
+
+
+def brute_fingerprint(text, k=3):
+    shingles = brute_shingles(text, k)
     hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
     out = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
     return out - (1 << 64) if out >> 63 else out
 
 
-def brute_components(rows):
-    """(doc_id, fp) -> component ids by comparing all pairs."""
+def brute_components(rows, shingles=None, similarity=0.8):
+    """(doc_id, fp) -> component ids by comparing all pairs; with shingles, pairs that share ``similarity`` of them are linked too."""
+    sets = [set(s) for s in shingles or []]
+    like = lambda a, b: len(a & b) / max(1, len(a | b)) >= similarity
     parent = list(range(len(rows)))
 
     def top(i):
@@ -30,7 +36,7 @@ def brute_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if ((rows[i][1] ^ rows[j][1]) & (1 << 64) - 1).bit_count() <= 3:
+            if ((rows[i][1] ^ rows[j][1]) & (1 << 64) - 1).bit_count() <= 3 or shingles and like(sets[i], sets[j]):
                 parent[top(i)] = top(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -87,9 +93,10 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
     got = sorted((r.doc_id or -1, r.component_id) for r in simhash_components(docs).collect())
     assert got == [(-1, 3), (3, 3), (5, 3), (7, 7), (7, 7), (9, 7)]
-    kept = keep_one(docs)
+    kept = keep_one(docs, null_ids=True)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 3, 7]
+    assert keep_one(docs.limit(0)).count() == 0
     assert simhash_components(docs.limit(0)).count() == 0
 
 
@@ -107,3 +114,26 @@ def test_rows_without_ids_are_deduplicated_in_the_pipeline(spark):
     kept = near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or -1, r.fp) for r in kept.collect()) == [(-1, 1), (-1, 3), (4, 2)]
+
+
+def test_similar_texts_are_linked_whatever_their_fingerprints(spark, monkeypatch):
+    """Chains and groups of copies at 0.7 to 0.9 of shared shingles, in blocks of several sizes, against all pairs."""
+    from basketry.llm import simhash
+
+    draw = random.Random(11)
+    texts = [" ".join(f"w{draw.randrange(10_000)}" for _ in range(draw.choice((3, 6, 40, 120)))) for _ in range(12)]
+    for _ in range(110):
+        words = draw.choice(texts[-60:]).split()
+        for _ in range(draw.choice((0, 1, 1, 2, 3))):
+            words[draw.randrange(len(words))] = f"x{draw.randrange(10_000)}"
+        texts.append(" ".join(words).upper() if draw.random() < 0.2 else " ".join(words))
+    rows = [(i if i % 17 else None, t) for i, t in enumerate([*texts, *texts[:9], "", None])]
+    draw.shuffle(rows)
+    groups = brute_components([(i, brute_fingerprint(t, 5)) for i, t in rows], [brute_shingles(t, 5) for _, t in rows])
+    named, docs = {g for g in groups if g is not None}, spark.createDataFrame([(*r, 0, "r") for r in rows], "doc_id long, text string, maybe int, row string")
+    for block in (3, 1024):
+        monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+        kept = keep_one(docs).collect()
+        assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(named) and kept[0].row == "r"
+    tops = brute_components([(n, brute_fingerprint(t, 5)) for n, (_, t) in enumerate(rows)], [brute_shingles(t, 5) for _, t in rows])
+    assert len(kept) == len(set(tops))
