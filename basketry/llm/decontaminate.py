@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import without
 from .shared import settle, small_batches
 
 #: Words of a window, and those of them that must be plain words. An item with fewer words is one window of them all.
@@ -74,7 +76,8 @@ def _ends(raw: str) -> bool:
 def canonical(text: str | None) -> tuple[list[str], list[str]]:
     """(template words, the value of each slot or '') of a whole text; empty for a null one.
 
-    A capitalised word is a name unless it begins a sentence; a unit word is a unit only after a number.
+    A capitalised word is a name unless it begins a sentence, and names in a row are one; a unit word is a unit only after
+    a number.
     """
     words: list[str] = []
     values: list[str] = []
@@ -85,73 +88,123 @@ def canonical(text: str | None) -> tuple[list[str], list[str]]:
                 template, value = (value, "") if first else (NAME, value)
             elif template in UNIT_WORDS and words and words[-1] == NUMBER:
                 template, value = UNIT, template
+            if template == NAME and words and words[-1] == NAME:
+                values[-1] += f" {value}"
+                continue
             words.append(template)
             values.append(value)
         first = _ends(raw)
     return words, values
 
 
-#: How a raw word is hashed: as itself, as a name within a sentence, as a unit after a number, or as several tokens.
-_SELF, _NAMED, _MEASURED, _SEVERAL = range(4)
-
-
-def _entry(raw: str) -> tuple[int, int | list[int], bool]:
-    tokens = _word(raw)
-    if len(tokens) != 1 or tokens[0][0] in (NUMBER, UNIT):
-        return _SEVERAL, [_hash(t) for t, _ in tokens], _ends(raw)
-    template, value = tokens[0]
-    kind = _NAMED if not template else _MEASURED if template in UNIT_WORDS else _SELF
-    return kind, _hash(template or value), _ends(raw)
-
-
-_SEEN: dict[str, tuple[int, int | list[int], bool]] = {}
-_SEEN_MOST = 100_000
+#: How a token is hashed: as itself, as a name within a sentence, as a unit after a number, or as what it is everywhere.
+_SELF, _NAMED, _MEASURED, _NUMERAL, _FIXED = range(5)
+_KINDS = dict.fromkeys(UNIT_WORDS, _MEASURED) | dict.fromkeys(NUMBER_WORDS, _NUMERAL)
+#: Raw words remembered, and characters read at once, at most (but for one longer text).
+_SEEN_MOST, _AT_ONCE = 200_000, 1 << 20
+
+
+class _Vocabulary(dict):
+    """Raw words by code; the tokens of each code are worked out once."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.count = np.zeros(0, dtype=np.int64)
+        self.ends = np.zeros(0, dtype=bool)
+        self.hash = np.zeros(0, dtype=np.uint64)
+        self.kind = np.zeros(0, dtype=np.int8)
+        #: Of the words met since the arrays grew: whether a sentence ends with it, and hash and kind of its tokens.
+        self.new_ends: list[bool] = []
+        self.new_count: list[int] = []
+        self.new_hash: list[int] = []
+        self.new_kind: list[int] = []
+
+    def __missing__(self, raw: str) -> int:
+        code = self[raw] = len(self)
+        bare = raw if raw.isalpha() else raw.strip(_EDGE)
+        if bare.isalpha():  # the common case of what follows
+            low = bare.lower()
+            kind = _KINDS.get(low, _SELF)
+            if kind != _NUMERAL and bare[0].isupper() and (len(bare) == 1 or not bare.isupper()):
+                kind = _NAMED
+            self.new_count.append(1)
+            self.new_hash.append(_NUMBER_HASH if kind == _NUMERAL else crc32(low.encode("utf-8", "surrogatepass")))
+            self.new_kind.append(kind)
+            self.new_ends.append(bare is not raw and _ends(raw))
+            if kind != _NUMERAL or bare is raw or "%" not in raw:
+                return code
+            for one in (self.new_count, self.new_hash, self.new_kind, self.new_ends):
+                one.pop()
+        tokens = [(_hash(t or v), {NUMBER: _NUMERAL, UNIT: _FIXED, "": _NAMED}.get(t) or _KINDS.get(t, _SELF)) for t, v in _word(raw)]
+        self.new_count.append(len(tokens))
+        self.new_hash.extend(h for h, _ in tokens)
+        self.new_kind.extend(k for _, k in tokens)
+        self.new_ends.append(_ends(raw))
+        return code
+
+    def grow(self) -> None:
+        """Takes the words met since the last call into the arrays."""
+        counts = np.array(self.new_count, dtype=np.int64)
+        self.begin = np.concatenate([self.begin, len(self.hash) + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.ends = np.concatenate([self.ends, np.array(self.new_ends, dtype=bool)])
+        self.hash = np.concatenate([self.hash, np.array(self.new_hash, dtype=np.uint64)])
+        self.kind = np.concatenate([self.kind, np.array(self.new_kind, dtype=np.int8)])
+        for one in (self.new_count, self.new_hash, self.new_kind, self.new_ends):
+            one.clear()
+
+
+def template_hashes(texts: list[str | None], seen: _Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the template words of ``canonical``, the text that each is of), all texts at once."""
+    if len(seen) > _SEEN_MOST:
+        seen.clear()
+        seen.__init__()
+    split = [(t or "").split() for t in texts]
+    lengths = np.array([len(x) for x in split], dtype=np.int64)
+    words = list(chain.from_iterable(split))
+    codes = np.fromiter(map(seen.__getitem__, words), dtype=np.int64, count=len(words))
+    if seen.new_count:
+        seen.grow()
+    if not len(codes):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    first = np.ones(len(codes), dtype=bool)
+    first[1:] = seen.ends[codes[:-1]]
+    first[starts[lengths > 0]] = True
+    count = seen.count[codes]
+    token = np.repeat(seen.begin[codes] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    text = np.repeat(np.repeat(np.arange(len(texts)), lengths), count)
+    out, kind = seen.hash[token], seen.kind[token]
+    follows = np.zeros(len(text), dtype=bool)
+    follows[1:] = text[1:] == text[:-1]
+    named = (kind == _NAMED) & ~np.repeat(first, count)
+    out[named] = _NAME_HASH
+    after = np.zeros(len(text), dtype=bool)
+    after[1:] = kind[:-1] == _NUMERAL
+    out[(kind == _MEASURED) & follows & after] = _UNIT_HASH
+    after[1:] = named[:-1]
+    keep = ~(named & follows & after)
+    return out[keep], text[keep]
 
 
 def hashes(text: str | None) -> np.ndarray:
-    """Hashes of the template words of ``canonical``, without making them; raw words already seen are remembered."""
-    out: list[int] = []
-    add, seen, first, number = out.append, _SEEN.get, True, False
-    for raw in (text or "").split():
-        found = seen(raw)
-        if found is None:
-            if len(_SEEN) >= _SEEN_MOST:
-                _SEEN.clear()
-            found = _SEEN[raw] = _entry(raw)
-        kind, own, ends = found
-        if kind == _SELF:
-            add(own)
-            number = False
-        elif kind == _NAMED:
-            add(own if first else _NAME_HASH)
-            number = False
-        elif kind == _MEASURED:
-            add(_UNIT_HASH if number else own)
-            number = False
-        elif own:
-            out.extend(own)
-            number = own[-1] == _NUMBER_HASH
-        first = ends
-    return np.array(out, dtype=np.uint64)
+    """Hashes of the template words of ``canonical``, without making them."""
+    return template_hashes([text], _Vocabulary())[0]
 
 
 _PLACES, _HALF = np.uint64(FILTER_BITS - 1), np.uint64(32)
 
 
-def forget() -> None:
-    """Lets go of the raw words seen; a worker lives on after its task."""
-    _SEEN.clear()
-
-
-def _window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
-    return out
+def _window_hashes(hashes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hash of the window from each place on), sizes in ascending order."""
+    out = np.zeros(len(hashes), dtype=np.uint64)
+    for k in range(min(max(sizes, default=0), len(hashes))):
+        out = out[: len(hashes) - k]
+        with np.errstate(over="ignore"):
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[k:]
+        if k + 1 in sizes:
+            yield k + 1, out
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -179,21 +232,40 @@ def _template(words: list[str], at: int, size: int, slots: list[str]) -> str:
     return own if size >= SHORTEST and _telling(words, at, size) else "\n".join([own, *slots])
 
 
+def _readings(text: str | None) -> Iterator[tuple[list[str], list[str], np.ndarray]]:
+    """(template words, values, hashes) of an item as it stands, and as it reads within a sentence, where its first word may be a name.
+
+    The second is left out where the words that read alike are enough to be covered.
+    """
+    own = canonical(text)
+    yield *own, hashes(text)
+    words, values = (x[1:] for x in canonical(f"x {text or ''}"))
+    if words != own[0] and len(words) - 1 < min(COVERED, len(own[0])):
+        yield words, values, hashes(f"x {text or ''}")[1:]
+
+
 def benchmark_windows(benchmark: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """(item_id, words, at, size, template, slots, bits): the windows of each item. Null ids and items under EXACT words have none."""
+    """(item_id, words, at, size, template, slots, bits): the windows of each item, in both of its readings.
+
+    Null ids and items under EXACT words have none.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for item, body in zip(batch["item_id"], batch["text"]):
-                words, values = canonical(body)
-                size = min(WINDOW, len(words))
-                if size < EXACT:
-                    continue
-                found = _window_hashes(hashes(body), size)
-                for at in range(len(found)):
-                    slots = _slots(words, values, at, size)
-                    rows.append((item, len(words), at, size, _template(words, at, size, slots), slots, _bits(found[at : at + 1])[:, 0].astype(np.int64).tolist()))
+                seen = set()
+                for words, values, hashed in _readings(body):
+                    size = min(WINDOW, len(words))
+                    if size < EXACT:
+                        continue
+                    found = dict(_window_hashes(hashed, [size]))[size]
+                    for at in range(len(found)):
+                        slots = _slots(words, values, at, size)
+                        template = _template(words, at, size, slots)
+                        if (len(words), at, template) not in seen:
+                            seen.add((len(words), at, template))
+                            rows.append((item, len(words), at, size, template, slots, _bits(found[at : at + 1])[:, 0].astype(np.int64).tolist()))
             yield pd.DataFrame(rows, columns=["item_id", "words", "at", "size", "template", "slots", "bits"])
 
     own = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id is not null")
@@ -210,6 +282,31 @@ def _filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
     return bits.view(np.uint8), sizes
 
 
+def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of _AT_ONCE characters or a little more; a longer text is a run of its own at most."""
+    low, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= _AT_ONCE:
+            yield low, i + 1
+            low, size = i + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
+
+
+def _possible(texts: list[str | None], bits: np.ndarray, sizes: list[int], seen: _Vocabulary) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(text, its windows (place, size) that pass the filter) of the texts that have any."""
+    own, text = template_hashes(texts, seen)
+    begin = np.searchsorted(text, np.arange(len(texts)))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for size, found in _window_hashes(own, sizes):
+        one = np.flatnonzero(_set(bits, found & _PLACES))
+        one = one[_set(bits, (found[one] >> _HALF) & _PLACES)]
+        for at in one[text[one] == text[one + size - 1]].tolist():
+            out.setdefault(int(text[at]), []).append((at - int(begin[text[at]]), size))
+    yield from out.items()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(key, item_id, words, covered, windows, reworded): a row for each document key and benchmark item that it holds.
 
@@ -222,21 +319,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     held = docs.sparkSession.sparkContext.broadcast(_filter(windows))  # of fixed size
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, sizes = held.value
+        (bits, sizes), seen = held.value, _Vocabulary()
         for batch in batches:
-            rows = []
-            for key, body in zip(batch["key"], batch["text"]):
-                own, words = hashes(body), None
-                for size in sizes:
-                    found = _window_hashes(own, size)
-                    one = np.flatnonzero(_set(bits, found & _PLACES))
-                    for at in one[_set(bits, (found[one] >> _HALF) & _PLACES)].tolist():
-                        if words is None:
-                            words, values = canonical(body)
+            rows, keys, texts = [], batch["key"].tolist(), batch["text"].tolist()
+            for low, high in _runs(texts):
+                for i, found in _possible(texts[low:high], bits, sizes, seen):
+                    words, values = canonical(texts[low + i])
+                    for at, size in found:
                         slots = _slots(words, values, at, size)
-                        rows.append((key, at, _template(words, at, size, slots), slots))
+                        rows.append((keys[low + i], at, _template(words, at, size, slots), slots))
             yield pd.DataFrame(rows, columns=["key", "place", "template", "own"])
-        forget()
 
     own = docs.select(document_key(text, doc_id).alias("key"), F.col(text).alias("text"))
     found = own.mapInPandas(cut, "key string, place int, template string, own array<string>")
@@ -263,6 +355,8 @@ def document_key(text: str = "text", doc_id: str = "doc_id"):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without those that hold a benchmark item, all columns and repeats kept."""
-    bad = settle(leaks(docs, benchmark, text, doc_id).select(F.col("key").alias("_key")).distinct())
-    return docs.withColumn("_key", document_key(text, doc_id)).join(bad, "_key", "left_anti").drop("_key")
+    """docs without those that hold a benchmark item, all columns and repeats kept; null and empty texts hold none.
+
+    Only documents that may have to go are shuffled to the list of leaks.
+    """
+    return without(docs, document_key(text, doc_id), settle(leaks(docs, benchmark, text, doc_id).select("key").distinct()))

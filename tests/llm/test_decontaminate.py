@@ -89,3 +89,14 @@ def test_collided_values_changed_copies_and_windows_of_values(spark):
     got = {(int(r.key), r.item_id): r for r in dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert set(got) == {(1, 1), (2, 1), (3, 2), (5, 3), (6, 4)}
     assert got[1, 1].reworded and got[3, 2].covered == 16 and got[2, 1].covered < got[2, 1].words
+
+
+def test_short_items_names_in_a_row_and_clashing_columns(spark):
+    items = [(1, "Add 2 and 3"), (2, "What is 7 times 8?"), (3, "Go on now"), (4, "The clerk Anna Bell gave the old man 20 coins for the red boat and then went home.")]
+    docs = [(1, "Say: Add 2 and 3 at once"), (2, "what is 7 times 8? 56"), (3, "so Go on now then"), (4, "Yesterday the clerk Bob gave the old man 31 coins for the red boat and then went home."), (5, "Add 4 and 5"), (6, "what is 6 times 8?")]
+    frame = spark.createDataFrame([(*d, "k", 1, True, 0) for d in docs], "doc_id long, text string, _key string, key int, maybe boolean, row int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(int(r.key), r.item_id) for r in dc.leaks(frame, bench).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+    kept = dc.drop_leaks(frame, bench)
+    assert kept.columns == frame.columns and sorted((r.doc_id, r._key, r.row) for r in kept.collect()) == [(5, "k", 0), (6, "k", 0)]
+    assert dc.canonical("so Anna Maria Bell went, Carl stayed")[1] == ["", "anna maria bell", "", "carl", ""]
