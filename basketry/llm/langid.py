@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from zlib import crc32
 
 import pandas as pd
@@ -11,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, with_fields
 
 UNKNOWN = "und"
 #: The bounded sample that a dictionary is made of: texts of each language, and bytes of each dictionary.
@@ -20,10 +21,10 @@ SAMPLE_TEXTS, DICTIONARY_BYTES = 96, 112 << 10
 LEVEL = 5
 #: Bytes by which the best language must beat the next for each 1,000 bytes of text, and at least. Below, a text is rejected.
 MARGIN_PER_1000, MARGIN_LEAST = 2.0, 1
-#: A text of fewer bytes than this is encoded this many times over.
-SHORT, REPEATS = 256, 8
-#: A text longer than this is encoded in pieces of this many characters, all of which count.
-PIECE = 1 << 18
+#: Every text is encoded so many times over: one short text alone would be stored as it is, in the same bytes for all languages.
+REPEATS = 8
+#: Bytes of the pieces that a longer text is encoded in, all of which count; a piece ends with a word.
+PIECE = 1 << 16
 
 
 def learn_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
@@ -35,10 +36,13 @@ def learn_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang")
     known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     known = known.where(F.col("text").rlike(r"\p{L}"))
     known = known.withColumns({"_rare": F.when(F.length("text").between(200, 20_000), 0).otherwise(1), "_hash": F.xxhash64("text")})
-    # copies would take the places of other texts; only hashes are shuffled to leave them out
-    order = Window.partitionBy("lang").orderBy("_rare", "_hash")
-    first = known.select("lang", "_rare", "_hash").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_TEXTS)
-    ranked = known.join(first, ["lang", "_rare", "_hash"]).select("lang", "_n", "text").distinct()
+    # copies would take the places of other texts; only hashes are shuffled to leave them out, and few of those to a language's one task
+    order = ("_rare", "_hash")
+    first = known.select("lang", *order).distinct().withColumn("_part", F.pmod("_hash", F.lit(16)))
+    for keys in (("lang", "_part"), ("lang",)):
+        first = first.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= SAMPLE_TEXTS)
+    # as bounded as the dictionaries: SAMPLE_TEXTS rows of a language
+    ranked = known.join(F.broadcast(first.drop("_part")), ["lang", *order]).select("lang", "_n", "text").distinct()
     out: dict[str, bytes] = {}
     parts: dict[str, list[bytes]] = {}
     for row in ranked.orderBy("lang", "_n", "text").toLocalIterator():
@@ -64,9 +68,7 @@ class Judge:
             self.encoders.append(zstandard.ZstdCompressor(dict_data=content, compression_params=settings))
 
     def sizes(self, text: str) -> list[int]:
-        pieces = [letters_only(text[i : i + PIECE]) for i in range(0, len(text), PIECE)]
-        if len(pieces) == 1 and len(pieces[0]) < SHORT:  # else stored as it is, in the same bytes for all languages
-            pieces = [pieces[0] * REPEATS]
+        pieces = [p * REPEATS for p in _pieces(letters_only(text))]
         return [sum(len(e.compress(p)) for p in pieces) for e in self.encoders]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -91,6 +93,16 @@ def letters_only(text: str) -> bytes:
     return _NOT_LETTERS.sub(" ", f" {text.lower()} ").encode("utf-8", "replace")
 
 
+def _pieces(letters: bytes) -> Iterator[bytes]:
+    start = 0
+    while start < len(letters):
+        stop = start + PIECE
+        if stop < len(letters):
+            stop = letters.rfind(b" ", start + 1, stop) + 1 or stop  # a word longer than a piece is cut
+        yield letters[start:stop]
+        start = stop
+
+
 _JUDGES: dict[tuple, Judge] = {}
 
 
@@ -115,10 +127,11 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str
     three replace the old ones.
     """
     small_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # of bounded size
+
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        predict = _judge(dictionaries).predict
+        predict = _judge(held.value).predict
         return pd.DataFrame([predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    out = docs.select("*", judge(F.col(text)).alias("_judged"))
-    return out.withColumns({n: F.col(f"_judged.{n}") for n in ("lang_pred", "score", "rejected")}).drop("_judged")
+    return with_fields(docs, judge(F.col(text)), ["lang_pred", "score", "rejected"])

@@ -1,4 +1,9 @@
+import re
+import unicodedata
+
 import pytest
+import zstandard
+from basketry.llm import langid
 from basketry.llm.langid import Judge, learn_dictionaries, predict_language
 from basketry.llm.shared import in_fold
 from pyspark.sql import functions as F
@@ -17,6 +22,35 @@ def test_held_out_accuracy(learned):
     assert sum(r.rejected for r in held) <= 0.02 * len(held)
 
 
+def brute(text, dictionaries):
+    """The language by a plain loop: letters told by their Unicode category, a new encoder for each language and text."""
+    if not any(unicodedata.category(c).startswith("L") for c in text or ""):
+        return "und"
+    kept = "".join(c if re.match(r"\w", c) and not re.match(r"\d|_", c) else " " for c in text.lower())
+    body = f" {' '.join(kept.split())} ".encode("utf-8", "replace")
+    sizes = {}
+    for name in sorted(dictionaries):
+        content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        settings = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, write_content_size=0, write_dict_id=0)
+        content.precompute_compress(compression_params=settings)
+        size, rest = 0, body
+        while rest:
+            cut = len(rest) if len(rest) <= langid.PIECE else rest[: langid.PIECE].rfind(b" ") + 1 or langid.PIECE
+            size += len(zstandard.ZstdCompressor(dict_data=content, compression_params=settings).compress(rest[:cut] * 8))
+            rest = rest[cut:]
+        sizes[name] = size
+    return min(sizes, key=lambda name: (sizes[name], name))
+
+
+def test_predictions_match_a_plain_loop(spark, learned):
+    _, dictionaries = learned
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(80)
+    long = " ".join(r.text for r in docs.collect()) * 2
+    odd = [(t,) for t in (None, "", "1 2", "é", "Straße", "x" * 70_000 + " und the", long, f"{long[:255]}", f"{long[:257]}", "a_b 3c")]
+    got = predict_language(docs.unionByName(spark.createDataFrame(odd, docs.schema)), dictionaries).collect()
+    assert len(got) == 90 and all(r.lang_pred == brute(r.text, dictionaries) for r in got)
+
+
 def test_odd_rows(spark, learned):
     _, dictionaries = learned
     rows = [(1, None, "a"), (2, "", "a"), (3, "12 !!", "a"), (4, "word " * 200_000, "a"), (5, "Und", None), (5, "Und", None)]
