@@ -9,6 +9,7 @@ far, a few numbers, and adds up the next ones.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fm import _STRUCTURE, WORDS, features
-from .shared import settle, small_batches
+from .shared import settle, small_batches, with_fields
 
 #: Labelled rows that the classifier is fitted on, at most: those first by a hash of the id.
 SAMPLE_ROWS = 6000
@@ -111,19 +112,22 @@ def with_posteriors(docs: DataFrame, model: Domains, text: str = "text") -> Data
             out += held.value.posteriors([features(t) for t in texts[i : i + 200]]).tolist()
         return pd.DataFrame({"tokens": tokens, "posterior": out})
 
-    rows = docs.select("*", of(F.col(text)).alias("_of"))
-    return rows.withColumns({"tokens": F.col("_of.tokens"), "posterior": F.col("_of.posterior")}).drop("_of")
+    return with_fields(docs, of(F.col(text)), ["tokens", "posterior"])
 
 
 @dataclass
 class Rates:
-    """What a rate is worked out of: the targets, the step and the residuals of all steps (in shares of all tokens)."""
+    """What a rate is worked out of: the targets, the step and the residuals of all steps (in shares of all tokens).
+
+    ``missed``: by how much each domain is above its target at the rates given, in the same shares.
+    """
 
     names: list[str]
     targets: np.ndarray
     step: float
     pull: float
     residuals: list[np.ndarray] = field(default_factory=list)
+    missed: np.ndarray | None = None
 
     def of(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rates of rows of posteriors, from one by the projected steps in turn, and where momentum takes them next."""
@@ -138,7 +142,9 @@ def fit_rates(members: DataFrame, targets: dict[str, float], pull: float = PULL,
     """members: tokens, posterior over the sorted names of ``targets`` -> rates that bring each domain to its share.
 
     A target is a share of all the tokens there are; shares are positive and need not add up to one. A step is one pass
-    over members with one row of sums; the result does not hang on partitions but for the last digits.
+    over members with one row of sums; the result does not hang on partitions but for the last digits. Where a target is still
+    missed by more than ``near`` after all steps, a warning says by how much; ``missed`` of the result has it in any case.
+    Null tokens count as none; without any token all rates are one.
     """
     names = sorted(targets)
     if not names or min(targets.values()) <= 0:
@@ -153,9 +159,9 @@ def fit_rates(members: DataFrame, targets: dict[str, float], pull: float = PULL,
     found = Rates(names, wanted, 1.0 / (pull + float((shares[1:] / total / wanted).max())), pull)
     size = len(names)
     now = np.concatenate([shares[1:], shares[1:]])
-    for _ in range(steps):
-        missed, residual = np.round(now / total - np.concatenate([wanted, wanted]), 12).reshape(2, size)
-        if np.abs(missed).max() <= near:
+    while True:
+        found.missed, residual = np.round(now / total - np.concatenate([wanted, wanted]), 12).reshape(2, size)
+        if np.abs(found.missed).max() <= near or len(found.residuals) == steps:
             break
         found.residuals.append(residual)
         current = Rates(names, wanted, found.step, pull, list(found.residuals))
@@ -169,13 +175,16 @@ def fit_rates(members: DataFrame, targets: dict[str, float], pull: float = PULL,
 
         each = members.select("tokens", "posterior").mapInPandas(add, ", ".join(f"d{d} double" for d in range(2 * size)))
         now = sums(each.agg(*(F.sum(f"d{d}") for d in range(2 * size))))
+    if np.abs(found.missed).max() > near:
+        warnings.warn(f"targets missed after {steps} steps: " + ", ".join(f"{n} by {m:+.4f}" for n, m in zip(names, found.missed)), stacklevel=2)
     return found
 
 
 def with_rates(members: DataFrame, rates: Rates, doc_id: str = "doc_id", text: str | None = "text") -> DataFrame:
     """members with rate and copies: rate rounded up or down by a hash of the row, so that copies meet it on average.
 
-    The hash is of the id, and of the text if one is named (rows without an id differ by it).
+    The hash is of the id, and of the text if one is named (rows without an id differ by it). A null posterior is an error, as no
+    row of ``with_posteriors`` has one; columns rate and copies are replaced.
     """
 
     @F.pandas_udf("double")
@@ -192,7 +201,11 @@ def _copies(keyed: list[str]) -> Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with tokens, posterior, rate and copies; every row is given, those of no copies too."""
+    """docs with tokens, posterior, rate and copies; every row is given, those of no copies too.
+
+    Null and empty texts have no tokens and the posterior of an empty text; repeated rows have the same copies each. Ids are whole
+    numbers; rows without one teach nothing. Of clashing names, these four replace the old ones.
+    """
     targets = targets or TARGETS
     model = learn_domains(docs, labels, list(targets), text, doc_id)
     rates = fit_rates(settle(with_posteriors(docs.select(text), model, text).select("tokens", "posterior")), targets)
@@ -204,6 +217,4 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
         posterior = np.concatenate(each) if each else np.zeros((0, len(rates.names)))
         return pd.DataFrame({"tokens": [len((t or "").split()) for t in texts], "posterior": posterior.tolist(), "rate": rates.of(posterior)[0]})
 
-    rows = docs.select("*", of(F.col(text)).alias("_of"))
-    rows = rows.withColumns({n: F.col(f"_of.{n}") for n in ("tokens", "posterior", "rate")}).drop("_of")
-    return rows.withColumn("copies", _copies([doc_id, text]))
+    return with_fields(docs, of(F.col(text)), ["tokens", "posterior", "rate"]).withColumn("copies", _copies([doc_id, text]))

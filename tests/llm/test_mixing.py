@@ -57,3 +57,17 @@ def test_odd_rows(spark):
     assert mixing.mix(docs.limit(0), labels.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.fit_rates(docs, {"a": 0})
+
+
+def test_missed_targets_are_said(spark):
+    members = spark.createDataFrame([(i, 10, [1.0, 0.0]) for i in range(20)], "doc_id long, tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="targets missed after 5 steps: a by .*, b by -0.5"):
+        rates = mixing.fit_rates(members, {"a": 0.5, "b": 0.5}, steps=5)
+    assert rates.missed[1] == -0.5
+    assert mixing.fit_rates(members, {"a": 1.0, "b": 0.0005}).missed.tolist() == pytest.approx([0, -0.0005])
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", "z")], "doc_id long, text string, _of string, row string, made string")
+    got = mixing.mix(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).first()
+    assert (got._of, got.row, got.made, got.tokens) == ("x", "y", "z", 2)
