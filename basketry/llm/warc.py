@@ -20,13 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import marked
 from .shared import gone_at_exit, settle, shared_dir, small_batches
 
 #: Compressed bytes after which a writer begins another file.
 FILE_BYTES = 64 << 20
 _CHUNK = 1 << 18
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
-_LONGEST_HEAD = 1 << 20
+#: Bytes at the start of a damaged file in which the first mark of either kind is looked for.
+_FIRST_MARK = 1 << 20
 
 RECORD_SCHEMA = (
     "path string, offset long, length long, record_id string, record_type string, target_uri string, payload binary, "
@@ -149,7 +151,7 @@ def _parsed(data: bytes, whole: bool) -> tuple[dict, int]:
     """(record, its length) from bytes that begin with one; _Bad says what check failed. whole: nothing may follow."""
     if not data.startswith(_VERSION):
         raise _Bad("no version line")
-    stop = data.find(b"\r\n\r\n", 0, _LONGEST_HEAD)
+    stop = data.find(b"\r\n\r\n")
     if stop < 0:
         raise _Bad("no end of headers")
     head: dict[str, str] = {}
@@ -206,13 +208,23 @@ def _member(window: _Window, start: int) -> tuple[dict, int]:
 
 
 def _plain(window: _Window, start: int) -> tuple[dict, int]:
-    """The record at ``start`` of a file without compression, and its length."""
-    size = _CHUNK
+    """The record at ``start`` of a file without compression, and its length.
+
+    Headers may be of any length, but what is read of them must be lines with a colon: damage does not make it read on for long.
+    """
+    size, checked = _CHUNK, 0
     while True:
         data = window.at(start, size)
         stop = data.find(b"\r\n\r\n")
+        if stop < 0 and len(data) == size:
+            whole = data.rfind(b"\r\n")
+            lines = data[checked:whole].split(b"\r\n") if whole > checked else []
+            if any(b":" not in line for line in lines[not checked :]):
+                raise _Bad("a header without a colon")
+            size, checked = size * 2, max(checked, whole + 2 if whole > 0 else 0)
+            continue
         length = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]{1,15})", data[: stop + 2]) if stop >= 0 else None
-        need = stop + 8 + int(length[1]) if length else (size * 2 if stop < 0 and size < _LONGEST_HEAD else 0)
+        need = stop + 8 + int(length[1]) if length else 0
         if need <= len(data) or len(data) < size:
             return _parsed(data, False)
         size = need
@@ -228,7 +240,7 @@ def salvage(file: BinaryIO) -> Iterator[dict]:
     at, gap, why = 0, -1, ""
     packed = window.at(0, 3) == _MAGIC
     if not packed and not window.at(0, 7).startswith(_VERSION):  # damaged from the start: whichever mark comes first
-        window.upto(_LONGEST_HEAD)
+        window.upto(_FIRST_MARK)
         marks = [(p, m) for m in (_MAGIC, _VERSION) if (p := window.data.find(m)) >= 0]
         packed = min(marks)[1] == _MAGIC if marks else False
     mark, read = (_MAGIC, _member) if packed else (_VERSION, _plain)
@@ -260,10 +272,14 @@ def _gap(start: int, stop: int, why: str) -> dict:
 def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
     """(path) -> RECORD_SCHEMA: a row for each record, and for each quarantined gap one whose ``problem`` says why.
 
-    Without ``payloads`` their bytes are checked but not returned. A path read by no pyarrow file system raises.
+    Without ``payloads`` their bytes are checked but not returned. A path read by no pyarrow file system raises. Paths are dealt
+    evenly over as many tasks as there are; null paths are left out.
     """
     names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
 
+    def frame(rows: list[dict]) -> pd.DataFrame:  # of objects: gaps lack most columns
+        return pd.DataFrame([[row.get(n) for n in names] for row in rows], columns=names, dtype=object)
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
@@ -274,12 +290,13 @@ def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
                         size += len(row.get("payload") or b"")
                         rows.append(row | {"path": path} | ({} if payloads else {"payload": None}))
                         if len(rows) >= 2000 or size >= 8 << 20:
-                            yield pd.DataFrame(rows).reindex(columns=names).astype({"payload_bytes": "Int64"})
+                            yield frame(rows)
                             rows, size = [], 0
                 if rows:
-                    yield pd.DataFrame(rows).reindex(columns=names).astype({"payload_bytes": "Int64"})
+                    yield frame(rows)
 
-    return paths.select("path").where("path is not null").repartition("path").mapInPandas(read, RECORD_SCHEMA)
+    named = paths.select("path").where("path is not null")
+    return named.repartition(max(1, named.count())).mapInPandas(read, RECORD_SCHEMA)
 
 
 def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -289,11 +306,14 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     rows whose equals all lack an id. A row without an id revisits one with.
     """
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(html, F.lit("")), "UTF-8").alias("payload"))
-    own = own.withColumn("_digest", F.sha1("payload"))
-    first = own.groupBy("_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null")
-    other = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("page_id"))
-    out = own.join(first.drop("_n"), "_digest", "left")
-    return out.select("page_id", "url", "payload", other.alias("revisit"), F.when(other, F.col("_first")).alias("refers_to"))
+    own = own.withColumn("digest", F.sha1("payload"))
+    first = own.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    # payloads that nothing repeats stay where they are
+    asked = marked(own, first, "digest")
+    clear = asked.where("not maybe").select("page_id", "url", "payload", F.lit(False).alias("revisit"), F.lit(None).cast(own.schema["page_id"].dataType).alias("refers_to"))
+    other = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    rest = asked.where("maybe").join(first.hint("merge"), "digest", "left")
+    return clear.unionByName(rest.select("page_id", "url", "payload", other.alias("revisit"), F.when(other, F.col("first")).alias("refers_to")))
 
 
 def page_of(record_id: Column | str) -> Column:
@@ -302,8 +322,18 @@ def page_of(record_id: Column | str) -> Column:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Archives pages in ``folder`` (else a new one in the shared folder) and reads the archives back: read_archives' rows without payloads."""
+    """Archives pages in ``folder`` (else a new one in the shared folder) and reads the archives back: read_archives' rows without payloads.
+
+    Raises if any file gives back another number of records than were written to it. Null htmls are empty payloads; repeated rows
+    are records of their own; an empty table gives no record.
+    """
     if folder is None:
         folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
         gone_at_exit(spark, folder)
-    return read_archives(write_archives(with_revisits(pages), folder), payloads=False)
+    written = write_archives(with_revisits(pages), folder)
+    found = settle(read_archives(written, payloads=False))
+    whole = found.where("problem is null").groupBy("path").agg(F.count("*").alias("found"))
+    lost = written.join(whole, "path", "left").where("not (records <=> found)").take(1)
+    if lost:
+        raise RuntimeError(f"{lost[0]['path']}: {lost[0]['records']} records written, {lost[0]['found']} read")
+    return found

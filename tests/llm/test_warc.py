@@ -3,6 +3,8 @@ import hashlib
 import io
 import random
 
+import pytest
+from basketry.llm import warc
 from basketry.llm.warc import page_of, read_archives, record, round_trip, salvage, sha1_base32, with_revisits, write_archives
 
 
@@ -68,3 +70,41 @@ def test_payload_bytes_come_back(spark, tmp_path):
     rows = read_archives(write_archives(with_revisits(pages), str(tmp_path / "p"))).collect()
     assert {bytes(r.payload) for r in rows} == {b"a\r\n\r\nb", b""}
     assert sha1_base32(b"") == __import__("base64").b32encode(hashlib.sha1().digest()).decode()
+
+
+def test_headers_of_any_length_come_back(spark, tmp_path):
+    url = "http://x/" + "a" * (2 << 20)
+    data = [record(1, url, b"one", sha1_base32(b"one")), record(2, "http://y", b"two", sha1_base32(b"two"))]
+    for pack in (gzip.compress, bytes):
+        assert [len(r["target_uri"]) for r in salvage(io.BytesIO(b"".join(map(pack, data))))] == [len(url), 8]
+    got = round_trip(spark, spark.createDataFrame([(1, url, "one"), (2, None, "two")], "page_id long, url string, html string"), str(tmp_path / "h"))
+    assert sorted(len(r.target_uri) for r in got.collect()) == [0, len(url)]
+    # a version line in a long text without line ends is given up at its first line that is no header
+    noise = b"WARC/1.1\r\n" + b"no header here\r\n" * 100_000 + data[1]
+    rows = list(salvage(io.BytesIO(noise)))
+    assert [bool(r["problem"]) for r in rows] == [True, False] and rows[0]["length"] == len(noise) - len(data[1])
+
+
+def test_files_are_read_by_a_task_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", hashlib.sha1(str(i).encode()).hexdigest() * 20) for i in range(60)], "page_id long, url string, html string")
+    files = write_archives(with_revisits(pages.coalesce(1)), str(tmp_path / "t"))
+    rows = read_archives(files)
+    assert files.count() > 8 and rows.rdd.getNumPartitions() == files.count() and rows.count() == 60
+
+
+def test_a_lost_record_is_an_error(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", f"body {i}") for i in range(9)], "page_id long, url string, html string")
+    whole = warc.write_archives
+
+    def damaged(pages, folder):
+        out = whole(pages, folder)
+        path = out.first().path
+        data = bytearray(open(path, "rb").read())
+        data[30] ^= 0x55
+        open(path, "wb").write(data)
+        return out
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    with pytest.raises(RuntimeError, match="records written"):
+        round_trip(spark, pages, str(tmp_path / "l"))
