@@ -18,38 +18,38 @@ SMOOTHING = 0.5
 #: A document is kept from this mean log ratio on.
 THRESHOLD = -0.04
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def words_of(text: Column | str) -> Column:
     """Words between runs of space and the control characters 9 to 13; none in a null text."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _SPACE), lambda w: w != "")
-
+    text = F.btrim(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, _SPACE))
 
-def _ngrams(words: Column, n: int) -> Column:
-    """Hash buckets of the n-grams of one length, repeats included; another range of seeds for each length."""
 
-    def bucket(i: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(n), *(F.get(words, i + k) for k in range(n))), F.lit(BUCKETS)).cast("int")
+def _bucket(*words: Column) -> Column:
+    """Hash bucket of an n-gram; another range of seeds for each length."""
+    return F.pmod(F.xxhash64(F.lit(len(words)), *words), F.lit(BUCKETS)).cast("int")
 
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), bucket)).otherwise(F.array().cast("array<int>"))
 
-
-def _buckets(words: Column) -> Column:
-    return F.concat(*(_ngrams(words, n) for n in SIZES))
+def _from(words: Column, k: int, n: int) -> Column:
+    """The words that begin as the k-th of windows of n words, in order."""
+    return F.slice(words, k, F.greatest(F.size(words) - (n - 1), F.lit(0)))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> list[float]:
     """ln of trusted over raw probability of each bucket.
 
-    ``trusted`` has the ids of trusted documents. Both multinomials are counted over all documents they stand for. Only the bucket totals, of fixed number, come to the driver.
+    ``trusted`` has the ids of trusted documents; null ids trust nothing, and null texts have no words. Both multinomials are counted over all documents they stand for. Only the bucket totals, of fixed number, come to the driver.
     """
-    ids = trusted.select(F.col(doc_id).alias("_id"), F.lit(1).alias("_trusted")).where("_id is not null").distinct()
-    marked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(ids, "_id", "left")
-    marked = marked.select("_trusted", words_of("_text").alias("_words"))
-    grams = marked.select("_trusted", F.explode(_buckets(F.col("_words"))).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("trusted")).collect()
+    ids = trusted.select(F.col(doc_id).alias("id"), F.lit(1).alias("trusted")).where("id is not null").distinct()
+    marked = docs.select(F.col(doc_id).alias("id"), words_of(text).alias("words")).join(ids, "id", "left").select("trusted", "words")
+    pairs = F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.size("words")).alias("b"))
+    each = marked.where(F.size("words") > 0).select("trusted", F.inline(pairs).alias("a", "b"))
+    grams = each.select("trusted", F.explode(F.array(_bucket(F.col("a")), F.when(F.col("b").isNotNull(), _bucket(F.col("a"), F.col("b"))))).alias("bucket")).where("bucket is not null")
+    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("trusted")).collect()
     raw, target = [SMOOTHING] * BUCKETS, [SMOOTHING] * BUCKETS
     for row in counts:
         raw[row["bucket"]] += row["raw"]
@@ -71,7 +71,7 @@ def _computed(frame: DataFrame, names: list[str]) -> DataFrame:
 def _repeated(frame: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words in windows of three that the text holds twice or more."""
     n = F.size("_words")
-    window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(*(F.get("_words", i + k) for k in range(3))))
+    window = F.transform(F.arrays_zip(*(_from(F.col("_words"), k, 3).alias(f"w{k}") for k in (1, 2, 3))), lambda w: F.xxhash64(w))
     frame = frame.withColumn("_windows", F.when(n >= 4, window))
     some = F.size(F.array_distinct("_windows")) < F.size("_windows")
     placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -88,14 +88,11 @@ def _repeated(frame: DataFrame) -> DataFrame:
     return frame.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long")))
 
 
-def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, and the array _words.
-
-    A null text counts as an empty one: no words, so it fails. Windows are compared by 64-bit hash.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
+def _ruled(docs: DataFrame, text: str) -> DataFrame:
+    """(_row, _words, BASE...): internal columns only, so no column of docs clashes with them."""
+    body = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = docs.withColumns({"_words": words_of(text), "_lines": lines})
+    out = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")).withColumns({"_words": words_of("_text"), "_lines": lines})
     out = out.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
@@ -104,19 +101,36 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
     )
-    out = _repeated(out).drop("_lines", "_windows", "_placed", "_starts")
+    out = _repeated(out).drop("_text", "_lines", "_windows", "_placed", "_starts")
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return _computed(out, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
+    return _computed(out, list(BASE))
+
+
+def _back(docs: DataFrame, ruled: DataFrame, names: list[str]) -> DataFrame:
+    return ruled.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c not in names), *names)
+
+
+def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed.
+
+    A null text counts as an empty one: no words, so it fails. Windows are compared by 64-bit hash. Every row is given, repeats
+    too; columns of the six names are replaced.
+    """
+    return _back(docs, _ruled(docs, text), list(BASE))
 
 
 def judge(docs: DataFrame, ratios: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with the columns of ``base_rules``, llr (mean log ratio of the n-grams; null without words) and kept.
 
-    Every row is judged, repeats too; other columns stay as they are.
+    Every row is judged, repeats too; a null or empty text is not kept. Columns of the eight names are replaced, others stay as
+    they are.
     """
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
-    out = base_rules(docs, text)
-    total = F.aggregate(_buckets(F.col("_words")), F.lit(0.0), lambda a, b: a + F.get(table, b))
+    out, words = _ruled(docs, text), F.col("_words")
+    add = lambda total, bucket: total + F.get(table, bucket)
+    single = F.aggregate(words, F.lit(0.0), lambda total, w: add(total, _bucket(w)))
+    total = F.aggregate(F.zip_with(_from(words, 1, 2), _from(words, 2, 2), lambda a, b: _bucket(a, b)), single, add)
     grams = sum((F.greatest(F.lit(0), F.size("_words") - (n - 1)) for n in SIZES), F.lit(0))
     out = out.withColumn("llr", F.try_divide(total, grams)).drop("_words")
-    return _computed(out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))), ["llr", "kept"])
+    out = _computed(out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))), ["llr", "kept"])
+    return _back(docs, out, [*BASE, "llr", "kept"])

@@ -71,3 +71,9 @@ def test_all_trusted_documents_are_counted(spark):
     last = ids.orderBy(F.xxhash64("doc_id").desc()).first().doc_id
     docs = ids.withColumn("text", F.when(F.col("doc_id") == last, "rare").otherwise("common"))
     assert set(rules.log_ratios(docs, ids)) == {0.0}
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", "w", "l", "s", "r")], "doc_id long, text string, _words string, _lines string, _starts string, n_words string")
+    got = rules.judge(docs, [0.0] * rules.BUCKETS).first()
+    assert (got._words, got._lines, got._starts, got.n_words, got.text) == ("w", "l", "s", 2, "a b")
