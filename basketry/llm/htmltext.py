@@ -1,11 +1,10 @@
 """Main text of pages by nearest-URL differencing, with the page's own landmarks.
 
-A page is read into text blocks, each with the region that its elements give it: of the article, of furniture (menus,
-headers, footers, sidebars, notices, adverts, forms, comments), or of neither. Pages of a host are put in the order
-of their paths, each is paired with the one of its neighbours whose path is nearest, and the lines that both
-have, by longest common subsequence, are deleted as template. A neighbour with the very same texts shows no template: the
-nearest is the nearest whose texts differ. Lines that an article element holds are the page's own whatever a copy elsewhere
-says, so there differencing deletes nothing.
+A page is read into text blocks. Pages of a host are put in the order of their paths, each is paired with the one of its
+neighbours whose path is nearest, and the lines that both have, by longest common subsequence, are deleted as template. A
+neighbour with the very same texts shows no template: the nearest is the nearest whose texts differ. What differencing cannot
+tell, the page's landmarks do: furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) goes though its
+words be the page's own, an article's line stays though a copy stands elsewhere, and a page without a neighbour gives its article.
 """
 
 from __future__ import annotations
@@ -29,7 +28,8 @@ RANGE_PAGES = 1 << 15
 
 OWN, FURNITURE, OTHER = 0, 1, 2
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+# a quote opens a value only after an equals sign; elsewhere it is a character like others, and the tag ends at the next >
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*)|[^>])*+)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 #: Elements whose content is not text, and those whose content is furniture.
@@ -53,6 +53,7 @@ _OWN_WORDS = {"article", "articlebody", "entry-content", "main", "main-content",
 
 
 def _region(tag: str, attributes: str, inside: int) -> int:
+    """The region of an element within a region; within an article only whole names mark furniture (share, not share-price)."""
     if inside == FURNITURE or tag in _FURNITURE:
         return FURNITURE if not (tag == "header" and inside == OWN) else OWN
     if tag in _OWN:
@@ -60,7 +61,7 @@ def _region(tag: str, attributes: str, inside: int) -> int:
     if "=" in attributes and tag not in ("body", "html"):
         for found in _NAMES.finditer(attributes):
             for name in (found[1] or found[2] or found[3] or "").lower().split():
-                if name in _FURNITURE_WORDS or set(re.split("[-_]", name)) & _FURNITURE_WORDS:
+                if name in _FURNITURE_WORDS or inside != OWN and set(re.split("[-_]", name)) & _FURNITURE_WORDS:
                     return FURNITURE
                 if name in _OWN_WORDS:
                     return OWN
@@ -168,15 +169,13 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 def main_text(own: list[tuple[str, int]], near: list[tuple[str, int]] | None) -> str:
     """The article of a page, given its blocks and those of its nearest page, blocks joined by two line ends.
 
-    Shared lines outside an article element go. A page that the nearest repeats in full shows no template, and keeps
-    its lines. Furniture goes; if the page has an article, so does all outside it.
+    Furniture goes, an article's lines stay, and of the other lines those shared with the nearest page go. A page that
+    the nearest repeats in full shows no template; there, and without a nearest page, the others stay only if there is no article.
     """
     shared = common_lines([t for t, _ in own], [t for t, _ in near]) if near else set()
-    if len(shared) == len(own):
-        shared = set()
-    has_article = any(region == OWN for _, region in own)
-    wanted = OWN if has_article else OTHER
-    return "\n\n".join(t for i, (t, region) in enumerate(own) if region == wanted and (region == OWN or i not in shared))
+    told = near is not None and len(shared) < len(own)
+    others = told or all(region != OWN for _, region in own)
+    return "\n\n".join(t for i, (t, region) in enumerate(own) if region == OWN or region == OTHER and others and not (told and i in shared))
 
 
 def _nearest(path: str, before: str | None, after: str | None) -> int:

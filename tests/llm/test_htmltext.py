@@ -96,3 +96,30 @@ def test_large_hosts_are_paired_like_small_ones(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert got == want
+
+
+def test_quotes_and_partial_names_lose_no_text():
+    text = lambda page: main_text(blocks(page), None)
+    assert text("<article><p don't>text one</p><p>more text</p></article>") == "text one\n\nmore text"
+    assert text("<article><p class='share-price'>up 3</p><p class=\"share\">no</p><p>end</p></article>") == "up 3\n\nend"
+    assert text("<p title='a > b' alt=x\"y>one</p><p title = \"it's\">two<p a='>three") == "one\n\ntwo"
+    assert text("<p " + "a='" * 50_000) == "" and text("<p>" + "<p =" * 50_000) == ""
+
+
+def test_articles_come_out_of_pages_without_landmarks(spark):
+    """The given pages' articles in a template that no element or class names: differencing alone takes the template away."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    inner = {r.page_id: r.html.split("<article>")[1].split("</article>")[0].split("<footer>")[0] for r in pages}
+    shell = "<div>Site name</div><div><b>Home</b> Shop</div><div>{}</div><div>Read also</div><div>All rights kept</div>"
+    bare = spark.createDataFrame([(r.page_id, f"http://one.host/{r.page_id:05}", shell.format(inner[r.page_id])) for r in pages], "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in extract(spark.createDataFrame([(i, f"http://{i}/", f"<article>{x}</article>") for i, x in inner.items()], bare.schema)).collect()}
+    got = {r.page_id: r.text for r in extract(bare).collect()}
+    alone = {r.page_id: main_text(blocks(r.html), None) for r in bare.collect()}
+    assert sum(got[i] == whole[i] for i in inner) >= 0.95 * len(inner) and all(alone[i] != got[i] for i in inner)
+
+
+def test_differencing_decides_beside_an_article(spark):
+    page = "<div>Site name</div><div>By {}</div><main><p>story {}</p><p>shared words</p></main><div>All rights kept</div>"
+    rows = [(i, f"http://h/{i}", page.format(f"writer {i}", i)) for i in range(3)] + [(9, "http://solo/", page.format("no one", 9))]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"By writer {i}\n\nstory {i}\n\nshared words" for i in range(3)}, 9: "story 9\n\nshared words"}
