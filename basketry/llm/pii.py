@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, with_fields
 
 #: Kinds in the order in which equal starts are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "login", "secret", "account", "ssn")
@@ -182,7 +182,11 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pii_digest(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_<base kind> counts, base_sha256 over the base spans, and spans, all listed as kind:start:end."""
+    """docs with n_<base kind> counts, base_sha256 over the base spans, and spans, all listed as kind:start:end.
+
+    Null and empty texts have no spans: counts of zero, the digest of an empty list and an empty list. All rows and other
+    columns stay; columns of the six names are replaced.
+    """
     small_batches(docs.sparkSession)
     fields = [f"n_{k}" for k in BASE] + ["base_sha256", "spans"]
 
@@ -195,8 +199,7 @@ def pii_digest(docs: DataFrame, text: str = "text") -> DataFrame:
             rows.append((*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(listed(base).encode()).hexdigest(), listed(found)))
         return pd.DataFrame(rows, columns=fields)
 
-    out = docs.select("*", digest(F.col(text)).alias("_pii"))
-    return out.withColumns({f: F.col(f"_pii.{f}") for f in fields}).drop("_pii")
+    return with_fields(docs, digest(F.col(text)), fields)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from basketry.llm import pii
 from basketry.llm.pii import find, pii_digest, redact, redacted
 
 PATTERNS = {
@@ -85,3 +86,9 @@ def test_long_secrets_logins_and_accounts_go_whole():
     assert [s for s in find("token=ab_token=" + "x1" * 300 + " " + "y" * 20) if s[0] == "secret"] == [("secret", 6, 615), ("secret", 15, 615)]
     for text in ("://" + "a" * 400_000, "://a:" + "b" * 400_000, "://" * 130_000, "token " + "a1" * 200_000, "token=" * 70_000, "account " + "1 " * 200_000 + "x"):
         find(text)
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a@b.co", "p", "r", 7)], "doc_id long, text string, _pii string, row string, n_email int")
+    got = pii.pii_digest(docs).first()
+    assert (got._pii, got.row, got.n_email) == ("p", "r", 1)
