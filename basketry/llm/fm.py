@@ -22,7 +22,7 @@ from .shared import small_batches
 
 #: Hashed word features; the structure and metadata features come after them.
 WORDS = 1 << 15
-#: Labelled rows that the machine is fitted on, at most: those first by a hash of the text.
+#: Labelled rows that the machine is fitted on, at most: those first by a hash of the id.
 SAMPLE_ROWS = 6000
 #: Factors of each feature, passes over the sample, rows of a step, learning rate and weight decay.
 FACTORS, PASSES, STEP_ROWS, RATE, DECAY = 4, 12, 64, 0.05, 1e-4
