@@ -18,6 +18,8 @@ ORACLE_SQL: dict[str, str] = {}
 #: Weeks in which promotions were observed.
 WEEKS = (9, 300)
 SPLIT = "1999-01-01"
+#: For models: late enough that some households are not seen again.
+MODEL_SPLIT = "2001-07-01"
 
 # ---------------------------------------------------------------- SQL of the shared frames
 _DELIVERIES = """
@@ -627,8 +629,13 @@ feat AS (SELECT o.household_key, frequency_baskets, monetary_amt, std_basket_amt
 """
 
 
-def lapse(spark: SparkSession, root: str) -> DataFrame:
-    return features.lapse_features(gated(spark, root)[0], SPLIT)
+def lapse(spark: SparkSession, root: str, split_day: str = SPLIT) -> DataFrame:
+    return features.lapse_features(gated(spark, root)[0], split_day)
+
+
+def drawn(spark: SparkSession, root: str) -> DataFrame:
+    """Features at the models' split, with is_train."""
+    return features.stratified_split(lapse(spark, root, MODEL_SPLIT), "household_key", "lapsed")
 
 
 @query("gate", _FEATURES + "SELECT *, recency_days / nullif(avg_days_between, 0) AS recency_over_cadence FROM feat")
@@ -654,13 +661,13 @@ def lapse_sweep(spark, root):
     return features.lapse_sweep(gated(spark, root)[0], ["1998-01-01", "1999-01-01", "2000-01-01"]).withColumn("split_day", F.col("split_day").cast("string"))
 
 
-_SPLIT = f"""{_FEATURES}, drawn AS (SELECT *, row_number() OVER (PARTITION BY lapsed ORDER BY {md5_number("household_key", 7)}, household_key) <= ceil(0.75 * count(*) OVER (PARTITION BY lapsed)) AS is_train FROM feat)
+_SPLIT = f"""{_FEATURES.replace(SPLIT, MODEL_SPLIT)}, drawn AS (SELECT *, row_number() OVER (PARTITION BY lapsed ORDER BY {md5_number("household_key", 7)}, household_key) <= ceil(0.75 * count(*) OVER (PARTITION BY lapsed)) AS is_train FROM feat)
 """
 
 
 @query("gate", _SPLIT + "SELECT lapsed, is_train, count(*) AS households, sum(household_key)::BIGINT AS keys FROM drawn GROUP BY lapsed, is_train")
 def split(spark, root):
-    return features.stratified_split(lapse(spark, root), "household_key", "lapsed").groupBy("lapsed", "is_train").agg(F.count("*").alias("households"), F.sum("household_key").alias("keys"))
+    return drawn(spark, root).groupBy("lapsed", "is_train").agg(F.count("*").alias("households"), F.sum("household_key").alias("keys"))
 
 
 @query("fact", ", s AS (SELECT household_key, department, CAST(sum(CAST(sales_amt AS DECIMAL(18,2))) AS DOUBLE) AS s FROM fact GROUP BY ALL), p AS (SELECT household_key, s / sum(s) OVER (PARTITION BY household_key) AS p FROM s) SELECT household_key, round(-sum(p * ln(p)), 4) AS entropy FROM p WHERE p > 0 GROUP BY household_key")
@@ -700,10 +707,13 @@ def gate_by_category(spark, root):
     return profile.score_gate(rows, {"quality": 0.8, "toxic": 0.1}, "lang")
 
 
+MODEL_FEATURES = ["frequency_baskets", "monetary_amt", "recency_days", "tenure_days", "distinct_products", "discount_share", "coupon_share", "recent_vs_typical"]
+
+
 @query()
 def gbt_importance(spark, root):
-    names = ["frequency_baskets", "monetary_amt", "recency_days", "tenure_days", "distinct_products", "discount_share", "coupon_share", "recent_vs_typical"]
-    fitted = model.fit_gbt(features.stratified_split(lapse(spark, root), "household_key", "lapsed").where("is_train"), names, "lapsed")
+    names = MODEL_FEATURES
+    fitted = model.fit_gbt(drawn(spark, root).where("is_train"), names, "lapsed")
     return model.importance(fitted, names)
 
 

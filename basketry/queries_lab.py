@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .operators import audits, profile, rank, rules, sample, skew
 from .plans import features, model
-from .queries import _AP, _DRAWN, _ERRORS, _LATE, _ORDER, _SKEWED, _SPLIT, _event_stream, _run_log, conformed, flags, gated, lapse, md5_number, query, skewed, sum_of
+from .queries import MODEL_FEATURES, _AP, _DRAWN, _ERRORS, _LATE, _ORDER, _SKEWED, _SPLIT, _event_stream, _run_log, conformed, drawn, flags, md5_number, query, skewed, sum_of
 from .sources import ingest, tables
 from .streaming import flows
 
@@ -246,17 +246,16 @@ _HELD = "(SELECT lapsed, recency_days FROM drawn WHERE NOT is_train)"
 @query("gate", _SPLIT + "SELECT * FROM " + _AP.format(l="lapsed", s="recency_days", t=_HELD))
 def recency_baseline(spark, root):
     """Average precision of days since the last basket alone, on the households that no model sees."""
-    held = features.stratified_split(lapse(spark, root), "household_key", "lapsed").where("not is_train")
-    return model.average_precision(held, "lapsed", "recency_days")
+    return model.average_precision(drawn(spark, root).where("not is_train"), "lapsed", "recency_days")
 
 
 @query()
 def model_lift(spark, root):
     """Boosted trees against recency alone, both on the held-out households."""
-    names = ["frequency_baskets", "monetary_amt", "recency_days", "tenure_days", "distinct_products", "discount_share", "coupon_share", "recent_vs_typical"]
-    drawn = rank.staged(features.stratified_split(lapse(spark, root), "household_key", "lapsed"))
-    fitted = model.fit_gbt(drawn.where("is_train"), names, "lapsed")
-    scored = rank.staged(model.scored(fitted, drawn.where("not is_train"), names, "lapsed"))
+    names = MODEL_FEATURES
+    rows = rank.staged(drawn(spark, root))
+    fitted = model.fit_gbt(rows.where("is_train"), names, "lapsed")
+    scored = rank.staged(model.scored(fitted, rows.where("not is_train"), names, "lapsed"))
     return model.lift_gate(model.average_precision(scored, "lapsed", "score"), model.average_precision(scored, "lapsed", "recency_days"), "average_precision")
 
 
