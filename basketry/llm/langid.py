@@ -36,11 +36,12 @@ def learn_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang")
     known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     known = known.where(F.col("text").rlike(r"\p{L}"))
     known = known.withColumns({"_rare": F.when(F.length("text").between(200, 20_000), 0).otherwise(1), "_hash": F.xxhash64("text")})
-    # copies would take the places of other texts; only hashes are shuffled to leave them out, and few of those to a language's one task
+    # copies would take the places of other texts; only hashes are shuffled to leave them out, and few of those reach a language's one task
     order = ("_rare", "_hash")
-    first = known.select("lang", *order).distinct().withColumn("_part", F.pmod("_hash", F.lit(16)))
-    for keys in (("lang", "_part"), ("lang",)):
-        first = first.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= SAMPLE_TEXTS)
+    first = known.select("lang", *order).distinct()
+    for groups in (256, 16, 1):
+        first = first.withColumn("_part", F.pmod("_hash", F.lit(groups)))
+        first = first.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_n") <= SAMPLE_TEXTS)
     # as bounded as the dictionaries: SAMPLE_TEXTS rows of a language
     ranked = known.join(F.broadcast(first.drop("_part")), ["lang", *order]).select("lang", "_n", "text").distinct()
     out: dict[str, bytes] = {}
