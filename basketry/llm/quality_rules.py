@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import BLOCKS, marked
+from .shared import settle
+
 #: Hash buckets of the n-grams; the table of their log ratios is of this size at any input.
 BUCKETS = 1 << 14
 #: N-gram lengths in words.
@@ -39,21 +42,33 @@ def _from(words: Column, k: int, n: int) -> Column:
     return F.slice(words, k, F.greatest(F.size(words) - (n - 1), F.lit(0)))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> list[float]:
+def _counts(docs: DataFrame) -> DataFrame:
+    """(bucket, raw, maybe): n-grams of all texts, and of those whose ``maybe`` is true."""
+    words = docs.select("maybe", words_of("text").alias("words"))
+    pairs = F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.size("words")).alias("b"))
+    each = words.where(F.size("words") > 0).select("maybe", F.inline(pairs).alias("a", "b"))
+    grams = each.select("maybe", F.explode(F.array(_bucket(F.col("a")), F.when(F.col("b").isNotNull(), _bucket(F.col("a"), F.col("b"))))).alias("bucket")).where("bucket is not null")
+    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("maybe").alias("maybe"))
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", blocks: int = BLOCKS) -> list[float]:
     """ln of trusted over raw probability of each bucket.
 
-    ``trusted`` has the ids of trusted documents; null ids trust nothing, and null texts have no words. Both multinomials are counted over all documents they stand for. Only the bucket totals, of fixed number, come to the driver.
+    ``trusted`` has the ids of trusted documents; null ids trust nothing, and null texts have no words. Both multinomials are counted
+    over all documents they stand for, and texts stay where they are: a filter of ``blocks`` tells the trusted, and what it tells
+    wrongly is counted apart. Only the bucket totals, of fixed number, come to the driver.
     """
-    ids = trusted.select(F.col(doc_id).alias("id"), F.lit(1).alias("trusted")).where("id is not null").distinct()
-    marked = docs.select(F.col(doc_id).alias("id"), words_of(text).alias("words")).join(ids, "id", "left").select("trusted", "words")
-    pairs = F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.size("words")).alias("b"))
-    each = marked.where(F.size("words") > 0).select("trusted", F.inline(pairs).alias("a", "b"))
-    grams = each.select("trusted", F.explode(F.array(_bucket(F.col("a")), F.when(F.col("b").isNotNull(), _bucket(F.col("a"), F.col("b"))))).alias("bucket")).where("bucket is not null")
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("trusted")).collect()
+    ids = settle(trusted.select(F.col(doc_id).alias("id")).where("id is not null").distinct())
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    counts = {row["bucket"]: (row["raw"], row["maybe"]) for row in _counts(marked(own, ids, "id", blocks)).collect()}
+    # ids alone are shuffled to find whom the filter let through wrongly; their texts are counted again to be taken off
+    wrong = settle(marked(own.select("id"), ids, "id", blocks).where("maybe").select("id").distinct().join(ids.hint("merge"), "id", "left_anti"))
+    wrongly = marked(own, wrong, "id", blocks).where("maybe").join(wrong.hint("merge"), "id", "left_semi")
+    off = {row["bucket"]: row["maybe"] for row in _counts(wrongly).collect()}
     raw, target = [SMOOTHING] * BUCKETS, [SMOOTHING] * BUCKETS
-    for row in counts:
-        raw[row["bucket"]] += row["raw"]
-        target[row["bucket"]] += row["trusted"]
+    for bucket, (all_of_it, maybe) in counts.items():
+        raw[bucket] += all_of_it
+        target[bucket] += maybe - off.get(bucket, 0)
     # doubles of 5 digits make a short literal; the same for every document
     sums = sum(raw), sum(target)
     from math import log

@@ -77,3 +77,9 @@ def test_clashing_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a b", "w", "l", "s", "r")], "doc_id long, text string, _words string, _lines string, _starts string, n_words string")
     got = rules.judge(docs, [0.0] * rules.BUCKETS).first()
     assert (got._words, got._lines, got._starts, got.n_words, got.text) == ("w", "l", "s", 2, "a b")
+
+
+def test_an_overfull_filter_changes_no_count(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('w', id % 7, ' x', id % 11, ' y', id % 3) as text")
+    trusted = spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id")
+    assert rules.log_ratios(docs, trusted, blocks=1) == rules.log_ratios(docs, trusted)
