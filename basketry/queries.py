@@ -128,9 +128,12 @@ def fact_of(spark: SparkSession, root: str, lines: DataFrame, promo: DataFrame)
     return gold.build_fact(lines, dim_product(spark, root), dim_household(spark, root), promo, *WEEKS)
 
 
-def layers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Valid lines and promotion flags, written once for queries that read them more than once."""
-    return rank.staged(gated(spark, root)[0]), rank.staged(flags(spark, root))
+def layers(spark: SparkSession, root: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The columns named of valid lines, and promotion flags, written once for queries that read them more than once."""
+    return rank.staged(gated(spark, root)[0].select(*columns)), rank.staged(flags(spark, root))
+
+
+_KEYS = ["product_id", "household_key", "store_id", "week_no", "transaction_ts"]
 
 
 def stores(spark: SparkSession, root: str) -> DataFrame:
@@ -284,7 +287,7 @@ def _coverage_sql(name: str, table: str, on: str, key: str) -> str:
     + "\nUNION ALL " + _coverage_sql("household", "SELECT *, 1 AS k FROM dim_household", "v.household_key = d.household_key AND v.transaction_ts >= d.valid_from AND (d.valid_to IS NULL OR v.transaction_ts < d.valid_to)", "household_key")
     + "\nUNION ALL " + _coverage_sql("promotion", "SELECT *, 1 AS k FROM flags", "v.product_id = d.product_id AND v.store_id = d.store_id AND v.week_no = d.week_no", "store_id"))
 def join_coverage(spark, root):
-    lines, promo = layers(spark, root)
+    lines, promo = layers(spark, root, _KEYS)
     probe = lambda d: d.withColumn("_k", F.lit(1))
     product = scd2.as_of_join(lines, probe(dim_product(spark, root)), ["product_id"], "transaction_ts", "left", ["_k"])
     household = scd2.as_of_join(lines, probe(dim_household(spark, root)), ["household_key"], "transaction_ts", "left", ["_k"])
@@ -337,8 +340,9 @@ def promo_performance(spark, root):
 
 
 def _store_daily(spark: SparkSession, root: str) -> DataFrame:
-    lines, promo = layers(spark, root)
-    return gold.store_daily(fact_of(spark, root, lines, promo), gold.dim_store(lines, promo))
+    """From the valid lines: the fact has the same rows, and nothing that it adds to them is asked for here."""
+    lines = rank.staged(gated(spark, root)[0].select(*_KEYS, "basket_id", "sales_amt", "quantity_units"))
+    return gold.store_daily(lines, gold.dim_store(lines, flags(spark, root)))
 
 
 _DAILY = f""", daily AS (SELECT CAST(transaction_ts AS DATE) AS day, store_id, count(*) AS lines, count(DISTINCT basket_id) AS baskets, {sum_of('sales_amt')} AS sales_amt, sum(quantity_units)::BIGINT AS units FROM fact WHERE store_id IS NOT NULL GROUP BY ALL)
@@ -358,7 +362,7 @@ def store_anomalies(spark, root):
 
 @query("fact", "SELECT (SELECT count(*) FROM valid) AS rows_a, (SELECT CAST(sum(CAST(sales_amt AS DECIMAL(18,2))) AS DOUBLE) FROM valid) AS total_a, count(*) AS rows_b, CAST(sum(CAST(sales_amt AS DECIMAL(18,2))) AS DOUBLE) AS total_b, (SELECT count(*) FROM valid) - count(*) AS row_variance, 0.0::DOUBLE AS total_variance, TRUE AS reconciled FROM fact")
 def reconciliation(spark, root):
-    lines, promo = layers(spark, root)
+    lines, promo = layers(spark, root, [*_KEYS, "sales_amt"])
     return audits.reconcile(lines, fact_of(spark, root, lines, promo), "sales_amt")
 
 
