@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fm, htmltext, mixing, quality_rules, urlfilter, warc
+from . import contentsort, decontaminate, fm, htmltext, mixing, quality_rules, urlfilter, warc
 from .langid import learn_dictionaries, predict_language
 from .pii import pii_digest
 from .shared import in_fold, read, settle
@@ -135,6 +135,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text")
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: the id that stays of its equal texts, and how many there are; a null text is the empty one."""
+    out = contentsort.exact_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.drop("text")
+
+
+_OP12_SQL = """
+WITH own AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
+grouped AS (SELECT doc_id, norm, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size FROM own WINDOW w AS (PARTITION BY norm))
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM grouped
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -146,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": _OP4_SQL, "op6_warc": _OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": _OP4_SQL, "op6_warc": _OP6_SQL, "op12_exact_dedup": _OP12_SQL}

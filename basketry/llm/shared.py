@@ -65,6 +65,11 @@ def with_fields(docs: DataFrame, made: Column, names: list[str]) -> DataFrame:
     return own.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in names), *(F.col("made").getField(n).alias(n) for n in names))
 
 
+def ascii_lower(text: Column | str) -> Column:
+    """The text with A to Z in lower case and nothing else changed; null stays null."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def fold(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the decimal text of ``doc_id``, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus
