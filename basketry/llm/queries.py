@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contentsort, decontaminate, fm, htmltext, mixing, quality_rules, urlfilter, warc
+from . import contentsort, decontaminate, fm, htmltext, importance, mixing, quality_rules, urlfilter, warc
 from .langid import learn_dictionaries, predict_language
 from .pii import pii_digest
 from .shared import in_fold, read, settle
@@ -148,6 +148,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of each document, drawn towards the benchmark; null texts weigh 0, a null doc_id is never drawn."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    gains = importance.learn_gains(docs, read(spark, sf_dir, "benchmark"))
+    weighed = importance.with_weights(docs, gains).drop("text")
+    return importance.draw(importance.with_scores(weighed)).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -160,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_url_filter": _OP4_SQL, "op6_warc": _OP6_SQL, "op12_exact_dedup": _OP12_SQL}
