@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contentsort, decontaminate, fm, htmltext, importance, mixing, quality_rules, urlfilter, warc
+from . import contentsort, decontaminate, fm, htmltext, importance, mixing, quality_rules, spelling, urlfilter, warc
 from .langid import learn_dictionaries, predict_language
 from .pii import pii_digest
 from .shared import in_fold, read, settle
@@ -135,6 +135,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each word of seven letters and two occurrences: its form, root and near words; null texts have no words."""
+    return spelling.spelling_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: the id that stays of its equal texts, and how many there are; a null text is the empty one."""
     out = contentsort.exact_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -167,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_importance_resampling": op13_importance_resampling,
 }
