@@ -20,6 +20,8 @@ MIN_LENGTH, MIN_COUNT = 7, 2
 SPOIL = 31
 #: A word's form is at least so many times as frequent.
 RATIO = 10
+#: Letters of a word's end that a key has at least, or it has the other end too.
+FLANK = 5
 #: Code points up to which a pair is judged by Spark's edit distance.
 PLAIN = 64
 #: Letters of a run: A to Z and the second half of Latin-1.
@@ -104,10 +106,22 @@ def tokens(words: DataFrame, order: dict[str, int]) -> DataFrame:
     return words.select("word", "n").mapInArrow(made, "word string, n bigint, last int, at int, pivot boolean")
 
 
-def _keys(rows: DataFrame, word: str, at: str) -> DataFrame:
-    """rows once for each side of a bigram: ``key`` is a hash of the side and the text from that end up to and with the bigram."""
-    front, back = F.substr(word, F.lit(1), F.col(at) + 2), F.substr(word, F.col(at) + 1)
-    return rows.select("*", F.explode(F.array(F.xxhash64(F.lit(0), front), F.xxhash64(F.lit(1), back))).alias("key"))
+def _keys(word: Column, at: Column, asks: bool) -> Column:
+    """Array of (key, length) that a bigram of a word asks for, or is found by: hashes of what one edit elsewhere leaves alone.
+
+    An edit lies on one side of an unspoilt bigram, so the text from the other end up to and with it is left. Where that is
+    shorter than FLANK, the edit is beyond the first FLANK letters, which are left then, or it is before them, and what
+    comes after them is left too, moved by as much as the lengths differ.
+    """
+    keys = []
+    for side, text, front in ((0, word, at + 2), (1, F.reverse(word), F.length(word) - at)):
+        near = F.xxhash64(F.lit(side), front, F.substr(text, F.lit(1), F.greatest(front, F.lit(FLANK))))
+        for d in (-1, 0, 1):  # the length of the word that is found, less that of the one that asks
+            if asks or d == 0:
+                keys.append(F.struct(near.alias("key"), (F.length(word) + (d if asks else 0)).alias("length")))
+            far = F.xxhash64(F.lit(side + 2), F.lit(d), front, F.substr(text, F.lit(1), front), F.substr(text, F.lit(FLANK + 1 + (0 if asks else d))))
+            keys.append(F.when(front < FLANK, F.struct(far.alias("key"), (F.length(word) + (d if asks else 0)).alias("length"))))
+    return F.array_compact(F.array(*keys))
 
 
 def one_edit(a: str, b: str) -> Column:
@@ -129,11 +143,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     ``words`` has distinct words of four code points at least, with their counts.
     """
     index = settle(tokens(words, gram_order(words)))
-    asking = _keys(index.where("pivot").select(*(F.col(c).alias(f"a_{c}") for c in ("word", "n", "last", "at"))), "a_word", "a_at")
-    held = _keys(index.select(*(F.col(c).alias(f"b_{c}") for c in ("word", "n", "last", "at"))), "b_word", "b_at")
-    # a pivot asks for words of its own length and of one more or less
-    asking = asking.select("key", "a_word", "a_n", "a_last", F.explode(F.array(*(F.length("a_word") + d for d in (-1, 0, 1)))).alias("length"))
-    held = held.select("key", "b_word", "b_n", "b_last", F.length("b_word").alias("length"))
+    asking, held = (
+        rows.select(*(F.col(c).alias(f"{name}_{c}") for c in ("word", "n", "last")), F.inline(_keys(F.col("word"), F.col("at"), asks)).alias("key", "length"))
+        for name, rows, asks in (("a", index.where("pivot"), True), ("b", index, False))
+    )
     met = asking.join(held, ["key", "length"]).where("a_last <= b_last and a_word <> b_word")
     found = met.where(one_edit("a_word", "b_word"))
     low = F.col("a_word") < F.col("b_word")
