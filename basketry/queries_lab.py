@@ -10,7 +10,7 @@ from .operators import audits, profile, rank, rules, sample, skew
 from .plans import features, model
 from .queries import MODEL_FEATURES, _AP, _DRAWN, _ERRORS, _LATE, _ORDER, _SKEWED, _SPLIT, _event_stream, _run_log, conformed, drawn, flags, md5_number, query, skewed, sum_of
 from .sources import ingest, tables
-from .streaming import flows
+from .streaming import flows, live
 
 # ---------------------------------------------------------------- joins and aggregates under skew
 _ON_WEEK = "JOIN flags f ON d.product_id = f.product_id AND d.supplier_id = f.store_id AND d.week_no = f.week_no"
@@ -355,17 +355,18 @@ _PARTS = f"WITH a AS ({_ARRIVED}), p AS (SELECT ts, date_diff('day', (SELECT min
 
 @query(None, f"{_PARTS}, m AS (SELECT batch, max(ts) AS m FROM p GROUP BY batch), s AS (SELECT batch, max(m) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM m) SELECT p.batch, count(*) AS rows, count(*) FILTER (ts < seen - INTERVAL 2 HOUR) AS late FROM p JOIN s ON p.batch = s.batch GROUP BY p.batch")
 def stream_late(spark, root):
-    """Events that land in four files by time of arrival, a batch each: rows behind the batches before are kept apart and counted."""
+    """Events that land in four parts by time of arrival, a batch each: rows behind the batches before are kept apart and counted."""
     path, rows = rank.stage_dir(spark), tables.table(spark, root, "events")
     delay = F.when(F.col("event_id") % 37 == 0, F.expr("INTERVAL 5 HOURS")).when(F.col("event_id") % 101 == 0, F.expr("INTERVAL 7 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
     rows = rows.withColumn("day", F.to_date(F.col("ts") + delay))
     span = rows.agg(F.min("day").alias("low"), F.max("day").alias("high"))
     part = F.floor(F.datediff("day", "low") * 4 / (F.datediff("high", "low") + 1))
-    landed = rank.staged(rows.crossJoin(F.broadcast(span)).withColumn("part", part).drop("day", "low", "high"))
-    for n in range(4):
-        landed.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/landing")
-    stream = spark.readStream.schema(landed.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landing")
-    flows.split_late(stream, "ts", "2 HOURS", f"{path}/kept", f"{path}/late", f"{path}/peaks", f"{path}/checkpoint")
+    landed = rows.crossJoin(F.broadcast(span)).withColumn("part", part.cast("int")).drop("day", "low", "high")
+
+    def run(streams: dict[str, DataFrame], _: int) -> None:
+        flows.split_late(streams["events"], "ts", "2 HOURS", f"{path}/kept", f"{path}/late", f"{path}/peaks", f"{path}/checkpoint")
+
+    live.replay({"events": landed}, 4, path, run)
     side = lambda n, late: spark.read.schema("ts timestamp, batch bigint").option("basePath", f"{path}/{n}").parquet(f"{path}/{n}").select("batch", F.lit(late).alias("late"))
     return side("kept", 0).unionByName(side("late", 1)).groupBy("batch").agg(F.count("*").alias("rows"), F.sum("late").alias("late"))
 

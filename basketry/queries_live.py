@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import rank
-from .queries import flags, query, sum_of
+from .operators import audits, rank, views
+from .queries import conformed, fact, flags, gated, query, sum_of
 from .sources import tables
-from .streaming import flows, live
+from .streaming import deltas, flows, live, runlog, versions
 
 PARTS = 4
 
@@ -55,3 +55,175 @@ def stream_promo_windows(spark, root):
 def stream_store_health(spark, root):
     """Days of a store from the same two streams, with the lines sold under a promotion."""
     return _live(spark, root, live.store_health)
+
+
+# ---------------------------------------------------------------- the log that runs write
+#: Deliveries of events: a third comes seven hours late, a third five, and some come again an hour later.
+_DELIVERED = f"""WITH sent AS (SELECT *, ts + CASE event_id % 3 WHEN 0 THEN INTERVAL 7 HOUR WHEN 1 THEN INTERVAL 5 HOUR ELSE INTERVAL 0 HOUR END AS arrival FROM events),
+delivered AS (SELECT * FROM sent UNION ALL SELECT * REPLACE (arrival + INTERVAL 1 HOUR AS arrival) FROM sent WHERE event_id % 50 = 7),
+ends AS (SELECT epoch_us(min(arrival)) AS low, epoch_us(max(arrival)) AS high FROM delivered),
+parts AS (SELECT d.*, ((epoch_us(arrival) - low) * {PARTS} // (high - low + 1))::INTEGER AS part FROM delivered d, ends),
+peaks AS (SELECT part, epoch_us(max(ts)) // 1000 - 21600000 AS mark FROM parts GROUP BY part),
+marks AS (SELECT part, max(mark) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM peaks),
+judged AS (SELECT p.*, coalesce(epoch_us(ts) <= mark * 1000, FALSE) AS late FROM parts p JOIN marks m ON p.part = m.part),
+kept AS (SELECT * FROM judged WHERE NOT late QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival) = 1)
+"""
+
+
+def _delivered(spark: SparkSession, root: str) -> DataFrame:
+    rows = tables.table(spark, root, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    hours = F.when(F.col("event_id") % 3 == 0, F.expr("INTERVAL 7 HOURS")).when(F.col("event_id") % 3 == 1, F.expr("INTERVAL 5 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+    sent = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("arrival", F.col("ts") + hours)
+    again = sent.where("event_id % 50 = 7").withColumn("arrival", F.col("arrival") + F.expr("INTERVAL 1 HOUR"))
+    return live.with_part(sent.unionByName(again), "arrival", PARTS).drop("arrival")
+
+
+def _deduplicated(spark: SparkSession, root: str, path: str) -> None:
+    """Drains the deliveries after each part: one row an event within a watermark of six hours, counted in the log as it passes."""
+    with runlog.RunLog(spark, f"{path}/log") as log:
+
+        def run(streams: dict[str, DataFrame], part: int) -> None:
+            once = flows.deduplicated(streams["events"], ["event_id"], "ts", "6 hours")
+            seen = once.observe("kept", F.count(F.lit(1)).alias("rows"), F.count(F.when(F.expr("(value < 45) IS FALSE"), 1)).alias("value_below_45"))
+            log.finish(flows.start_drain(seen, f"{path}/out", f"{path}/checkpoint", name=f"part-{part}"))
+
+        live.replay({"events": _delivered(spark, root)}, PARTS, path, run)
+
+
+@query(None, f"{_DELIVERED}, n AS (SELECT part, count(*) AS input_rows, count(*) FILTER (late) AS dropped_late FROM judged GROUP BY part), k AS (SELECT part, count(*) AS kept_rows FROM kept GROUP BY part) SELECT n.part, input_rows, dropped_late, coalesce(kept_rows, 0) AS kept_rows FROM n LEFT JOIN k ON n.part = k.part")
+def stream_run_log(spark, root):
+    """What each run of a stream read, kept and dropped behind its watermark, as its listener wrote it down."""
+    path = rank.stage_dir(spark)
+    _deduplicated(spark, root, path)
+    runs = runlog.progress(runlog.read_log(spark, f"{path}/log"))
+    part = F.regexp_extract("update_id", "([0-9]+)$", 1).cast("int")
+    return runs.select(part.alias("part"), "input_rows", F.col("dropped_by_watermark").alias("dropped_late"), F.coalesce(F.col("observed")["kept.rows"], F.lit(0)).alias("kept_rows"))
+
+
+@query(None, f"{_DELIVERED} SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, count(*) FILTER (event_id % 3 = 1) AS five_hours_late, {sum_of('value')} AS total FROM kept GROUP BY ALL")
+def stream_within_watermark(spark, root):
+    """Days of the rows kept: those five hours late are in, those behind the watermark are not, repeats count once."""
+    path = rank.stage_dir(spark)
+    _deduplicated(spark, root, path)
+    rows = spark.read.parquet(f"{path}/out")
+    return rows.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("event_id") % 3 == 1).alias("five_hours_late"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
+
+
+_FLAGS = ("A", "N", "R")
+
+
+@query("gate", "SELECT return_flag AS update_id, 'lines' AS dataset, sum(passed)::BIGINT AS passed, sum(failed)::BIGINT AS failed, sum(passed) / (sum(passed) + sum(failed)) AS pass_rate FROM (SELECT return_flag, count(*) - count(*) FILTER ((quantity_units >= 0) IS FALSE) AS passed, count(*) FILTER ((quantity_units >= 0) IS FALSE) AS failed FROM conformed GROUP BY 1 UNION ALL SELECT return_flag, count(*) - count(*) FILTER ((retail_disc_amt <= 0) IS FALSE), count(*) FILTER ((retail_disc_amt <= 0) IS FALSE) FROM conformed GROUP BY 1) GROUP BY return_flag")
+def observed_quality(spark, root):
+    """Pass rates of three batch jobs, from the log of what each observed of its rows while it wrote them."""
+    path = rank.stage_dir(spark)
+    lines, log = rank.staged(conformed(spark, root).select("event_id", "return_flag", "quantity_units", "retail_disc_amt")), runlog.RunLog(spark, f"{path}/log")
+    for flag in _FLAGS:
+        rows, seen = audits.expect(lines.where(F.col("return_flag") == flag), "lines", {"quantity": "quantity_units >= 0", "discount": "retail_disc_amt <= 0"})
+        rows.write.parquet(f"{path}/out/return_flag={flag}")
+        log.batch(flag, "lines", seen.get)
+    rules = audits.parse_run_log(runlog.read_log(spark, f"{path}/log")).withColumn("batch_id", F.col("name"))  # each rule's counts stand for themselves
+    return audits.dq_metrics(rules)
+
+
+@query(None, f"{_DELIVERED} SELECT part, count(*) FILTER (value < 45) AS passed, count(*) FILTER ((value < 45) IS FALSE) AS failed FROM kept GROUP BY part")
+def stream_quality_series(spark, root):
+    """A stream's rule counts of each run, from expectations that its listener logged; only runs that kept a row have a share."""
+    path = rank.stage_dir(spark)
+    _deduplicated(spark, root, path)
+    rows = audits.dq_metrics(audits.parse_run_log(runlog.read_log(spark, f"{path}/log")))
+    part = F.regexp_extract("update_id", "([0-9]+)$", 1).cast("int")
+    return rows.select(part.alias("part"), "passed", "failed").where("passed + failed > 0")
+
+
+# ---------------------------------------------------------------- tables merged at read
+def _landing(spark: SparkSession, root: str, parts: int, close: bool = False) -> DataFrame:
+    """Events with ``part`` by arrival, a third of them five hours late; with ``close`` a last row far ahead, in a part of its own."""
+    rows = tables.table(spark, root, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    late = F.when(F.col("event_id") % 3 == 1, F.expr("INTERVAL 5 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+    out = live.with_part(rows.withColumn("arrival", F.col("ts") + late), "arrival", parts).drop("arrival")
+    if close:
+        last = rows.agg((F.max("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts")).select("ts", F.lit(-1).cast("long").alias("user_id"), F.lit(parts).alias("part"))
+        out = out.unionByName(last, allowMissingColumns=True)
+    return out
+
+
+def _upserted(spark: SparkSession, root: str, compact_after: int) -> deltas.MergedTable:
+    path = rank.stage_dir(spark)
+    table = deltas.MergedTable(spark, f"{path}/table", ["user_id"], deltas.latest(["user_id"], ["ts", "event_id"]), compact_after)
+    live.replay({"events": _landing(spark, root, 6)}, 6, path, lambda s, _: deltas.merge_stream(s["events"], table, f"{path}/checkpoint"))
+    return table
+
+
+@query(None, "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def stream_merge_on_read(spark, root):
+    """The latest event of each user after six batches, compacted on the way; no batch has rewritten a row of an earlier one."""
+    return _upserted(spark, root, 3).read().select("user_id", "event_id", "event_type", "value")
+
+
+_SIX = "arrived AS (SELECT *, ts + CASE WHEN event_id % 3 = 1 THEN INTERVAL 5 HOUR ELSE INTERVAL 0 HOUR END AS arrival FROM events), ends AS (SELECT epoch_us(min(arrival)) AS low, epoch_us(max(arrival)) AS high FROM arrived), parts AS (SELECT a.*, ((epoch_us(arrival) - low) * 6 // (high - low + 1))::BIGINT AS batch FROM arrived a, ends)"
+
+
+@query(None, f"WITH {_SIX} SELECT batch, count(DISTINCT user_id) AS rows FROM parts GROUP BY batch")
+def merge_on_read_writes(spark, root):
+    """Rows that each batch wrote: one a user that it touches, whatever the table holds."""
+    return _upserted(spark, root, 16).written().select(F.col("batch").cast("long").alias("batch"), "rows")
+
+
+@query(None, """WITH c AS (SELECT user_id, ts, max(event_type) AS event_type FROM events GROUP BY user_id, ts), k AS (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts)), v AS (SELECT * FROM k WHERE n = 1 OR event_type <> b)
+SELECT user_id, event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS valid_to, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL AS is_current FROM v""")
+def stream_scd2_state(spark, root):
+    """Versions of each user's event type from keyed state with timers, over seven batches with changes out of order."""
+    path, keys = rank.stage_dir(spark), ["user_id", "valid_from"]
+    table = deltas.MergedTable(spark, f"{path}/table", keys, deltas.latest(keys, ["ended"]), 4)
+
+    def run(streams: dict[str, DataFrame], part: int) -> None:
+        made = versions.versions_by_state(streams["events"], ["user_id"], "ts", ["event_type"], "6 hours")
+        deltas.merge_stream(versions.ended_last(made), table, f"{path}/checkpoint")
+
+    with versions.rocks_state(spark):
+        live.replay({"events": _landing(spark, root, 6, close=True)}, 7, path, run)
+    return table.read().select("user_id", "event_type", "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"))
+
+
+# ---------------------------------------------------------------- views kept up by changes
+_CORRECTED = "corrected AS (SELECT * REPLACE (CASE WHEN product_id % 10 = 3 THEN quantity_units + 1 ELSE quantity_units END AS quantity_units, CASE WHEN product_id % 10 = 3 THEN sales_amt + 1 ELSE sales_amt END AS sales_amt) FROM {t} WHERE basket_id % 11 <> 5)"
+
+
+def _changes(lines: DataFrame) -> DataFrame:
+    """A feed of changes in four parts: most lines, the rest, corrections of a tenth of the products, and some baskets taken back."""
+    moved = F.col("product_id") % 10 == 3
+    fixed = lines.withColumns({"quantity_units": F.col("quantity_units") + F.when(moved, 1).otherwise(0), "sales_amt": F.col("sales_amt") + F.when(moved, 1.0).otherwise(0.0)})
+    signed = lambda rows, sign, part: rows.withColumns({"sign": F.lit(sign), "part": F.lit(part)})
+    feed = lines.withColumns({"sign": F.lit(1), "part": F.when(F.col("basket_id") % 4 == 0, 1).otherwise(0)})
+    for rows, sign, part in ((lines.where(moved), -1, 2), (fixed.where(moved), 1, 2), (fixed.where("basket_id % 11 = 5"), -1, 3)):
+        feed = feed.unionByName(signed(rows, sign, part))
+    return feed
+
+
+def _maintained(spark: SparkSession, lines: DataFrame, keys: list[str], distincts: list[str]) -> DataFrame:
+    path = rank.stage_dir(spark)
+    view = views.SumView(spark, f"{path}/view", keys, ["sales_amt", "quantity_units"], distincts, compact_after=2)
+
+    def run(streams: dict[str, DataFrame], part: int) -> None:
+        flows.each_batch(streams["changes"], lambda rows, number: view.apply(rows, number), f"{path}/checkpoint")
+
+    live.replay({"changes": _changes(lines)}, 4, path, run)
+    return view.read()
+
+
+@query("gate", f", {_CORRECTED.format(t='valid')} SELECT CAST(transaction_ts AS DATE)::TIMESTAMP AS day, store_id, count(*) AS lines, count(DISTINCT basket_id) AS baskets, {sum_of('sales_amt')} AS sales_amt, sum(quantity_units)::BIGINT AS units FROM corrected WHERE store_id IS NOT NULL GROUP BY ALL")
+def incremental_store_daily(spark, root):
+    """Days of a store kept up through inserts, corrections and retractions, without reading the lines again."""
+    lines = gated(spark, root)[0].where("store_id is not null").select(F.date_trunc("day", "transaction_ts").alias("day"), "store_id", "product_id", "basket_id", "sales_amt", "quantity_units")
+    out = _maintained(spark, rank.staged(lines), ["day", "store_id"], ["basket_id"])
+    return out.select("day", "store_id", "lines", F.col("basket_id").alias("baskets"), "sales_amt", F.col("quantity_units").cast("long").alias("units"))
+
+
+@query("fact", f", {_CORRECTED.format(t='fact')} SELECT week_no, product_id, department, promo_exposure, {sum_of('sales_amt')} AS sales_amt, sum(quantity_units)::BIGINT AS units, count(DISTINCT basket_id) AS baskets, count(DISTINCT household_key) AS households, count(DISTINCT store_id) AS stores FROM corrected GROUP BY week_no, product_id, department, promo_exposure")
+def incremental_promo_performance(spark, root):
+    """Sales of a product and week by exposure, with three distinct counts, kept up in the same way."""
+    keys, distincts = ["week_no", "product_id", "department", "promo_exposure"], ["basket_id", "household_key", "store_id"]
+    lines = rank.staged(fact(spark, root).select(*keys, *distincts, "sales_amt", "quantity_units"))
+    out = _maintained(spark, lines, keys, distincts)
+    named = {"basket_id": "baskets", "household_key": "households", "store_id": "stores"}
+    return out.select(*keys, "sales_amt", F.col("quantity_units").cast("long").alias("units"), *(F.col(c).alias(n) for c, n in named.items()))

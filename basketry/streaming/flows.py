@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructType
 
 from ..operators.dedupe import latest_per_key
@@ -119,9 +122,20 @@ def split_stream(stream: DataFrame, rules: list, valid_path: str, rejected_path:
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def start_drain(rows: DataFrame, path: str, checkpoint: str, mode: str = "append", name: str | None = None) -> StreamingQuery:
+    """Starts a streaming frame over what is there into Parquet; it ends by itself."""
+    writer = rows.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return (writer.queryName(name) if name else writer).start()
+
+
 def drain(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a streaming frame over what is there into Parquet."""
-    rows.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    start_drain(rows, path, checkpoint, mode).awaitTermination()
+
+
+def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Drains a stream into ``write(batch, number)``; a batch that runs again has its number again."""
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def windowed(stream: DataFrame, ts: str, window: str, keys: list[str], value: str, delay: str = "6 hours", slide: str | None = None, session: bool = False) -> DataFrame:
