@@ -26,19 +26,23 @@ from .urlfilter import url_host, url_path
 #: Pages of a range, about, where the session's number of shuffle partitions gives larger ones.
 RANGE_PAGES = 1 << 15
 
-OWN, FURNITURE, OTHER = 0, 1, 2
+#: Regions of a page. In FURNITURE an article begins all the same; what is ASIDE (menus, sidebars, comments) has no article in it.
+#: From FORM on, a number for each form: furniture, unless the form turns out to hold the page.
+OWN, FURNITURE, OTHER, ASIDE, FORM = 0, 1, 2, 3, 4
 
 # a quote opens a value only after an equals sign; elsewhere it is a character like others, and the tag ends at the next >
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*)|[^>])*+)(?:>|\Z)""", re.S)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMES = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 #: Elements whose content is not text, and those whose content is furniture.
-_RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "math", "object", "canvas", "noembed", "noframes", "xmp"}
-_FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "fieldset", "datalist"}
+_RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "noembed", "noframes"}
+_FURNITURE = {"header", "button", "select", "head", "fieldset", "datalist"}
+_ASIDE = {"nav", "footer", "aside", "menu", "dialog"}
 _OWN = {"article", "main"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "link", "map", "mark", "meta",
+    "canvas", "object", "svg", "g", "text", "tspan", "desc", "math", "mfrac", "mi", "mn", "mo", "mroot", "mrow", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "semantics",
     "output", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
 #: What begins on the left ends an open element on the right.
@@ -52,19 +56,51 @@ _FURNITURE_WORDS = {
 _OWN_WORDS = {"article", "articlebody", "entry-content", "main", "main-content", "post-content", "post-body", "article-body", "article-content"}
 
 
+#: First parts of names that tell of a layout, not of furniture (with-sidebar), and last parts of names of furniture (ad-slot).
+_STATES = {"has", "hide", "is", "no", "non", "not", "one", "show", "three", "two", "with", "without"}
+_HOLDERS = {
+    "area", "bar", "block", "body", "box", "button", "buttons", "container", "form", "group", "holder", "icons", "inner", "item", "items", "label", "link", "links", "list", "panel", "posts", "row",
+    "section", "signup", "slot", "slots", "text", "thread", "title", "toggle", "top", "unit", "wrap", "wrapper",
+}
+#: Words that mark comments; in an article an id marks nothing else, as it is an anchor.
+_COMMENTS = {"comment", "comments", "disqus", "replies", "respond"}
+
+
+def _names(attributes: str) -> Iterator[tuple[str, str]]:
+    """(attribute, name) of each name in class, id and role."""
+    for found in _NAMES.finditer(attributes):
+        for name in (found[2] or found[3] or found[4] or "").lower().split():
+            yield found[1].lower(), name
+
+
+def _marks_furniture(name: str, words: set[str]) -> bool:
+    """Whether a name is one of the words, ends in one (user-comments), or begins with one and ends in a holder's name (ad-slot)."""
+    if name in words:
+        return True
+    parts = re.split("[-_]+", name)
+    first, last = parts[0], parts[-1]
+    if len(parts) < 2 or first in _STATES:
+        return False
+    return last in words or first in words and (last in _HOLDERS or last.isdigit())
+
+
 def _region(tag: str, attributes: str, inside: int) -> int:
-    """The region of an element within a region; within an article only whole names mark furniture (share, not share-price)."""
-    if inside == FURNITURE or tag in _FURNITURE:
-        return FURNITURE if not (tag == "header" and inside == OWN) else OWN
-    if tag in _OWN:
+    """The region of an element within a region.
+
+    An article or main part begins whatever holds it, unless that is aside or the article is a comment by its name. Of names,
+    whole ones count, and hyphenated ones that end in a word or a holder's name; with-sidebar and share-price tell nothing.
+    """
+    if inside == ASIDE and tag != "main" or tag in _ASIDE:
+        return ASIDE
+    found = [(kind, n) for kind, n in _names(attributes)] if "=" in attributes and tag not in ("body", "html") else []
+    words = _FURNITURE_WORDS if tag != "article" else _COMMENTS
+    for kind, name in found:
+        if _marks_furniture(name, _COMMENTS if kind == "id" and inside == OWN else words) and tag != "main":
+            return ASIDE if name in words or tag == "article" else FURNITURE
+    if tag in _OWN or any(name in _OWN_WORDS for _, name in found):
         return OWN
-    if "=" in attributes and tag not in ("body", "html"):
-        for found in _NAMES.finditer(attributes):
-            for name in (found[1] or found[2] or found[3] or "").lower().split():
-                if name in _FURNITURE_WORDS or inside != OWN and set(re.split("[-_]", name)) & _FURNITURE_WORDS:
-                    return FURNITURE
-                if name in _OWN_WORDS:
-                    return OWN
+    if inside == FURNITURE or tag in _FURNITURE and not (tag == "header" and inside == OWN):
+        return FURNITURE
     return inside
 
 
@@ -77,6 +113,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = [("", OTHER)]
     parts: list[str] = []
+    forms, pages = 0, set()  # forms so far, and those that hold a page: an article, a main part or a heading of the first order
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -124,9 +161,15 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             stack.pop()
         if tag == "body" and stack[-1][0] == "head":
             stack.pop()
-        stack.append((tag, _region(tag, m[3], stack[-1][1])))
+        inside = stack[-1][1]
+        if tag in _OWN or tag == "h1":
+            pages.update(region for _, region in stack if region >= FORM)
+        region = _region(tag if tag != "form" else "div", m[3], inside)
+        if tag == "form" and region != ASIDE:
+            region, forms = (FORM + forms, forms + 1) if region == inside == OTHER else (FURNITURE, forms)
+        stack.append((tag, region))
     flush()
-    return out
+    return [(text, region if region < FORM else OTHER if region in pages else FURNITURE) for text, region in out]
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -221,7 +264,8 @@ def _edges(keys: DataFrame, ranges: int) -> tuple[list[Row], list[tuple[Row, int
         facing = begin if edges is end else end
         for i, own in enumerate(line):
             host, said = facing[own][0]["key"]["host"], facing[own][0]["said"]
-            for other in reversed(line[:i]):
+            for j in range(i - 1, -1, -1):
+                other = line[j]
                 one = next((x for x in edges[other] if (x["key"]["host"], x["said"]) != (host, said)), None)
                 if one and one["key"]["host"] == host:
                     needs.append((one["key"], i if edges is end else len(line) - 1 - i))
@@ -253,7 +297,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     met = F.lit(True)
     for name in _KEY:
         met &= F.col(name).eqNullSafe(F.col(f"_{name}"))
-    placed = own.crossJoin(F.broadcast(bounds)).withColumn("range", F.size(F.filter("begins", lambda b: b <= F.struct(*_KEY))) - 1)
+    # the last range that begins at or before the page: found by halves, so a page meets few of the begins
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(len(begins).bit_length()))))
+    last = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.coalesce(F.get("begins", at + step - 1) <= F.struct(*_KEY), F.lit(False)), at + step).otherwise(at))
+    placed = own.crossJoin(F.broadcast(bounds)).withColumn("range", last - 1)
     placed = placed.join(F.broadcast(beyond), met, "left")
     to = F.concat(F.array("range"), F.coalesce("also", F.array().cast("array<int>")))
     dealt = placed.select(*_KEY, "url", "html", F.posexplode(to).alias("guest", "range"))

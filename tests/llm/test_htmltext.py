@@ -123,3 +123,27 @@ def test_differencing_decides_beside_an_article(spark):
     rows = [(i, f"http://h/{i}", page.format(f"writer {i}", i)) for i in range(3)] + [(9, "http://solo/", page.format("no one", 9))]
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {**{i: f"By writer {i}\n\nstory {i}\n\nshared words" for i in range(3)}, 9: "story 9\n\nshared words"}
+
+
+def test_an_article_is_kept_in_any_wrapper():
+    """Pages with wrappers, forms and furniture by class alone, against what a reader would copy."""
+    text = lambda page: main_text(blocks(page), None)
+    assert text('<div class="page with-sidebar"><article><p>The text.</article></div>') == "The text."
+    assert text('<div class="layout two-col no-header"><div class="site-header">no</div><main><p>The text.</main><div class="site-footer">no</div></div>') == "The text."
+    assert text('<form id="aspnetForm"><div class="menu">no</div><article><h1>Head</h1><p>The text.</article><button>no</button></form>') == "Head\n\nThe text."
+    assert text('<form id="f"><h1>Head</h1><p>The text.</p><select><option>no</select></form>') == "Head\n\nThe text."
+    assert text("<p>The text.</p><form>Name <input> <p>no</p></form>") == "The text."
+    assert text('<div class="content-sidebar"><div class="sidebar"><article>no</article></div><article>yes</article></div>') == "yes"
+    assert text('<header><main><p>yes</main></header>') == "yes" and text("<aside><article>no</article></aside><p>yes") == "yes"
+
+
+def test_furniture_in_an_article_goes_and_content_stays():
+    text = lambda page: main_text(blocks(f"<article><p>one</p>{page}<p>two</p></article>"), None)
+    for name in ("user-comments", "comment-list", "cookie-notice", "ad-slot", "comments", "share-buttons", "related-posts", "newsletter-signup", "ads", "ad_unit", "comment-17"):
+        assert text(f'<div class="{name}">no<p>no</div>') == "one\n\ntwo", name
+    assert text('<div id="comments"><article class="comment">no</article></div>') == "one\n\ntwo"
+    assert text('<article id="comment-9" class="comment-body">no</article>') == "one\n\ntwo"
+    for kept in ('<p data-class="ad">yes', '<p class="share-price">yes', '<section id="search">yes</section>', '<p class="with-ads">yes', '<p aria-role="menu">yes', "<svg><text>yes</text></svg>", "<object>yes</object>", "<canvas>yes</canvas>", "<p class=no-comments>yes"):
+        assert text(kept) == "one\n\nyes\n\ntwo", kept
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == "one\n\nso x=2 holds\n\ntwo"
+    assert text("<xmp>a</xmp>") == "one\n\na\n\ntwo" and text("<nav>no</nav><form>no</form><footer>no</footer>") == "one\n\ntwo"
