@@ -76,4 +76,4 @@ def overlapping_windows(dim: DataFrame, keys: list[str]) -> DataFrame:
 def open_version_violations(dim: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that do not have exactly one open version, with how many they have: none, or several."""
     per_key = dim.groupBy(*keys).agg(F.count("*").alias("_versions"), F.count(END).alias("_ended"))
-    return per_key.withColumn("open_versions", F.col("_versions") - F.col("_ended")).where("open_versions = 0 or open_versions > 1").drop("_versions", "_ended")
+    return per_key.withColumn("open_versions", F.col("_versions") - F.col("_ended")).where("open_versions <> 1").drop("_versions", "_ended")

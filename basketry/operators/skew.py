@@ -61,6 +61,34 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_cols: l
     return left.withColumn("_salt", salt).join(spread.hint(hint) if hint else spread, [*keys, "_salt"], how).drop("_salt")
 
 
+def hot_keys(df: DataFrame, keys: list[str], share: float = 0.05) -> list[int]:
+    """Hashes of the keys that hold more than ``share`` of the rows: at most 1 / share of them, found by a frequent-items sketch.
+
+    The sketch tracks a bounded number of keys in one pass and is exact to a fraction of ``share``; a key near it may count or not,
+    which changes how rows are dealt and no result.
+    """
+    most = max(1, int(1 / share))
+    tracked = 1 << max(6, (16 * most - 1).bit_length())
+    hashed = df.select(F.xxhash64(*keys).alias("h"))
+    found = hashed.agg(F.expr(f"approx_top_k(h, {most}, {tracked})").alias("top"), F.count("*").alias("n")).first()
+    return sorted(r["item"] for r in found["top"] or [] if r["count"] > share * found["n"])
+
+
+def hot_salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_cols: list[str], salts: int, hot: list[int], how: str = "inner", hint: str | None = None) -> DataFrame:
+    """``salted_join`` for the hot keys alone: only their rows are dealt over parts, and only their matches are repeated."""
+    is_hot = F.xxhash64(*keys).isin(hot) if hot else F.lit(False)
+    spread = right.select("*", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
+    dealt = left.withColumn("_salt", F.when(is_hot, F.pmod(F.hash(*salt_cols), F.lit(salts))).otherwise(0))
+    return dealt.join(spread.hint(hint) if hint else spread, [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_salted_agg(df: DataFrame, key: str, distinct: str, amount: str, salts: int, hot: list[int]) -> DataFrame:
+    """``salted_agg`` with a salt for the hot keys alone, so that other groups are made in one piece."""
+    salt = F.when(F.xxhash64(key).isin(hot) if hot else F.lit(False), F.pmod(F.hash(distinct), F.lit(salts))).otherwise(0)
+    first = df.groupBy(key, salt.alias("_salt")).agg(F.count("*").alias("rows"), F.sum(F.col(amount).cast("decimal(18,2)")).alias("amount"), F.countDistinct(distinct).alias("distinct_values"))
+    return first.groupBy(key).agg(F.sum("rows").alias("rows"), F.sum("amount").cast("double").alias("amount"), F.sum("distinct_values").alias("distinct_values"))
+
+
 def preagg_join(left: DataFrame, right: DataFrame, keys: list[str], aggregates: list[Column], how: str = "inner") -> DataFrame:
     """The left is brought to the grain of the join before it is joined."""
     return left.groupBy(*keys).agg(*aggregates).join(right, keys, how)

@@ -851,14 +851,14 @@ def rescue_fields(spark, root):
     return rows.select(parsed.alias("parsed"), rescued.alias("rescued_value"), F.col("event_type").isNotNull().alias("has_type")).groupBy("parsed", "rescued_value", "has_type").agg(F.count("*").alias("rows"))
 
 
-@query(None, f"SELECT CASE WHEN event_id > {_HALF} THEN 1 ELSE 0 END AS run, count(*) AS rows, count(*) FILTER (event_id % 7 = 0 OR event_id % 997 = 5) AS rescued_rows, min(CASE WHEN event_id % 997 <> 5 THEN date_trunc('second', ts) END) AS first_ts, max(CASE WHEN event_id % 997 <> 5 THEN date_trunc('second', ts) END) AS last_ts, count(DISTINCT CASE WHEN event_id % 997 <> 5 THEN user_id END) AS users, TRUE AS traced FROM events GROUP BY 1")
+@query(None, f"SELECT CASE WHEN event_id > {_HALF} THEN 1 ELSE 0 END AS run, count(*) AS rows, count(*) FILTER (event_id % 7 = 0 OR event_id % 997 = 5) AS rescued_rows, min(CASE WHEN event_id % 997 <> 5 THEN date_trunc('second', ts) END) AS first_ts, max(CASE WHEN event_id % 997 <> 5 THEN date_trunc('second', ts) END) AS last_ts, count(DISTINCT CASE WHEN event_id % 997 <> 5 THEN user_id END) AS users, TRUE AS traced, TRUE AS ingest_in_order FROM events GROUP BY 1")
 def ingest_health(spark, root):
     """Health of the rows that ``_landed`` ingested, by run, and whether every row says where, when and by which run it came in."""
     rows = _landed(spark, root, rank.stage_dir(spark))
     known = [F.col(c).isNotNull() for c in ("_source_file", "_source_file_ts", "_ingest_ts", "_pipeline_id")]
     traced = known[0] & known[1] & known[2] & known[3] & (F.col("_ingest_ts") >= F.col("_source_file_ts"))
     own = rows.select(F.col("batch").cast("int").alias("source_file"), F.col("_rescued_data").isNotNull().alias("rescued"), "ts", "user_id", "_ingest_ts", traced.alias("traced"))
-    health = ingest.ingest_health(own).where("first_ingest <= last_ingest").drop("first_ingest", "last_ingest")
+    health = ingest.ingest_health(own).withColumn("ingest_in_order", F.col("first_ingest") <= F.col("last_ingest")).drop("first_ingest", "last_ingest")
     return health.join(own.groupBy("source_file").agg(F.bool_and("traced").alias("traced")), "source_file").withColumnRenamed("source_file", "run")
 
 
