@@ -34,6 +34,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOGIN = re.compile(r"([^\s/?#@:\"'<>]++:[^\s/?#@\"'<>]++)@[A-Za-z0-9\[]")
 _SECRET = re.compile(r"[\"']?\s{0,4}(?:=>|:=|=|:|\bis\b)?\s{0,4}[\"'`]?([A-Za-z0-9_+/=.~-]{16})")
+#: After a cue for a password and a sign: anything up to white space or a quote, if letters and digits or signs are mixed.
+_PASSWORD = re.compile(r"[\"']?\s{0,4}(?:=>|:=|=|:)\s{0,4}[\"'`]?([^\s\"'`<>]++)")
+_PASSWORD_CUES = ("password", "passwd", "passwort", "contraseña", "mot de passe")
+_SIGNS = frozenset("!#$%&*+@^?~")
 _RUN = re.compile(r"[A-Za-z0-9_+/=.~-]*+")
 _ACCOUNT = re.compile(r"(?:\s{0,3}(?:number|nummer|num|no|nr|id|code|#))?\.?\s{0,3}[:#=]?\s{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}|[0-9](?:[ -]?[0-9]){7,})(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?:\s{0,3}(?:number|no|#))?\.?\s{0,3}[:#=]?\s{0,3}([0-9]{3}[- ][0-9]{2}[- ][0-9]{4})(?![0-9])")
@@ -97,6 +101,17 @@ def _secret(text: str, at: int, run: list[int]) -> tuple[int, int] | None:
     return (start, run[0]) if mixed and not m[1].startswith("//") else None
 
 
+def _password(text: str, at: int) -> tuple[int, int] | None:
+    """The span of a password of any length after its cue: up to white space or a quote, without the sentence's last marks."""
+    m = _PASSWORD.match(text, at)
+    if not m:
+        return None
+    value = m[1].rstrip(".,;:)]}")
+    digit, letter = any(c.isdigit() for c in value), any(c.isalpha() for c in value)
+    mixed = digit and letter or (digit or letter) and any(c in _SIGNS for c in value.rstrip("!?"))
+    return (m.start(1), m.start(1) + len(value)) if mixed and not value.startswith("//") and len(value) >= 4 else None
+
+
 def _account(text: str, at: int) -> tuple[int, int] | None:
     m = _ACCOUNT.match(text, at)
     return m.span(1) if m and (m[1][0].isdigit() or _iban(m[1])) else None
@@ -130,7 +145,10 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         elif at and text[at - 1].isalnum():
             continue  # a cue begins a word
         elif kind == "secret":
-            if span := _secret(text, after, run):
+            span = _secret(text, after, run)
+            if not span and text[at:after].lower() in _PASSWORD_CUES:
+                span = _password(text, after)
+            if span:
                 out.append(("secret", *span))
         elif kind == "account":
             if span := _account(text, after):

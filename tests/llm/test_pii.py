@@ -92,3 +92,13 @@ def test_clashing_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a@b.co", "p", "r", 7)], "doc_id long, text string, _pii string, row string, n_email int")
     got = pii.pii_digest(docs).first()
     assert (got._pii, got.row, got.n_email) == ("p", "r", 1)
+
+
+def test_passwords_of_any_length():
+    spans = lambda t: [t[a:b] for k, a, b in find(t) if k == "secret"]
+    assert spans("password: Tr0ub4dor&3") == ["Tr0ub4dor&3"] and spans('passwd = "ab12", x') == ["ab12"]
+    assert spans("Passwort:geheim! und") == [] and spans("mot de passe : s3cret.") == ["s3cret"] and spans("password=hunter2)") == ["hunter2"]
+    for clean in ("password: required", "the password is 12 letters", "password:", "password = \n x", "password: 1234567", "passwords: a1b2", "token: a1b2", "password: //a1"):
+        assert spans(clean) == [], clean
+    long = "password: " + "a1&" * 100_000
+    assert [b - a for k, a, b in find(long) if k == "secret"] == [300_000]
