@@ -77,7 +77,7 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: tuple =
     # only pages whose URL may be listed are shuffled to the hits
     asked = marked(own, hits, "url", blocks)
     clear = asked.where("not maybe").withColumn("listed", F.lit(False))
-    rest = asked.where("maybe").join(hits.hint("merge"), "url", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    rest = asked.where("maybe").join(hits.hint("shuffle_hash"), "url", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     out = clear.unionByName(rest.select(*clear.columns))
     out = out.withColumn("verdict", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")))
     names = [F.col("row").getField(c).alias(c) for c in pages.columns if c not in ("host", "path", "rule", "listed", "verdict")]
