@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .bloom import without
 from .shared import settle, small_batches
 
-#: Words of a window, and those of them that must be plain words. An item with fewer words is one window of them all.
+#: Words of a window, and those of a shorter item's one window that must be plain words. An item of fewer words is one window of them all.
 WINDOW, LITERALS, SHORTEST = 8, 4, 4
+#: Plain words of a whole window: fewer will do, as one window alone never covers enough (COVERED), and all must agree.
+FEW_LITERALS = 2
 #: Items of fewer than SHORTEST words, but so many at least, must stand in a document with their own values.
 EXACT = 2
 #: Words of an item that an alignment must cover, or all of a shorter item.
@@ -223,7 +225,7 @@ def _slots(words: list[str], values: list[str], at: int, size: int) -> list[str]
 
 
 def _telling(words: list[str], at: int, size: int) -> bool:
-    return sum(w not in (NUMBER, UNIT, NAME) for w in words[at : at + size]) >= min(LITERALS, size)
+    return sum(w not in (NUMBER, UNIT, NAME) for w in words[at : at + size]) >= (FEW_LITERALS if size == WINDOW else min(LITERALS, size))
 
 
 def _template(words: list[str], at: int, size: int, slots: list[str]) -> str:
