@@ -80,7 +80,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         done: list[tuple[str, int]] = []
         for batch in batches:
             for page_id, url, payload, revisit, refers_to in zip(batch["page_id"], batch["url"], batch["payload"], batch["revisit"], batch["refers_to"]):
-                payload = bytes(payload)
+                payload = bytes(payload or b"")  # null: empty
                 if out is None:
                     path = f"{base}/{name}-{n}.warc.gz"
                     out, size, count, n = files.open_output_stream(path, compression=None), 0, 0, n + 1
@@ -147,8 +147,8 @@ class _Bad(Exception):
     pass
 
 
-def _parsed(data: bytes, whole: bool) -> tuple[dict, int]:
-    """(record, its length) from bytes that begin with one; _Bad says what check failed. whole: nothing may follow."""
+def _parsed(data: bytes) -> tuple[dict, int]:
+    """(record, its length) from bytes that begin with one; _Bad says what check failed."""
     if not data.startswith(_VERSION):
         raise _Bad("no version line")
     stop = data.find(b"\r\n\r\n")
@@ -166,8 +166,6 @@ def _parsed(data: bytes, whole: bool) -> tuple[dict, int]:
     block = data[stop + 4 : stop + 4 + size]
     if len(block) < size or data[stop + 4 + size : stop + 8 + size] != b"\r\n\r\n":
         raise _Bad("the block does not end where its length says")
-    if whole and len(data) != stop + 8 + size:
-        raise _Bad("more than one record in a member")
     if (want := head.get("warc-block-digest", "")).startswith("sha1:") and want[5:] != sha1_base32(block):
         raise _Bad("block digest differs")
     kind = head["warc-type"]
@@ -187,32 +185,82 @@ def _parsed(data: bytes, whole: bool) -> tuple[dict, int]:
     return found, stop + 8 + size
 
 
-def _member(window: _Window, start: int) -> tuple[dict, int]:
-    """The record in the gzip member at ``start``, and the member's length."""
-    inflate, parts, at = zlib.decompressobj(31), [], start
-    seen = 0
-    while not inflate.eof:
-        data = window.at(at, _CHUNK)
-        if not data:
-            raise _Bad("the file ends in a member")
+class _Inflated:
+    """The bytes of the gzip member at ``start`` as a file that ends with it, or where it is damaged: ``problem`` says why then."""
+
+    def __init__(self, window: _Window, start: int) -> None:
+        self.window, self.at, self.inflate, self.problem = window, start, zlib.decompressobj(31), ""
+
+    def read(self, _: int) -> bytes:
+        while not self.inflate.eof and not self.problem:
+            data = self.window.at(self.at, _CHUNK)
+            if not data:
+                self.problem = "the file ends in a member"
+                break
+            try:
+                out = self.inflate.decompress(data)
+            except zlib.error as e:
+                self.problem = f"gzip: {e}"
+                break
+            self.at += len(data) - len(self.inflate.unused_data)
+            if out:
+                return out
+        return b""
+
+
+def _member(window: _Window, start: int) -> Iterator[dict]:
+    """The records in the gzip member at ``start``, the last of them with the member's length; _Bad at its end if it is damaged.
+
+    A member with a single record is whole or bad; of one with several, those before damage count, and those after a record
+    that fails its own checks. What is read of a member is let go as its records are given.
+    """
+    source = _Inflated(window, start)
+    inner, at, gap, why, held, given = _Window(source), 0, -1, "", None, 0
+    if not inner.at(0, len(_VERSION)).startswith(_VERSION):
+        raise _Bad(source.problem or "no version line")
+    while inner.at(at, 1):
         try:
-            parts.append(inflate.decompress(data))
-        except zlib.error as e:
-            raise _Bad(f"gzip: {e}") from e
-        if seen < 8:
-            seen += len(parts[-1])
-            if seen >= len(_VERSION) and not b"".join(parts).startswith(_VERSION):
-                raise _Bad("no version line")
-        at += len(data)
-    return _parsed(b"".join(parts), True)[0], at - len(inflate.unused_data) - start
+            found, size = _plain(inner, at)
+        except _Bad as e:
+            if gap < 0:
+                gap, why = at, str(e)
+            inner.let_go(at)
+            at = inner.find(_VERSION, at + 1)
+            if at < 0:
+                break
+            continue
+        if held is not None:
+            yield {"offset": start, "length": 0, **held}
+            given += 1
+            window.let_go(source.at)
+        if gap >= 0:
+            yield {"offset": start, "length": 0, "problem": f"{why}: {at - gap} inflated bytes"}
+            gap = -1
+        held, at = found, at + size
+        inner.let_go(at)
+    if held is None or source.problem and not given:
+        raise _Bad(source.problem or why)
+    if source.problem:
+        yield {"offset": start, "length": 0, **held}
+        raise _Bad(source.problem)
+    if gap >= 0:
+        yield {"offset": start, "length": 0, "problem": f"{why}: {inner.end() - gap} inflated bytes"}
+    yield {"offset": start, "length": source.at - start, **held}
+
+
+def _record(window: _Window, start: int) -> Iterator[dict]:
+    """The record at ``start`` of a file without compression."""
+    found, size = _plain(window, start)
+    yield {"offset": start, "length": size, **found}
 
 
 def _plain(window: _Window, start: int) -> tuple[dict, int]:
     """The record at ``start`` of a file without compression, and its length.
 
-    Headers may be of any length, but what is read of them must be lines with a colon: damage does not make it read on for long.
+    Headers may be of any length, but what is read of them must be lines with a colon, and where a block's digest is met at a
+    version line before the end that the length says, the length is wrong: damage does not make it read on for long.
     """
-    size, checked = _CHUNK, 0
+    size, checked, looked = _CHUNK, 0, 0
     while True:
         data = window.at(start, size)
         stop = data.find(b"\r\n\r\n")
@@ -226,7 +274,16 @@ def _plain(window: _Window, start: int) -> tuple[dict, int]:
         length = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]{1,15})", data[: stop + 2]) if stop >= 0 else None
         need = stop + 8 + int(length[1]) if length else 0
         if need <= len(data) or len(data) < size:
-            return _parsed(data, False)
+            return _parsed(data)
+        if digest := re.search(rb"(?i)\r\nwarc-block-digest:[ \t]*sha1:([A-Z2-7]{32})", data[: stop + 2]):
+            mark = b"\r\n\r\n" + _VERSION
+            looked = max(looked, stop + 4)
+            while (end := data.find(mark, looked)) >= 0:
+                if sha1_base32(data[stop + 4 : end]).encode() == digest[1]:
+                    raise _Bad("the block ends before its length says")
+                looked = end + 1
+            looked = max(looked, len(data) - len(mark))
+            need = min(need, 2 * len(data))
         size = need
 
 
@@ -234,7 +291,9 @@ def salvage(file: BinaryIO) -> Iterator[dict]:
     """Records of a .warc or .warc.gz file in order, and a row with ``problem`` set for each gap of quarantined bytes.
 
     After a failed check, the reader goes on at the next member magic or version line from which a whole valid record
-    can be read, and the bytes from the failure up to there are one gap. Memory is bounded by the largest record.
+    can be read, and the bytes from the failure up to there are one gap. A member may hold several records: the last has its
+    length, the others none, and gaps between them are told in inflated bytes. Memory is bounded by twice the largest record;
+    a damaged length of a block without a digest, in a file without compression, is read up to the file's end.
     """
     window = _Window(file)
     at, gap, why = 0, -1, ""
@@ -243,23 +302,24 @@ def salvage(file: BinaryIO) -> Iterator[dict]:
         window.upto(_FIRST_MARK)
         marks = [(p, m) for m in (_MAGIC, _VERSION) if (p := window.data.find(m)) >= 0]
         packed = min(marks)[1] == _MAGIC if marks else False
-    mark, read = (_MAGIC, _member) if packed else (_VERSION, _plain)
+    mark, read = (_MAGIC, _member) if packed else (_VERSION, _record)
     while window.at(at, 1):
         try:
-            found, size = read(window, at)
+            for row in read(window, at):
+                if gap >= 0:
+                    yield _gap(gap, at, why)
+                    gap = -1
+                yield row
         except _Bad as e:
             if gap < 0:
                 gap, why = at, str(e)
-            window.let_go(at)
-            at = window.find(mark, at + 1)
+            at = max(at + 1, window.base)
+            window.let_go(at - 1 if at > window.base else at)
+            at = window.find(mark, at)
             if at < 0:
                 break
             continue
-        if gap >= 0:
-            yield _gap(gap, at, why)
-            gap = -1
-        yield {"offset": at, "length": size, **found}
-        at += size
+        at += row["length"]
         window.let_go(at)
     if gap >= 0:
         yield _gap(gap, window.end(), why)
@@ -307,7 +367,7 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     """
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(html, F.lit("")), "UTF-8").alias("payload"))
     own = own.withColumn("digest", F.sha1("payload"))
-    first = own.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    first = settle(own.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n"))
     # payloads that nothing repeats stay where they are
     asked = marked(own, first, "digest")
     clear = asked.where("not maybe").select("page_id", "url", "payload", F.lit(False).alias("revisit"), F.lit(None).cast(own.schema["page_id"].dataType).alias("refers_to"))

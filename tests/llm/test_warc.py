@@ -108,3 +108,31 @@ def test_a_lost_record_is_an_error(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "write_archives", damaged)
     with pytest.raises(RuntimeError, match="records written"):
         round_trip(spark, pages, str(tmp_path / "l"))
+
+
+def test_members_of_several_records():
+    each = parts()
+    whole = gzip.compress(b"".join(each))
+    rows = list(salvage(io.BytesIO(whole)))
+    assert ids(rows) == list(range(12)) and sum(r["length"] for r in rows) == len(whole) and not any(r.get("problem") for r in rows)
+    cut = list(salvage(io.BytesIO(whole[:-20])))
+    assert ids(cut) == list(range(11)) or ids(cut) == list(range(12))
+    assert cut[-1]["problem"] and sum(r["length"] for r in cut) == len(whole) - 20
+    broken = bytearray(b"".join(each))
+    broken[len(each[0]) + len(each[1]) - 10] ^= 0x55  # the block of the second record, before it was packed
+    rows = list(salvage(io.BytesIO(gzip.compress(bytes(broken)) + gzip.compress(each[0]))))
+    assert ids(rows) == [0, *range(2, 12), 0] and [bool(r.get("problem")) for r in rows].index(True) == 1
+    mixed = b"".join(map(gzip.compress, (each[0], each[1] + each[2], each[3])))
+    assert ids(salvage(io.BytesIO(mixed))) == [0, 1, 2, 3]
+
+
+def test_a_damaged_length_is_not_read_to_the_end_of_the_file():
+    each = parts()
+    filler = b"".join(each) * 400
+    data = each[0].replace(b"Content-Length: ", b"Content-Length: 99999", 1) + filler
+    assert len(data) > 2_000_000
+    file = io.BytesIO(data)
+    rows = salvage(file)
+    first = next(rows)
+    assert first["problem"] == "the block ends before its length says" and file.tell() < 1_000_000
+    assert len(ids(rows)) == 12 * 400
