@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import BLOCKS, marked
+from .bloom import marked
 from .shared import settle
 
 #: Hash buckets of the n-grams; the table of their log ratios is of this size at any input.
@@ -51,11 +51,11 @@ def _counts(docs: DataFrame) -> DataFrame:
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("maybe").alias("maybe"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", blocks: int = BLOCKS) -> list[float]:
+def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", blocks: int | None = None) -> list[float]:
     """ln of trusted over raw probability of each bucket.
 
     ``trusted`` has the ids of trusted documents; null ids trust nothing, and null texts have no words. Both multinomials are counted
-    over all documents they stand for, and texts stay where they are: a filter of ``blocks`` tells the trusted, and what it tells
+    over all documents they stand for, and texts stay where they are: a filter (of ``blocks``, else of a size for them) tells the trusted, and what it tells
     wrongly is counted apart. Only the bucket totals, of fixed number, come to the driver.
     """
     ids = settle(trusted.select(F.col(doc_id).alias("id")).where("id is not null").distinct())

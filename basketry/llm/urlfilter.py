@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import BLOCKS, marked
+from .bloom import marked
 from .shared import settle
 
 #: (host, path, verdict): the rules as they were given.
@@ -51,7 +51,7 @@ def asked_urls(canonical: Column) -> Column:
     return F.array_distinct(F.concat(F.array(canonical), parents))
 
 
-def listed_among(rows: DataFrame, listed: DataFrame, url: str = "url", blocks: int = BLOCKS) -> DataFrame:
+def listed_among(rows: DataFrame, listed: DataFrame, url: str = "url", blocks: int | None = None) -> DataFrame:
     """The distinct canonical URLs of rows[url] that ``listed[url]``, canonical too, has or lists by their host: column url.
 
     Nulls match nothing; repeats on either side do not multiply.
@@ -61,14 +61,14 @@ def listed_among(rows: DataFrame, listed: DataFrame, url: str = "url", blocks: i
     return marked(asked, bad, "key", blocks).where("maybe").join(bad, "key", "left_semi").select(url).distinct()
 
 
-def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: tuple = RULES, blocks: int = BLOCKS) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: tuple = RULES, blocks: int | None = None) -> DataFrame:
     """pages with host, path, rule, listed and verdict; ``listed`` has a column ``url`` of any URLs.
 
     A fitting rule decides; else a listed URL is blocked and any other allowed. A null URL, or one without
     ``://``, has empty host and path, fits no rule, is not listed and so allowed. Repeated rows and other columns stay,
     whatever their names; columns of the five names are replaced.
     """
-    bad = listed.select(canonical_url(F.col("url")).alias("url")).where("url <> ''").distinct()
+    bad = settle(listed.select(canonical_url(F.col("url")).alias("url")).where("url <> ''").distinct())
     text, verdict = rule_for(F.col("host"), F.col("path"), rules)
     own = pages.select(F.struct("*").alias("row"), F.col(url).alias("given"))
     own = own.select("row", url_host(F.col("given")).alias("host"), url_path(F.col("given")).alias("path"), F.nullif(canonical_url(F.col("given")), F.lit("")).alias("url"))
