@@ -11,7 +11,7 @@ from .functions import columns as C
 from .operators import audits, dedupe, gold, profile, rank, rules, sample, scd2, skew
 from .plans import features, lookups, metrics, model
 from .sources import ingest, tables
-from .streaming import flows
+from .streaming import flows, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -783,15 +783,11 @@ def stream_window(spark, root):
     return _windowed(spark, root, "1 day", ["event_type"], "value")
 
 
-def _windowed(spark: SparkSession, root: str, window: str, keys: list[str], value: str, session: bool = False, **settings) -> DataFrame:
-    """Windows so far: changed ones are merged into a table, so the watermark bounds the state; sessions, which grow into each other, are rewritten."""
+def _windowed(spark: SparkSession, root: str, window: str, keys: list[str], value: str, **settings) -> DataFrame:
+    """Windows so far: changed ones are merged into a table, so the watermark bounds the state."""
     path = rank.stage_dir(spark)
-    rows = flows.windowed(_event_stream(spark, root), "ts", window, keys, value, session=session, **settings)
-    if not session:
-        flows.upsert_windows(rows, f"{path}/out", keys, f"{path}/checkpoint")
-        return flows.read_table(spark, f"{path}/out")
-    rows.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/out")).outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    flows.upsert_windows(flows.windowed(_event_stream(spark, root), "ts", window, keys, value, **settings), f"{path}/out", keys, f"{path}/checkpoint")
+    return flows.read_table(spark, f"{path}/out")
 
 
 @query(None, f"WITH s AS (SELECT *, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS w FROM events) SELECT w AS window_start, w + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n, {sum_of('value')} AS total FROM s GROUP BY ALL")
@@ -801,7 +797,13 @@ def stream_sliding(spark, root):
 
 @query(None, f"WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, user_id, count(*) AS n, {sum_of('value')} AS total FROM s GROUP BY user_id, k")
 def stream_session(spark, root):
-    return _windowed(spark, root, "6 hours", ["user_id"], "value", session=True)
+    """Sessions of each user, appended as the watermark closes them; a last event far ahead closes them all."""
+    path = rank.stage_dir(spark)
+    rows = tables.table(spark, root, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value", F.lit(0).alias("part"))
+    last = rows.agg((F.max("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts")).select("ts", F.lit(-1).cast("long").alias("user_id"), F.lit(1).alias("part"))
+    run = lambda streams, _: flows.drain(flows.windowed(streams["events"], "ts", "6 hours", ["user_id"], "value", session=True), f"{path}/out", f"{path}/checkpoint")
+    live.replay({"events": rows.unionByName(last, allowMissingColumns=True)}, 2, path, run)
+    return spark.read.parquet(f"{path}/out")
 
 
 @query(None, "SELECT user_id % 500 AS k FROM events GROUP BY 1")

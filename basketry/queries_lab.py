@@ -160,6 +160,21 @@ def reviewed_gate(spark, root):
     return valid.select(F.lit(None).cast("string").alias("rule_name")).unionByName(rejected.select("rule_name")).groupBy("rule_name").agg(F.count("*").alias("rows"))
 
 
+@query("gate", f"SELECT 'fact' AS dataset, {len(_ERRORS)} AS rules, count(*) AS rejected, FALSE AS refused FROM rejected UNION ALL SELECT 'unheard_of', 0, NULL, TRUE")
+def missing_rules_refused(spark, root):
+    """The gate of each dataset by the published rules: one without a rule set is refused, never passed without a check."""
+    table, lines, out = rules.publish_rules(spark, rules.FACT_RULES, f"{rank.stage_dir(spark)}/rules"), rank.staged(conformed(spark, root)), None
+    for dataset in ("fact", "unheard_of"):
+        try:
+            found = rules.load_rules(table, dataset, "error")
+            counts = rules.gate(lines, found)[1].agg(F.count("*").alias("rejected"))
+        except ValueError:
+            found, counts = [], spark.range(1).select(F.lit(None).cast("long").alias("rejected"))
+        one = counts.select(F.lit(dataset).alias("dataset"), F.lit(len(found)).alias("rules"), "rejected", F.lit(not found).alias("refused"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _RUNS = "(SELECT event_type AS dataset, user_id % 3 AS update_id, user_id % 50 AS batch_id, event_id % 1000 AS passed, event_id % 7 AS failed FROM events)"
 _RATED = f"SELECT dataset, update_id, sum(p)::BIGINT AS passed, sum(f)::BIGINT AS failed, sum(p) / (sum(p) + sum(f)) AS pass_rate FROM (SELECT dataset, update_id, batch_id, max(passed) AS p, max(failed) AS f FROM {_RUNS} GROUP BY ALL) GROUP BY dataset, update_id"
 

@@ -10,7 +10,7 @@ from .queries import conformed, fact, flags, gated, query, sum_of
 from .sources import tables
 from .streaming import deltas, flows, live, runlog, versions
 
-PARTS = 4
+PARTS, LIVE_PARTS = 4, 3
 
 # ---------------------------------------------------------------- live windows
 #: A time of day for each line, and for one basket in 37 a delivery five hours late.
@@ -33,15 +33,15 @@ def _live(spark: SparkSession, root: str, windows, ts: str = "ts") -> DataFrame:
     promos = flags(spark, root).select("product_id", "store_id", "on_display", "in_mailer", starts.alias("starts"))
     after = sales.agg(F.max("arrival").alias("last")).select((F.col("last") + F.expr("INTERVAL 60 DAYS")).alias("at"))
     # the last rows have keys, as a join looks at no row without them, not even for its watermark
-    keyed = [F.lit(-1).cast("long").alias("product_id"), F.lit(-1).cast("long").alias("store_id"), F.lit(PARTS).alias("part")]
+    keyed = [F.lit(-1).cast("long").alias("product_id"), F.lit(-1).cast("long").alias("store_id"), F.lit(LIVE_PARTS).alias("part")]
     close = lambda rows, c: rows.unionByName(after.select(F.col("at").alias(c), *keyed), allowMissingColumns=True)
-    sources = {"sales": close(live.with_part(sales, "arrival", PARTS).drop("arrival"), "ts"), "promos": close(live.with_part(promos, "starts", PARTS, sales.select(F.col("arrival").alias("starts"))), "starts")}
+    sources = {"sales": close(live.with_part(sales, "arrival", LIVE_PARTS).drop("arrival"), "ts"), "promos": close(live.with_part(promos, "starts", LIVE_PARTS, sales.select(F.col("arrival").alias("starts"))), "starts")}
 
     def run(streams: dict[str, DataFrame], part: int) -> None:
         joined = live.exposed(streams["sales"], streams["promos"], ["product_id", "store_id"], "ts", "starts", "7 DAYS", "6 hours", "6 hours")
         flows.drain(windows(joined, "ts"), f"{path}/out", f"{path}/checkpoint")
 
-    live.replay(sources, PARTS + 1, path, run)
+    live.replay(sources, LIVE_PARTS + 1, path, run)
     return spark.read.parquet(f"{path}/out")
 
 
@@ -172,7 +172,7 @@ def merge_on_read_writes(spark, root):
 @query(None, """WITH c AS (SELECT user_id, ts, max(event_type) AS event_type FROM events GROUP BY user_id, ts), k AS (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts)), v AS (SELECT * FROM k WHERE n = 1 OR event_type <> b)
 SELECT user_id, event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS valid_to, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL AS is_current FROM v""")
 def stream_scd2_state(spark, root):
-    """Versions of each user's event type from keyed state with timers, over seven batches with changes out of order."""
+    """Versions of each user's event type from keyed state with timers, over six batches with changes out of order."""
     path, keys = rank.stage_dir(spark), ["user_id", "valid_from"]
     table = deltas.MergedTable(spark, f"{path}/table", keys, deltas.latest(keys, ["ended"]), 4)
 
@@ -181,7 +181,7 @@ def stream_scd2_state(spark, root):
         deltas.merge_stream(versions.ended_last(made), table, f"{path}/checkpoint")
 
     with versions.rocks_state(spark):
-        live.replay({"events": _landing(spark, root, 6, close=True)}, 7, path, run)
+        live.replay({"events": _landing(spark, root, 5, close=True)}, 6, path, run)
     return table.read().select("user_id", "event_type", "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"))
 
 

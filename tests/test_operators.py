@@ -238,3 +238,22 @@ def test_features_do_not_leak(spark):
     got = {r.household_key: r for r in features.lapse_features(lines, "2020-01-10").collect()}
     assert got[1].lapsed == 0 and got[2].lapsed == 1 and got[2].avg_days_between is None and got[1].recency_days == 9
     assert features.leakage_diff(lines, "2020-01-10").count() == 0
+
+
+def test_models_find_what_was_planted(spark):
+    """A label that hangs on one feature: that feature is the most important, and the model beats the baseline; the same again on a rerun."""
+    from basketry.plans import model
+
+    rows = spark.range(1200).select(
+        (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("planted"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) / 1000).alias("noise"), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1000)) / 1000).alias("more_noise"), "id"
+    ).withColumn("lapsed", ((F.col("planted") > 0.3) & (F.col("planted") < 0.7)).cast("int"))
+    names = ["planted", "noise", "more_noise"]
+    fitted = model.fit_gbt(rows.where("id % 4 > 0"), names, "lapsed")
+    found = model.importance(fitted, names).collect()
+    assert found[0].feature == "planted" and found[0].importance > 0.8
+    assert [tuple(r) for r in model.importance(model.fit_gbt(rows.where("id % 4 > 0"), names, "lapsed"), names).collect()] == [tuple(r) for r in found]
+    test = model.scored(fitted, rows.where("id % 4 = 0"), names, "lapsed")
+    got = model.average_precision(test, "lapsed", "score")
+    line = model.average_precision(test.withColumn("score", -F.col("planted")), "lapsed", "score")
+    gate = model.lift_gate(got, line, "average_precision").first()
+    assert gate.model_score > 0.95 and gate.passed
