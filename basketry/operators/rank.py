@@ -10,6 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Folders staged in this process and not released yet.
+_STAGES: list[str] = []
+
+
+def release_stages(spark: SparkSession) -> int:
+    """Removes what queries have staged so far, and returns how many folders: frames made before read nothing any more.
+
+    For sessions that run long; otherwise staged folders go when the driver's JVM ends.
+    """
+    gone = len(_STAGES)
+    while _STAGES:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
+
+
 def stage_dir(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder, named in ``spark.checkpoint.dir``; under a temporary one on local Spark only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -21,6 +37,7 @@ def stage_dir(spark: SparkSession) -> str:
     path = f"{base}/stage-{uuid.uuid4().hex}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    _STAGES.append(path)
     return path
 
 

@@ -257,3 +257,14 @@ def test_models_find_what_was_planted(spark):
     line = model.average_precision(test.withColumn("score", -F.col("planted")), "lapsed", "score")
     gate = model.lift_gate(got, line, "average_precision").first()
     assert gate.model_score > 0.95 and gate.passed
+
+
+def test_stages_are_released(spark):
+    import os
+
+    from basketry.operators import rank
+
+    rank.release_stages(spark)
+    path = rank.stage_dir(spark).removeprefix("file:")
+    spark.range(3).write.parquet(f"{path}/rows")
+    assert os.path.isdir(path) and rank.release_stages(spark) == 1 and not os.path.exists(path) and rank.release_stages(spark) == 0
