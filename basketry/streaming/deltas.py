@@ -34,13 +34,14 @@ class MergedTable:
 
     ``merge`` makes one row of the rows of a key, and may be applied to parts first. Base and deltas lie in
     ``of=<buckets>/bucket=<b>`` by a hash of the keys, sorted by them, so that looking up a key reads one bucket of each;
-    a base has as many buckets as its size asks for. One writer at a time; readers go by the last whole manifest, and what
+    a base has as many buckets as its size asks for, and deltas as many as the base (before the first, ``buckets``, else one a core). One writer at a time; readers go by the last whole manifest, and what
     it names stays until ``vacuum``.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], merge: Callable[[DataFrame], DataFrame], compact_after: int = 16, bucket_bytes: int = 128 << 20) -> None:
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], merge: Callable[[DataFrame], DataFrame], compact_after: int = 16, bucket_bytes: int = 128 << 20, buckets: int | None = None) -> None:
         self.spark, self.path, self.keys, self.merge = spark, path, keys, merge
         self.compact_after, self.bucket_bytes = compact_after, bucket_bytes
+        self.buckets = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     # ------------------------------------------------------------ what is there
     def _names(self, folder: str) -> list[str]:
@@ -51,7 +52,7 @@ class MergedTable:
         """{version, covers, buckets}: the newest; before the first, no base covers batch -1."""
         versions = [int(n) for n in self._names("manifest") if n.isdigit()]
         if not versions:
-            return {"version": 0, "covers": -1, "buckets": 1}
+            return {"version": 0, "covers": -1, "buckets": self.buckets}
         return json.loads(self.spark.read.text(f"{self.path}/manifest/{max(versions)}", wholetext=True).first()[0])
 
     def pending(self) -> list[int]:
@@ -82,11 +83,13 @@ class MergedTable:
     # ------------------------------------------------------------ writing
     def _put(self, name: str, text: str) -> None:
         """A small file, whole or not there: written beside its place and renamed."""
-        half, fs = _fs(self.spark, f"{self.path}/{name.replace('/', '/_')}" if "/" in name else f"{self.path}/_{name}")
+        place, fs = _fs(self.spark, f"{self.path}/{name}")
+        fs.mkdirs(place.getParent())
+        half = place.suffix(".half")
         out = fs.create(half, True)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.rename(half, _fs(self.spark, f"{self.path}/{name}")[0])
+        fs.rename(half, place)
 
     def _write(self, rows: DataFrame, buckets: int, target: str) -> None:
         of = rows.withColumns({"of": F.lit(buckets), "bucket": F.pmod(F.hash(*self.keys), F.lit(buckets))})
@@ -116,7 +119,6 @@ class MergedTable:
             size += fs.getContentSummary(place).getLength()
         then = {"version": now["version"] + 1, "covers": batches[-1], "buckets": max(1, -(-size // self.bucket_bytes))}
         self._write(self.merge(self._rows().drop("of", "bucket")), then["buckets"], f"{self.path}/base/v={then['version']}")
-        _fs(self.spark, self.path)[1].mkdirs(_fs(self.spark, f"{self.path}/manifest")[0])
         self._put(f"manifest/{then['version']}", json.dumps(then))
 
     def vacuum(self) -> None:

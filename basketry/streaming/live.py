@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import money_sum
@@ -57,6 +58,20 @@ def with_part(rows: DataFrame, arrival: str, parts: int, span: DataFrame | None
     return rows.crossJoin(F.broadcast(ends)).withColumn("part", part).drop("_low", "_high")
 
 
+@contextmanager
+def state_by_cores(spark: SparkSession):
+    """Streams first started in here deal their state over as many partitions as there are cores, or fewer if the session says so.
+
+    State is kept in files for each partition and batch, and its number is fixed by a stream's first run; the setting is put back.
+    """
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def replay(sources: dict[str, DataFrame], parts: int, folder: str, run: Callable[[dict[str, DataFrame], int], None]) -> None:
     """Lands each source (with ``part``) part by part in a folder of its own, and lets ``run`` drain the streams after each part.
 
@@ -66,7 +81,9 @@ def replay(sources: dict[str, DataFrame], parts: int, folder: str, run: Callable
     for name, rows in sources.items():
         rows.write.partitionBy("part").parquet(f"{folder}/staged/{name}")
         staged[name] = rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/staged/{name}")
-    for part in range(parts):
-        for name, rows in staged.items():
-            rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/landing/{name}")
-        run({name: rows.sparkSession.readStream.schema(rows.drop("part").schema).parquet(f"{folder}/landing/{name}") for name, rows in staged.items()}, part)
+    spark = next(iter(staged.values())).sparkSession
+    with state_by_cores(spark):
+        for part in range(parts):
+            for name, rows in staged.items():
+                rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/landing/{name}")
+            run({name: spark.readStream.schema(rows.drop("part").schema).parquet(f"{folder}/landing/{name}") for name, rows in staged.items()}, part)
