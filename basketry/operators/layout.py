@@ -16,7 +16,7 @@ def edges_of(df: DataFrame, keys: list[str], bits: int = BITS) -> dict[str, list
     return {k: sorted(set(cuts[k] or [])) for k in keys}
 
 
-def part_of(column: Column, edges: list, bits: int = BITS) -> Column:
+def part_of(column: Column, edges: list) -> Column:
     """How many edges lie before a value, found by halves; 0 for null."""
     if not edges:
         return F.lit(0)
@@ -37,7 +37,9 @@ def z_key(parts: list[Column], bits: int = BITS) -> Column:
 def write_z_ordered(df: DataFrame, path: str, keys: list[str], files: int, bits: int = BITS) -> None:
     """Rows in ranges of the interleaved ranks of all keys, so that a range of any of them lies in few files."""
     edges = edges_of(df, keys, bits)
-    keyed = df.withColumn("_z", z_key([part_of(F.col(k), edges[k], bits) for k in keys], bits))
+    # a key of few values is spread over the whole range too, or its bits would come after all of the other's
+    parts = [F.floor(part_of(F.col(k), edges[k]) * (1 << bits) / (len(edges[k]) + 1)) for k in keys]
+    keyed = df.withColumn("_z", z_key(parts, bits))
     keyed.repartitionByRange(files, "_z").sortWithinPartitions("_z", *keys).drop("_z").write.mode("overwrite").parquet(path)
 
 

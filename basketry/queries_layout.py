@@ -15,7 +15,7 @@ from .queries_lab import _BY_STORE
 from .sources import tables, variant
 
 # ---------------------------------------------------------------- layouts
-_DAYS, _STORES = ("1996-03-01", "1996-09-30"), (10, 19)
+_DAYS, _STORES = ("1996-03-01", "1996-09-30"), (3, 4)
 
 
 def _clustered(spark: SparkSession, root: str, path: str) -> dict[str, DataFrame]:
