@@ -20,8 +20,8 @@ MIN_LENGTH, MIN_COUNT = 7, 2
 SPOIL = 31
 #: A word's form is at least so many times as frequent.
 RATIO = 10
-#: Letters of a word's end that a key has at least, or it has the other end too.
-FLANK = 5
+#: Letters from an end of a word from which on they are a key by themselves; fewer are joined by half of the rest.
+FLANK = 7
 #: Code points up to which a pair is judged by Spark's edit distance.
 PLAIN = 64
 #: Letters of a run: A to Z and the second half of Latin-1.
@@ -107,21 +107,21 @@ def tokens(words: DataFrame, order: dict[str, int]) -> DataFrame:
 
 
 def _keys(word: Column, at: Column, asks: bool) -> Column:
-    """Array of (key, length) that a bigram of a word asks for, or is found by: hashes of what one edit elsewhere leaves alone.
+    """Hashes that a bigram of a word asks for, or is found by: of what one edit elsewhere leaves alone, and of the found word's length.
 
     An edit lies on one side of an unspoilt bigram, so the text from the other end up to and with it is left. Where that is
-    shorter than FLANK, the edit is beyond the first FLANK letters, which are left then, or it is before them, and what
-    comes after them is left too, moved by as much as the lengths differ.
+    shorter than FLANK, the rest of the word that asks is halved: the edit is in the second half, and the first is left too, or
+    it is in the first, and the second is left, moved by as much as the lengths differ.
     """
-    keys = []
-    for side, text, front in ((0, word, at + 2), (1, F.reverse(word), F.length(word) - at)):
-        near = F.xxhash64(F.lit(side), front, F.substr(text, F.lit(1), F.greatest(front, F.lit(FLANK))))
+    keys, length = [], F.length(word)
+    for side, text, front in ((0, word, at + 2), (1, F.reverse(word), length - at)):
         for d in (-1, 0, 1):  # the length of the word that is found, less that of the one that asks
-            if asks or d == 0:
-                keys.append(F.struct(near.alias("key"), (F.length(word) + (d if asks else 0)).alias("length")))
-            far = F.xxhash64(F.lit(side + 2), F.lit(d), front, F.substr(text, F.lit(1), front), F.substr(text, F.lit(FLANK + 1 + (0 if asks else d))))
-            keys.append(F.when(front < FLANK, F.struct(far.alias("key"), (F.length(word) + (d if asks else 0)).alias("length"))))
-    return F.array_compact(F.array(*keys))
+            asking, found = (length, length + d) if asks else (length - d, length)
+            half = F.when(front < FLANK, F.greatest(front, F.shiftright(asking + front + 1, 1))).otherwise(front)
+            begins, rest = F.substr(text, F.lit(1), half), F.substr(text, half + 1 + (0 if asks else d))
+            keys.append(F.xxhash64(F.lit(side), front, found, begins))
+            keys.append(F.when(front < FLANK, F.xxhash64(F.lit(side + 2), F.lit(d), front, found, F.substr(text, F.lit(1), front), rest)))
+    return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
 def one_edit(a: str, b: str) -> Column:
@@ -144,10 +144,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """
     index = settle(tokens(words, gram_order(words)))
     asking, held = (
-        rows.select(*(F.col(c).alias(f"{name}_{c}") for c in ("word", "n", "last")), F.inline(_keys(F.col("word"), F.col("at"), asks)).alias("key", "length"))
+        rows.select(*(F.col(c).alias(f"{name}_{c}") for c in ("word", "n", "last")), F.explode(_keys(F.col("word"), F.col("at"), asks)).alias("key"))
         for name, rows, asks in (("a", index.where("pivot"), True), ("b", index, False))
     )
-    met = asking.join(held, ["key", "length"]).where("a_last <= b_last and a_word <> b_word")
+    met = asking.join(held, "key").where("a_last <= b_last and a_word <> b_word")
     found = met.where(one_edit("a_word", "b_word"))
     low = F.col("a_word") < F.col("b_word")
     one = found.select(*(F.when(low, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a_word", "b_word", "word"), ("a_n", "b_n", "n"), ("b_word", "a_word", "near"), ("b_n", "a_n", "near_n")))).distinct()
