@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: list[str], order_cols: list[str | Column]) -> DataFrame:
     """Of the rows of a key, that with the largest ``order_cols``; ties go by a hash of the row, so any partitioning gives the same.
 
     Spark keeps one row of a key in each task before the shuffle (window group limit), so a hot key is cut down first.

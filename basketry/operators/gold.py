@@ -15,11 +15,15 @@ def promo_flags(promo: DataFrame, keys: list[str], display: str = "display", mai
     return promo.groupBy(*keys).agg(F.bool_or(F.col(display) == shown).alias("on_display"), F.bool_or(F.col(mailer) == mailed).alias("in_mailer"))
 
 
-def build_fact(lines: DataFrame, products: DataFrame, households: DataFrame, flags: DataFrame, low: int, high: int) -> DataFrame:
-    """Lines with the product and household version in force and their promotion exposure; no line is lost or multiplied."""
-    out = as_of_join(lines, products, ["product_id"], "transaction_ts", "left", ["department", "brand_tier"])
-    out = as_of_join(out, households, ["household_key"], "transaction_ts", "left", ["segment"])
-    out = out.join(flags, ["product_id", "store_id", "week_no"], "left")
+def build_fact(lines: DataFrame, products: DataFrame, households: DataFrame | None, flags: DataFrame, low: int, high: int) -> DataFrame:
+    """Lines with the product and household version in force and their promotion exposure; no line is lost or multiplied.
+
+    The joins that add least come first, so that the next ones shuffle narrow lines. Without ``households`` there is no segment.
+    """
+    out = lines.join(flags, ["product_id", "store_id", "week_no"], "left")
+    if households is not None:
+        out = as_of_join(out, households, ["household_key"], "transaction_ts", "left", ["segment"])
+    out = as_of_join(out, products, ["product_id"], "transaction_ts", "left", ["department", "brand_tier"])
     return out.withColumn("promo_exposure", exposure_label("week_no", "on_display", "in_mailer", low, high)).drop("on_display", "in_mailer")
 
 
@@ -53,9 +57,15 @@ def rfm(fact: DataFrame) -> DataFrame:
 
 
 def promo_performance(fact: DataFrame) -> DataFrame:
-    return fact.groupBy("week_no", "product_id", "department", "promo_exposure").agg(
-        money_sum("sales_amt").alias("sales_amt"), F.sum("quantity_units").alias("units"), F.countDistinct("basket_id").alias("baskets"), F.countDistinct("household_key").alias("households"), F.countDistinct("store_id").alias("stores")
-    )
+    """Totals of each week, product, department and exposure.
+
+    Groups are small and many, so lines are dealt by group once and a value's first line in its group is marked there; distinct
+    counts in one aggregate would send each line on four times.
+    """
+    keys, counted = ["week_no", "product_id", "department", "promo_exposure"], {"baskets": "basket_id", "households": "household_key", "stores": "store_id"}
+    dealt = fact.select(*keys, *counted.values(), "sales_amt", "quantity_units").repartition(*keys)
+    marks = {f"_{n}": (F.row_number().over(Window.partitionBy(*keys, c).orderBy(c)) == 1) & F.col(c).isNotNull() for n, c in counted.items()}
+    return dealt.withColumns(marks).groupBy(*keys).agg(money_sum("sales_amt").alias("sales_amt"), F.sum("quantity_units").alias("units"), *(F.count_if(f"_{n}").alias(n) for n in counted))
 
 
 def store_daily(fact: DataFrame, stores: DataFrame) -> DataFrame:

@@ -46,24 +46,39 @@ def spec_ddl(spec: list[tuple[str, str, Column | str]]) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind, _ in spec)
 
 
+def delivered(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of lineitem with their order's customer, as they were delivered."""
+    order = table(spark, root, "orders").select("o_orderkey", "o_custkey")
+    return table(spark, root, "lineitem").join(order, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+
+
+def quantity_text() -> Column:
+    """The quantity of a delivered row as it was sent: some with their unit."""
+    sent = F.col("l_quantity").cast("bigint").cast("string")
+    return F.when(F.col("l_partkey") % 13 == 0, F.concat(sent, F.lit(" units"))).otherwise(sent)
+
+
 def deliveries(spark: SparkSession, root: str) -> DataFrame:
-    """Delivered basket lines: lineitem with its order. An event_id may be delivered several times.
+    """Delivered basket lines. An event_id may be delivered several times."""
+    return basket_lines(delivered(spark, root))
+
+
+def basket_lines(rows: DataFrame) -> DataFrame:
+    """Delivered rows as basket lines.
 
     Some lines carry defects by rule, so that gates have something to reject: no store, negative or text quantities,
     a surcharge for a discount, a time that is none.
     """
-    line, order = table(spark, root, "lineitem"), table(spark, root, "orders").select("o_orderkey", "o_custkey")
-    joined = line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
     part, supp, key = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey")
     discount = F.col("l_extendedprice") * F.col("l_discount")
-    return joined.select(
+    return rows.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"),
         key.alias("basket_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("o_custkey").alias("household_key"),
         F.when(part % 211 != 7, supp).alias("store_id"),
         part.alias("product_id"),
-        F.when(part % 13 == 0, F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(" units"))).otherwise(F.col("l_quantity").cast("bigint").cast("string")).alias("quantity_raw"),
+        quantity_text().alias("quantity_raw"),
         F.when(part % 307 == 5, -F.col("l_quantity").cast("bigint")).otherwise(F.col("l_quantity").cast("bigint")).alias("quantity_units"),
         F.col("l_extendedprice").alias("sales_amt"),
         F.when(part % 401 == 9, discount).otherwise(-discount).alias("retail_disc_amt"),
