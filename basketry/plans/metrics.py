@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import money_sum, ratio
+from ..operators.rank import staged
 
 
 @dataclass(frozen=True)
@@ -20,6 +22,12 @@ class Measure:
     derived: Callable[[dict[str, Column]], Column] | None = None
     needs: tuple[str, ...] = ()
     unit: str = ""
+    distinct: str | None = None  # the column whose distinct values ``aggregate`` counts, if it is such a count
+
+
+def distinct_measure(name: str, column: str, unit: str = "count") -> Measure:
+    """The number of distinct values of a column."""
+    return Measure(name, lambda: F.countDistinct(column), unit=unit, distinct=column)
 
 
 @dataclass(frozen=True)
@@ -50,6 +58,37 @@ def check_registry(views: Sequence[View]) -> None:
                 raise ValueError(f"{name} is a dimension too")
 
 
+def _distinct_rollup(rows: DataFrame, dims: list[str], column: str, name: str) -> DataFrame:
+    """(dims, _level, name): how many values of the column each group of a rollup holds, from one shuffle of distinct pairs.
+
+    The combinations that hold a value are put in order. One that differs from that before it in its first n dimensions is the
+    value's first in its group by n dimensions, and counts there; so counts of combinations add up to those of every level.
+    """
+    pairs = rows.where(F.col(column).isNotNull()).select(column, *dims).repartition(column).distinct()
+    own = Window.partitionBy(column).orderBy(*dims)
+    shared = F.lit(len(dims))
+    for n, d in reversed(list(enumerate(dims))):
+        shared = F.when(F.lag(d).over(own).eqNullSafe(F.col(d)), shared).otherwise(n)
+    shared = F.when(F.row_number().over(own) == 1, -1).otherwise(shared)
+    cells = pairs.withColumn("_shared", shared).groupBy(*dims).agg(*(F.count_if(F.col("_shared") < n).alias(f"_n{n}") for n in range(len(dims) + 1)))
+    levels = cells.rollup(*dims).agg(F.grouping_id().alias("_level"), *(F.sum(f"_n{n}").alias(f"_n{n}") for n in range(len(dims) + 1)))
+    count = F.coalesce(*(F.when(F.col("_level") == (1 << len(dims) - n) - 1, F.col(f"_n{n}")) for n in range(len(dims) + 1)))
+    return levels.select(*dims, "_level", count.alias(name))
+
+
+def _rollup(rows: DataFrame, dims: list[str], v: View, base: list[str]) -> DataFrame:
+    """The base measures of a rollup. With distinct counts rows are written once, as Spark would send on each for every level and count."""
+    counts = {b: v.measures[b].distinct for b in base if v.measures[b].distinct}
+    rows = staged(rows) if counts else rows
+    sums = [v.measures[b].aggregate().alias(f"_m_{b}") for b in base if b not in counts]
+    out = rows.rollup(*dims).agg(F.grouping_id().alias("_level"), *sums)
+    for b, column in counts.items():
+        found = _distinct_rollup(rows, dims, column, f"_m_{b}").select(*(F.col(d).alias(f"_r{d}") for d in dims), F.col("_level").alias("_l"), f"_m_{b}")
+        on = reduce(lambda x, y: x & y, (F.col(d).eqNullSafe(F.col(f"_r{d}")) for d in dims), F.col("_level") == F.col("_l"))
+        out = out.join(found, on, "left").drop("_l", *(f"_r{d}" for d in dims)).fillna(0, f"_m_{b}")
+    return out
+
+
 def metric_query(df: DataFrame, v: View, measures: Sequence[str], dims: Sequence[str] = (), where: str | None = None, rollup: bool = False) -> DataFrame:
     """The measures by the dimensions: base measures are aggregated at this grain, then ratios are taken of them."""
     check_registry([v])
@@ -59,8 +98,8 @@ def metric_query(df: DataFrame, v: View, measures: Sequence[str], dims: Sequence
     rows = df.where(where) if where else df
     base = list(dict.fromkeys(n for m in measures for n in ((m,) if v.measures[m].aggregate else v.measures[m].needs)))
     keyed = rows.withColumns({f"_d_{d}": v.dimensions[d]() for d in dims})
-    group = keyed.rollup(*(f"_d_{d}" for d in dims)) if rollup and dims else keyed.groupBy(*(f"_d_{d}" for d in dims))
-    out = group.agg(*(v.measures[b].aggregate().alias(f"_m_{b}") for b in base))
+    named = [f"_d_{d}" for d in dims]
+    out = _rollup(keyed, named, v, base) if rollup and dims else keyed.groupBy(*named).agg(*(v.measures[b].aggregate().alias(f"_m_{b}") for b in base))
     have = {b: F.col(f"_m_{b}") for b in base}
     return out.select(*(F.col(f"_d_{d}").alias(d) for d in dims), *((have[m] if m in have else v.measures[m].derived(have)).alias(m) for m in measures))
 
@@ -71,8 +110,8 @@ COMMERCIAL = view(
     [
         Measure("net_sales_amt", lambda: money_sum("sales_amt"), unit="currency"),
         Measure("units_sold", lambda: F.sum(F.when(F.coalesce(F.col("department"), F.lit("")) != "MOVED", F.col("quantity_units")).otherwise(0)), unit="units"),
-        Measure("baskets", lambda: F.countDistinct("basket_id"), unit="count"),
-        Measure("households", lambda: F.countDistinct("household_key"), unit="count"),
+        distinct_measure("baskets", "basket_id"),
+        distinct_measure("households", "household_key"),
         Measure("retail_discount_amt", lambda: -money_sum("retail_disc_amt"), unit="currency"),
         Measure("coupon_discount_amt", lambda: -money_sum("coupon_disc_amt"), unit="currency"),
         Measure("avg_basket_amt", derived=lambda m: ratio(m["net_sales_amt"], m["baskets"]), needs=("net_sales_amt", "baskets"), unit="currency"),
