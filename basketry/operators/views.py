@@ -27,11 +27,11 @@ class SumView:
 
     def apply(self, changes: DataFrame, number: int, sign: str = "sign") -> None:
         """Adds a batch of rows with ``sign`` +1 or -1."""
-        s = F.col(sign).cast("long")
+        s, size = F.col(sign).cast("long"), changes.count()
         measures = [(F.coalesce(F.col(c), F.lit(0)).cast(f"decimal(18,{self.scale})") * s).cast(f"decimal(38,{self.scale})").alias(c) for c in self.sums]
-        self.totals.add(changes.select(*self.keys, s.alias("lines"), *measures), number)
+        self.totals.add(changes.select(*self.keys, s.alias("lines"), *measures), number, size)
         for c, table in self.held.items():
-            table.add(changes.where(F.col(c).isNotNull()).select(*self.keys, c, s.alias("times")), number)
+            table.add(changes.where(F.col(c).isNotNull()).select(*self.keys, c, s.alias("times")), number, size)
 
     def read(self) -> DataFrame:
         """(keys, lines, sums as doubles, a count for each distinct column): groups that hold rows."""

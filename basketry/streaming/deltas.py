@@ -34,13 +34,14 @@ class MergedTable:
 
     ``merge`` makes one row of the rows of a key, and may be applied to parts first. Base and deltas lie in
     ``of=<buckets>/bucket=<b>`` by a hash of the keys, sorted by them, so that looking up a key reads one bucket of each;
-    a base has as many buckets as its size asks for, and deltas as many as the base (before the first, ``buckets``, else one a core). One writer at a time; readers go by the last whole manifest, and what
-    it names stays until ``vacuum``.
+    a base has as many buckets as its size and rows ask for, and deltas as many as the base (before the first, ``buckets``, else one
+    a core) or as their own rows ask for, if that is more: a task sorts one bucket, of ``bucket_rows`` or so. One writer at a time;
+    readers go by the last whole manifest, and what it names stays until ``vacuum``.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], merge: Callable[[DataFrame], DataFrame], compact_after: int = 16, bucket_bytes: int = 128 << 20, buckets: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], merge: Callable[[DataFrame], DataFrame], compact_after: int = 16, bucket_bytes: int = 128 << 20, buckets: int | None = None, bucket_rows: int = 1 << 20) -> None:
         self.spark, self.path, self.keys, self.merge = spark, path, keys, merge
-        self.compact_after, self.bucket_bytes = compact_after, bucket_bytes
+        self.compact_after, self.bucket_bytes, self.bucket_rows = compact_after, bucket_bytes, bucket_rows
         self.buckets = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     # ------------------------------------------------------------ what is there
@@ -93,18 +94,21 @@ class MergedTable:
 
     def _write(self, rows: DataFrame, buckets: int, target: str) -> None:
         of = rows.withColumns({"of": F.lit(buckets), "bucket": F.pmod(F.hash(*self.keys), F.lit(buckets))})
-        of.repartition(buckets, "bucket").sortWithinPartitions("bucket", *self.keys).write.mode("overwrite").partitionBy("of", "bucket").parquet(target)
+        # by the keys, not by the bucket: Spark deals rows by the same hash, so each task has one bucket
+        of.repartition(buckets, *self.keys).sortWithinPartitions("bucket", *self.keys).write.mode("overwrite").partitionBy("of", "bucket").parquet(target)
 
-    def add(self, batch: DataFrame, number: int) -> None:
+    def add(self, batch: DataFrame, number: int, size: int | None = None) -> None:
         """Adds a batch under its number: its own rows, merged with each other only. A number that comes again replaces itself,
-        or nothing if a base covers it. Past ``compact_after`` batches, they are compacted."""
+        or nothing if a base covers it. Past ``compact_after`` batches, they are compacted. ``size`` is the number of the batch's
+        rows, or of more, where the caller knows it; else they are counted."""
         now = self.manifest()
         if number <= now["covers"]:
             return
         rows = self.merge(batch)
         if "schema" not in self._names(""):
             self._put("schema", rows.schema.json())
-        self._write(rows, now["buckets"], f"{self.path}/deltas/batch={number}")
+        size = batch.count() if size is None else size
+        self._write(rows, max(now["buckets"], -(-size // self.bucket_rows)), f"{self.path}/deltas/batch={number}")
         if len(self.pending()) > self.compact_after:
             self.compact()
 
@@ -117,7 +121,7 @@ class MergedTable:
         for f in folders:
             place, fs = _fs(self.spark, f)
             size += fs.getContentSummary(place).getLength()
-        then = {"version": now["version"] + 1, "covers": batches[-1], "buckets": max(1, -(-size // self.bucket_bytes))}
+        then = {"version": now["version"] + 1, "covers": batches[-1], "buckets": max(1, -(-size // self.bucket_bytes), -(-self._rows().count() // self.bucket_rows))}
         self._write(self.merge(self._rows().drop("of", "bucket")), then["buckets"], f"{self.path}/base/v={then['version']}")
         self._put(f"manifest/{then['version']}", json.dumps(then))
 
