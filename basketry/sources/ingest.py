@@ -119,8 +119,12 @@ def compact(spark: SparkSession, path: str, target: str, target_bytes: int = 128
     return now["files"] <= wanted or now["median_bytes"] >= floor_bytes
 
 
-def write_clustered(df: DataFrame, path: str, keys: list[str], files: int) -> None:
-    """Rows in ranges of the keys, sorted in each file, so that file statistics prune scans on them."""
+def write_clustered(df: DataFrame, path: str, keys: list[str], files: int, file_rows: int = 1 << 20) -> None:
+    """Rows in ranges of the keys, sorted in each file, so that file statistics prune scans on them.
+
+    There are ``files`` files, or more where they would hold over ``file_rows`` rows or so: a task sorts one file.
+    """
+    files = max(files, -(-df.count() // file_rows))
     df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
