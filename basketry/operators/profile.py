@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def profile_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, rows, blanks, distinct_values, low, high): low and high of numbers only."""
+    """(column_name, rows, blanks, distinct_values, low, high): low and high of numbers only.
+
+    Each column is grouped by its values, and the groups are counted: one aggregate of several distinct counts would send each
+    row on once for every column, with all of them, and a task would hold as much. The frame is read once for each column.
+    """
     kinds = dict(df.dtypes)
     parts = []
     for c in columns or df.columns:
         text = kinds[c] == "string"
-        blank = F.col(c).isNull() | (F.trim(c) == "") if text else F.col(c).isNull()
+        v, n = F.col("v"), F.col("n")
+        blank = v.isNull() | (F.trim(v) == "") if text else v.isNull()
         number = kinds[c] in ("int", "bigint", "smallint", "tinyint", "double", "float") or kinds[c].startswith("decimal")
-        value = F.col(c).cast("double") if number else F.lit(None).cast("double")
-        parts.append(F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("rows"), F.count(F.when(blank, 1)).alias("blanks"), F.countDistinct(c).alias("distinct_values"), F.min(value).alias("low"), F.max(value).alias("high")))
-    return df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+        value = v.cast("double") if number else F.lit(None).cast("double")
+        total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+        of = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(of.agg(total(n).alias("rows"), total(F.when(blank, n)).alias("blanks"), F.count(v).alias("distinct_values"), F.min(value).alias("low"), F.max(value).alias("high")).select(F.lit(c).alias("column_name"), "*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def coverage_gap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
