@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, StructField, StructType, TimestampType
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -27,54 +27,67 @@ def rocks_state(spark: SparkSession):
 
 
 class _Versions(StatefulProcessor):
-    """A key's open version, the changes that the watermark has not passed, and one timer at the earliest of them."""
+    """A key's open version, the changes that the watermark has not passed in order of time, and one timer at the earliest of them.
+
+    All is one value of the state: a call to the state costs more than the rows it carries, so a key takes two a batch,
+    however many changes it has, and one more for its timer.
+    """
 
     def __init__(self, sequence: str, tracked: list[str], values: StructType, names: list[str]) -> None:
         self.sequence, self.tracked, self.values, self.names = sequence, tracked, values, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        at = StructField("at", TimestampType())
+        change = StructType([StructField("at", TimestampType()), *self.values.fields])
         self.handle = handle
-        self.open = handle.getValueState("open", StructType([at, *self.values.fields]))
-        self.waiting = handle.getMapState("waiting", StructType([at]), self.values)
+        self.state = handle.getValueState("versions", StructType([StructField("open", ArrayType(change)), StructField("waiting", ArrayType(change))]))
+
+    def _get(self) -> tuple[tuple | None, list[tuple]]:
+        """(the open version or None, the changes that wait)."""
+        held = self.state.get()
+        if held is None:
+            return None, []
+        return (_plain(held[0][0]) if held[0] else None), [_plain(c) for c in held[1]]
 
-    def _wake_at(self, at: datetime) -> None:
-        """One timer, at the first whole millisecond after the earliest change that waits."""
-        due, timers = _millis(at) + 1, list(self.handle.listTimers())
-        if not timers or min(timers) > due:
-            for old in timers:
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(due)
+    def _put(self, held: tuple | None, waiting: list[tuple]) -> None:
+        self.state.update(([] if held is None else [held], waiting))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = None
+        held, before = self._get()
+        found = {c[0]: c[1:] for c in before}
         for row in rows:
-            at, value = row[self.sequence], tuple(row[c] for c in self.tracked)
+            at, *value = _plain((row[self.sequence], *(row[c] for c in self.tracked)))
+            value = tuple(value)
             # of changes at one time the largest counts, nulls least
-            if not self.waiting.containsKey((at,)) or _order(value) > _order(tuple(self.waiting.getValue((at,)))):
-                self.waiting.updateValue((at,), value)
-            first = at if first is None else min(first, at)
-        if first is not None:
-            self._wake_at(first)
+            if at not in found or _order(value) > _order(found[at]):
+                found[at] = value
+        waiting = sorted(((at, *value) for at, value in found.items()), key=lambda c: c[0])
+        if waiting != before:
+            self._put(held, waiting)
+            # at the first whole millisecond after the earliest change
+            due = [_millis(c[0][0]) + 1 for c in (before, waiting) if c]
+            if len(due) == 1 or due[0] != due[1]:
+                for old in due[:-1]:
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(due[-1])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        changes = sorted((k[0], tuple(self.waiting.getValue(k))) for k in list(self.waiting.keys()))
+        held, changes = self._get()
         passed = [c for c in changes if _millis(c[0]) < mark]
-        held = tuple(self.open.get()) if self.open.exists() else None
         out = []
-        for at, value in passed:
-            self.waiting.removeKey((at,))
+        for at, *value in passed:
+            value = tuple(value)
             if held is not None and held[1:] == value:
                 continue
             if held is not None:
                 out.append((*key, *held[1:], held[0], at))
             held = (at, *value)
             out.append((*key, *value, at, None))
+        rest = changes[len(passed) :]
         if passed:
-            self.open.update(held)
-        if rest := changes[len(passed) :]:
+            self._put(held, rest)
+        if rest:
             self.handle.registerTimer(_millis(rest[0][0]) + 1)  # the timer that has expired is still listed, and goes now
         return (Row(**dict(zip(self.names, r))) for r in out)
 
@@ -82,6 +95,11 @@ class _Versions(StatefulProcessor):
         pass
 
 
+def _plain(values: tuple) -> tuple:
+    """Times without a zone, as rows have them; the state gives them back with one."""
+    return tuple(v.astimezone().replace(tzinfo=None) if isinstance(v, datetime) and v.tzinfo else v for v in values)
+
+
 def _millis(at: datetime) -> int:
     return (at - datetime(1970, 1, 1, tzinfo=at.tzinfo)) // timedelta(milliseconds=1) if at.tzinfo else int(at.timestamp() * 1000)
 
