@@ -96,7 +96,12 @@ def basket_lines(rows: DataFrame) -> DataFrame:
 
 def promotions(spark: SparkSession, root: str) -> DataFrame:
     """A sparse promotion table with repeated keys: product, store, week and two codes."""
-    rows = deliveries(spark, root).where("product_id % 5 = 0 and supplier_id is not null")
+    return promotions_of(deliveries(spark, root))
+
+
+def promotions_of(lines: DataFrame) -> DataFrame:
+    """The promotion table of delivered lines that a caller has already."""
+    rows = lines.where("product_id % 5 = 0 and supplier_id is not null")
     return rows.select("product_id", F.col("supplier_id").alias("store_id"), "week_no", F.col("return_flag").alias("display"), F.col("line_status").alias("mailer"))
 
 

@@ -128,6 +128,11 @@ def start_drain(rows: DataFrame, path: str, checkpoint: str, mode: str = "append
     return (writer.queryName(name) if name else writer).start()
 
 
+def start_live(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Starts a streaming frame into Parquet; it takes what comes until it is stopped."""
+    return rows.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).start()
+
+
 def drain(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a streaming frame over what is there into Parquet."""
     start_drain(rows, path, checkpoint, mode).awaitTermination()

@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import money_sum
 
@@ -72,18 +73,77 @@ def state_by_cores(spark: SparkSession):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+#: Rows that a state partition should hold at most; some 400 bytes each in the executor's memory, for a join of narrow rows.
+STATE_ROWS = 1_000_000
+
+
+def parts_for(spark: SparkSession, rows: int, at_least: int, state_rows: int = STATE_ROWS) -> int:
+    """How many parts of even size rows that wait in the state should land in: a part's rows are in the state together, so that bounds it."""
+    held = state_rows * min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(at_least, -(-rows // held))
+
+
+#: A frame with ``part``, or what makes one of the sources that were written before it.
+Source = DataFrame | Callable[[dict[str, DataFrame]], DataFrame]
+
+
+class _Landing:
+    """Sources written once, a folder a part, and their landing folders; a part lands as its folder is put there."""
+
+    def __init__(self, spark: SparkSession, sources: dict[str, Source], folder: str) -> None:
+        self.spark, self.folder, self.schemas = spark, folder, {}
+        written: dict[str, DataFrame] = {}
+        for name, source in sources.items():
+            rows = source if isinstance(source, DataFrame) else source(written)
+            rows.write.partitionBy("part").parquet(f"{folder}/staged/{name}")
+            written[name] = spark.read.schema(rows.schema).parquet(f"{folder}/staged/{name}")
+            self.schemas[name] = rows.drop("part").schema
+            path, fs = self._path(f"landing/{name}")
+            fs.mkdirs(path)
+
+    def _path(self, rest: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{rest}")
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def land(self, part: int) -> None:
+        for name in self.schemas:
+            (path, fs), (to, _) = self._path(f"staged/{name}/part={part}"), self._path(f"landing/{name}/{part}")
+            if fs.exists(path) and not fs.rename(path, to):
+                raise OSError(f"{path} did not land")
+
+    def streams(self) -> dict[str, DataFrame]:
+        read = lambda schema: self.spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+        return {name: read(schema).parquet(f"{self.folder}/landing/{name}") for name, schema in self.schemas.items()}
+
+
 def replay(sources: dict[str, DataFrame], parts: int, folder: str, run: Callable[[dict[str, DataFrame], int], None]) -> None:
     """Lands each source (with ``part``) part by part in a folder of its own, and lets ``run`` drain the streams after each part.
 
-    A part is as many files as its tasks write; what is staged by part is read by part.
+    A part is as many files as the tasks that write it; it is put in place whole, not copied.
     """
-    staged = {}
-    for name, rows in sources.items():
-        rows.write.partitionBy("part").parquet(f"{folder}/staged/{name}")
-        staged[name] = rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/staged/{name}")
-    spark = next(iter(staged.values())).sparkSession
+    spark = next(iter(sources.values())).sparkSession
+    landing = _Landing(spark, sources, folder)
     with state_by_cores(spark):
         for part in range(parts):
-            for name, rows in staged.items():
-                rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/landing/{name}")
-            run({name: spark.readStream.schema(rows.drop("part").schema).parquet(f"{folder}/landing/{name}") for name, rows in staged.items()}, part)
+            landing.land(part)
+            run(landing.streams(), part)
+
+
+def follow(spark: SparkSession, sources: dict[str, Source], parts: int, folder: str, start: Callable[[dict[str, DataFrame]], StreamingQuery]) -> None:
+    """As ``replay``, but with one query that ``start`` starts after the first part and that goes on until it has seen all.
+
+    A query that starts again loads its state from all that was ever put there or taken away, so a query for each part costs ever
+    more. As this one runs while parts land, it may see a part of one source before that of another: each source's parts should
+    be in order within its watermark's delay, as rows late by the watermark of all sources are dropped.
+    """
+    landing = _Landing(spark, sources, folder)
+    landing.land(0)
+    with state_by_cores(spark):
+        query = start(landing.streams())
+    try:
+        query.processAllAvailable()
+        for part in range(1, parts):
+            landing.land(part)
+            query.processAllAvailable()
+    finally:
+        query.stop()
