@@ -46,10 +46,29 @@ def spec_ddl(spec: list[tuple[str, str, Column | str]]) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind, _ in spec)
 
 
-def delivered(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of lineitem with their order's customer, as they were delivered."""
+#: Bytes of a table's files that make one partition where it is shuffled; some four times as much, as shuffled rows are less packed.
+PARTITION_BYTES = 16 << 20
+#: Bytes of orders from which their two columns are no broadcast.
+SHUFFLED_BYTES = 160 << 20
+
+
+def table_bytes(spark: SparkSession, root: str | None, name: str) -> int:
+    """The size of a table's file or folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place(spark, root, name))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def delivered(spark: SparkSession, root: str, by_basket: bool = False) -> DataFrame:
+    """Rows of lineitem with their order's customer, as they were delivered.
+
+    Where rows are shuffled, as they are for a caller that needs them ``by_basket`` or for a join with many orders, a large table
+    is dealt over as many partitions as its size asks for, if those are more than the session's; so a task's share stays bounded.
+    """
     order = table(spark, root, "orders").select("o_orderkey", "o_custkey")
-    return table(spark, root, "lineitem").join(order, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    lines, parts = table(spark, root, "lineitem"), -(-table_bytes(spark, root, "lineitem") // PARTITION_BYTES)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) and (by_basket or table_bytes(spark, root, "orders") > SHUFFLED_BYTES):
+        lines = lines.repartition(parts, "l_orderkey")
+    return lines.join(order, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
 
 
 def quantity_text() -> Column:
