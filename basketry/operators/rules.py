@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import astuple, dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,14 +96,17 @@ def violations(rules: list[Rule]) -> Column:
 
 
 def gate(df: DataFrame, rules: list[Rule], version: str = "1", now: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejected rows with rule_name, rule_expression, failed_rules, failed_at and ruleset_version)."""
+    """(valid rows, rejected rows with rule_name, rule_expression, failed_rules, failed_at and ruleset_version).
+
+    Valid rows are told by plain conditions, which Spark compiles; the list of broken rules is made for the rejected alone.
+    """
     errors = [r for r in rules if r.severity == "error"]
     judged = df.withColumn("_broken", violations(errors))
     first = F.col("_broken")[0]
     rejected = judged.where(F.size("_broken") > 0).withColumns(
         {"rule_name": first["rule_name"], "rule_expression": first["rule_expression"], "failed_rules": F.col("_broken.rule_name"), "failed_at": F.current_timestamp() if now is None else now, "ruleset_version": F.lit(version)}
     )
-    return judged.where(F.size("_broken") == 0).drop("_broken"), rejected.drop("_broken")
+    return df.where(reduce(lambda a, r: a & ~broken(r), errors, F.lit(True))), rejected.drop("_broken")
 
 
 def rule_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..streaming.deltas import MergedTable, summed
@@ -14,34 +12,32 @@ class SumView:
     """Rows, sums and distinct counts of a group, as partial totals that add up when they are read.
 
     ``sums`` names measures (summed as decimals of ``scale`` places, a null as 0), ``distincts`` columns whose distinct values
-    are counted. Of each of those a table keeps how often a group holds a value, so that a value goes when its last row is
-    retracted. A batch writes what it changes and no more; compaction folds batches together. Retractions must name rows as
-    they were inserted. Batches go by number, and one that comes again changes nothing.
+    are counted. A table keeps the totals of each combination that a group holds of those values, which are no more than its rows,
+    so that a value goes when its last row is retracted. A batch writes what it changes and no more, once; compaction folds batches
+    together. Retractions must name rows as they were inserted. Batches go by number, and one that comes again changes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], sums: list[str], distincts: list[str], scale: int = 4, compact_after: int = 16) -> None:
         self.keys, self.sums, self.distincts, self.scale = keys, sums, distincts, scale
-        table = lambda name, by, totals: MergedTable(spark, f"{path}/{name}", by, summed(by, totals), compact_after)
-        self.totals = table("totals", keys, ["lines", *sums])
-        self.held = {c: table(f"held_{c}", [*keys, c], ["times"]) for c in distincts}
+        by = [*keys, *distincts]
+        self.held = MergedTable(spark, f"{path}/held", by, summed(by, ["lines", *sums]), compact_after)
 
     def apply(self, changes: DataFrame, number: int, sign: str = "sign") -> None:
         """Adds a batch of rows with ``sign`` +1 or -1."""
-        s, size = F.col(sign).cast("long"), changes.count()
+        s = F.col(sign).cast("long")
         measures = [(F.coalesce(F.col(c), F.lit(0)).cast(f"decimal(18,{self.scale})") * s).cast(f"decimal(38,{self.scale})").alias(c) for c in self.sums]
-        self.totals.add(changes.select(*self.keys, s.alias("lines"), *measures), number, size)
-        for c, table in self.held.items():
-            table.add(changes.where(F.col(c).isNotNull()).select(*self.keys, c, s.alias("times")), number, size)
+        self.held.add(changes.select(*self.held.keys, s.alias("lines"), *measures), number)
 
     def read(self) -> DataFrame:
-        """(keys, lines, sums as doubles, a count for each distinct column): groups that hold rows."""
-        totals = self.totals.read().where("lines > 0")
-        counts = [t.read().where("times > 0").groupBy(*self.keys).agg(F.count("*").alias(f"_{c}")) for c, t in self.held.items()]
-        # groups are matched nulls and all
-        named = lambda d, i: d.select(*(F.col(k).alias(f"_k{i}_{k}") for k in self.keys), *(c for c in d.columns if c not in self.keys))
-        out = totals
-        for i, d in enumerate(counts):
-            on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}_{k}")) for k in self.keys))
-            out = out.join(named(d, i), on, "left")
-        sums = [F.col(c).cast("double").alias(c) for c in self.sums]
-        return out.select(*self.keys, "lines", *sums, *(F.coalesce(f"_{c}", F.lit(0)).alias(c) for c in self.distincts))
+        """(keys, lines, sums as doubles, a count for each distinct column): groups that hold rows.
+
+        Several distinct columns are counted where a group lies, by marks on a value's first combination; groups are small and many.
+        """
+        rows, marks = self.held.read(self.keys if len(self.distincts) > 1 else self.held.keys), {}
+        for c in self.distincts:
+            held = Window.partitionBy(*self.keys, c).orderBy(c)
+            times = F.sum("lines").over(held.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+            first = (F.row_number().over(held) == 1) & (times > 0) if len(self.distincts) > 1 else F.col("lines") > 0
+            marks[f"_{c}"] = first & F.col(c).isNotNull()
+        sums = [F.sum(c).cast("double").alias(c) for c in self.sums]
+        return rows.withColumns(marks).groupBy(*self.keys).agg(F.sum("lines").alias("lines"), *sums, *(F.count_if(f"_{c}").alias(c) for c in self.distincts)).where("lines > 0")

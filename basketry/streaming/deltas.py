@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,17 @@ def summed(keys: list[str], totals: list[str]) -> Callable[[DataFrame], DataFram
     return merge
 
 
+@contextmanager
+def _dealt(spark: SparkSession, parts: int):
+    """Shuffles planned in here have so many partitions: rows merged by key lie as they are dealt out by the same keys, and stay."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 class MergedTable:
     """Rows under ``path``: ``base/v=<n>``, ``deltas/batch=<n>`` and a manifest that says which base counts and what it covers.
 
@@ -92,10 +104,14 @@ class MergedTable:
         out.close()
         fs.rename(half, place)
 
-    def _write(self, rows: DataFrame, buckets: int, target: str) -> None:
+    def _laid(self, rows: DataFrame, buckets: int) -> DataFrame:
+        """rows as they are written. By the keys, not by the bucket: Spark deals rows by the same hash, so no bucket is in two tasks."""
         of = rows.withColumns({"of": F.lit(buckets), "bucket": F.pmod(F.hash(*self.keys), F.lit(buckets))})
-        # by the keys, not by the bucket: Spark deals rows by the same hash, so each task has one bucket
-        of.repartition(buckets, *self.keys).sortWithinPartitions("bucket", *self.keys).write.mode("overwrite").partitionBy("of", "bucket").parquet(target)
+        return of.repartition(buckets, *self.keys).sortWithinPartitions("bucket", *self.keys)
+
+    def _write(self, rows: DataFrame, buckets: int, target: str) -> None:
+        with _dealt(rows.sparkSession, buckets):
+            self._laid(rows, buckets).write.mode("overwrite").partitionBy("of", "bucket").parquet(target)
 
     def add(self, batch: DataFrame, number: int, size: int | None = None) -> None:
         """Adds a batch under its number: its own rows, merged with each other only. A number that comes again replaces itself,
@@ -135,11 +151,16 @@ class MergedTable:
             fs.delete(place, True)
 
     # ------------------------------------------------------------ reading
-    def read(self) -> DataFrame:
+    def read(self, by: list[str] | None = None) -> DataFrame:
+        """The merged rows; with ``by``, some or all of the keys, rows of equal ``by`` lie in one partition, of a fourth of ``bucket_rows``
+        or so: what reads them may sort them several times at once."""
         rows = self._rows()
         if rows is None:
             raise ValueError(f"nothing has been added to {self.path}")
-        return self.merge(rows.drop("of", "bucket"))
+        rows = rows.drop("of", "bucket")
+        if by:
+            rows = rows.repartition(max(self.buckets, -(-4 * rows.count() // self.bucket_rows)), *by)
+        return self.merge(rows)
 
     def lookup(self, **key) -> DataFrame:
         """The row of one key: one bucket of the base and of each delta is read."""
