@@ -151,16 +151,20 @@ class MergedTable:
             fs.delete(place, True)
 
     # ------------------------------------------------------------ reading
-    def read(self, by: list[str] | None = None) -> DataFrame:
-        """The merged rows; with ``by``, some or all of the keys, rows of equal ``by`` lie in one partition, of a fourth of ``bucket_rows``
-        or so: what reads them may sort them several times at once."""
+    def read(self) -> DataFrame:
+        return self.merge(self._there())
+
+    def _there(self) -> DataFrame:
         rows = self._rows()
         if rows is None:
             raise ValueError(f"nothing has been added to {self.path}")
-        rows = rows.drop("of", "bucket")
-        if by:
-            rows = rows.repartition(max(self.buckets, -(-4 * rows.count() // self.bucket_rows)), *by)
-        return self.merge(rows)
+        return rows.drop("of", "bucket")
+
+    def dealt(self, by: list[str]) -> DataFrame:
+        """The rows of base and deltas, not merged with each other; those of equal ``by``, some or all of the keys, lie in one
+        partition, of a fourth of ``bucket_rows`` or so: what reads them may sort them several times at once."""
+        rows = self._there()
+        return rows.repartition(max(self.buckets, -(-4 * rows.count() // self.bucket_rows)), *by)
 
     def lookup(self, **key) -> DataFrame:
         """The row of one key: one bucket of the base and of each delta is read."""
